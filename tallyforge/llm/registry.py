@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import queries_classifiers, queries_decontamination, queries_sharding, queries_tokens
+from tallyforge.llm import queries_classifiers, queries_decontamination, queries_near_dedup, queries_sharding, queries_tokens
 
 QUERIES = {
     "op1_bpe": queries_tokens.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": queries_tokens.op3_token_files,
     "op5_toxicity": queries_classifiers.op5_toxicity,
     "op6_decontamination": queries_decontamination.op6_decontamination,
+    "op8_near_dedup": queries_near_dedup.op8_near_dedup,
     "op9_sharding": queries_sharding.op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -15,7 +15,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,10 @@ MORE_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
 #: Fixed value: the pattern of words in the vocabulary file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
+#: Words up to this length are merged in a plain list.
+SHORT_WORD = 48
+NEVER = (1 << 60, -1)
 
 
 def byte_alphabet() -> list[str]:
@@ -59,13 +63,20 @@ class Vocabulary:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
+        self.words_or_break = regex.compile(rf"\n|{self.words.pattern}")
         size = max([*self.ids.values(), *self.specials.values()]) + 1
         self.pieces = [""] * size
         for piece, i in self.ids.items():
             self.pieces[i] = piece
         for piece, i in self.specials.items():
             self.pieces[i] = piece
-        self.longest = max(map(len, self.ids))
+        cut = len(self.end)
+        self.final = {p[:-cut]: i for p, i in self.ids.items() if p.endswith(self.end)} if cut else self.ids
+        self.inner = {p: i for p, i in self.ids.items() if not p.endswith(self.end)} if cut else self.ids
+        #: By the first three letters, the length of the longest piece.
+        self.reach: dict[str, int] = {}
+        for p in [*self.final, *self.inner]:
+            self.reach[p[:3]] = max(self.reach.get(p[:3], 1), len(p))
         self.map = {i: c for i, c in enumerate(byte_alphabet())}
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         left = np.full(size, -1, np.int64)
@@ -122,9 +133,22 @@ class Vocabulary:
         return ok
 
     def exact(self, word: str) -> list[int]:
-        """Merges by rank, then by place, with a heap over a linked list: n log n for any length."""
+        """Merges by rank, then by place: in short words by the least of a list, else with a heap over a linked
+        list, which takes n log n steps for any length."""
         parts = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.end]]
         n = len(parts)
+        if n <= SHORT_WORD:
+            get = self.merge.get
+            ranks = [get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := min(ranks)) is not NEVER:
+                i = ranks.index(best)
+                parts[i : i + 2] = [best[1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = get((parts[i], parts[i + 1]), NEVER)
+            return parts
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merge[p], i, parts[i], parts[i + 1]) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in self.merge]
         heap = [(rank, i, whole, x, y) for rank, whole, i, x, y in heap]
@@ -144,21 +168,22 @@ class Vocabulary:
         return [x for x in parts if x >= 0]
 
     def greedy(self, word: str) -> list[int]:
-        """The longest piece at each place."""
-        ids, longest, n, at, out = self.ids, self.longest, len(word), 0, []
-        marked = word + self.end
+        """The longest piece at each place. ``reach`` bounds the search by how a piece may begin."""
+        if (whole := self.ids.get(word + self.end)) is not None:
+            return [whole]
+        inner, final, reach, n, at, out = self.inner.get, self.final.get, self.reach.get, len(word), 0, []
         while at < n:
-            if (whole := ids.get(marked[at:])) is not None and n - at + len(self.end) <= longest:
-                out.append(whole)
-                break
-            for stop in range(min(n - 1, at + longest), at, -1):
-                if (piece := ids.get(word[at:stop])) is not None:
+            most = reach(word[at : at + 3], 2)
+            if at + most >= n:  # the rest may be one piece
+                if (piece := final(word[at:])) is not None:
+                    out.append(piece)
+                    break
+                most = n - at - 1
+            for stop in range(at + most, at, -1):
+                if (piece := inner(word[at:stop])) is not None:
                     out.append(piece)
                     at = stop
                     break
-            else:
-                out.append(ids[word[at] + self.end])
-                at += 1
         return out
 
 
@@ -167,37 +192,50 @@ class Encoder:
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         self.vocabulary = Vocabulary(path)
-        self.entries = entries
-        self.known: dict[str, list[int]] = {}
+        self.memo = Memo(self, lambda ids: ids, lambda parts: list(chain.from_iterable(parts)), entries)
         self.proposed = self.failed = 0
 
-    def words_of(self, chunk: str) -> list[str | int]:
-        """Normalised words in byte letters; special tokens as ids."""
-        v, out = self.vocabulary, []
-        parts = v.special_cut.split(chunk) if v.special_cut and "<" in chunk else [chunk]
-        for part in parts:
-            if part in v.specials:
-                out.append(v.specials[part])
-                continue
-            if part.isascii():
-                words = v.words.findall(part.lower())
+    def words_of(self, chunks: list[str]) -> list[list[str | int]]:
+        """Normalised words of each chunk, before they are put in byte letters; special tokens as ids. All plain
+        chunks go through one normalisation and one search, with a line break between them."""
+        v = self.vocabulary
+        out: list[list[str | int]] = [[] for _ in chunks]
+        plain = []
+        for at, c in enumerate(chunks):
+            if v.special_cut and "<|" in c or not c.isascii() and max(c) >= "\u0500":
+                for part in v.special_cut.split(c) if v.special_cut else [c]:
+                    out[at] += [v.specials[part]] if part in v.specials else self.unusual(part)
+            else:
+                plain.append(at)
+        text = "\n".join([chunks[at] for at in plain])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        here = iter(plain)
+        words = out[next(here)] if plain else []
+        for w in v.words_or_break.findall(text.lower()):
+            if w == "\n":
+                words = out[next(here)]
             else:
-                # lower case goes by single characters, so a capital sigma never becomes a final one
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                if max(low) >= "\u0500" and any(unicodedata.category(c) == "Cn" for c in low):
-                    # characters newer than Python's tables: the file's own normaliser and word pattern decide
-                    out += [w for w, _ in v.pre_tokenize(part)]
-                    continue
-                words = v.words.findall(low)
-            out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(v.map) for w in words]
+                words.append(w)
         return out
 
+    def unusual(self, part: str) -> list[str]:
+        """Words of a chunk in any script."""
+        # lower case goes by single characters, so a capital sigma never becomes a final one
+        low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        if any(unicodedata.category(c) == "Cn" for c in low):
+            # characters newer than Python's tables: the file's own normaliser and word pattern decide
+            back = {c: i for i, c in self.vocabulary.map.items()}
+            return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self.vocabulary.pre_tokenize(part)]
+        return self.vocabulary.words.findall(low)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Exact ids of each (distinct) word."""
         v = self.vocabulary
-        cuts = [v.greedy(w) for w in words]
+        words = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogateescape").decode("latin-1").translate(v.map) for w in words]
+        cuts = list(map(v.greedy, words))
         sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = np.fromiter((x for c in cuts for x in c), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(cuts), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(cuts)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inner] * v.size + flat[inner + 1], return_inverse=True)
@@ -211,20 +249,8 @@ class Encoder:
         self.failed += int(wrong.sum())
         return cuts
 
-    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each chunk that isn't known yet."""
-        cut = {c: self.words_of(c) for c in chunks}
-        fresh = list({w for ws in cut.values() for w in ws if isinstance(w, str)} - self.known.keys())
-        if len(self.known) + len(fresh) > self.entries:
-            self.known.clear()
-            fresh = list({w for ws in cut.values() for w in ws if isinstance(w, str)})
-        self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
-        return {c: [i for w in ws for i in ([w] if isinstance(w, int) else self.known[w])] for c, ws in cut.items()}
-
     def encode(self, text: str | None) -> list[int]:
-        chunks = chunks_of(text or "")
-        table = self.encode_chunks(set(chunks))
-        return [i for c in chunks for i in table[c]]
+        return self.memo.values([chunks_of(text or "")])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Pieces joined by one space, special tokens kept: the file names no decoder."""
@@ -236,19 +262,49 @@ def chunks_of(text: str) -> list[str]:
     return [c for c in SPACES.split(text) if c] if MORE_SPACE.search(text) else text.split()
 
 
-class Memo(dict):
-    """Chunk to a value made of its ids. Bounded: the caller calls ``learn`` for each batch of texts."""
-
-    def __init__(self, encoder: Encoder, value, entries: int = CACHE_ENTRIES) -> None:
-        self.encoder, self.value, self.entries = encoder, value, entries
-
-    def learn(self, cut: list[list[str]]) -> None:
-        new = set().union(*cut) - self.keys() if cut else set()
-        if len(self) + len(new) > self.entries:
-            self.clear()
-            new = set().union(*cut)
-        for c, ids in self.encoder.encode_chunks(new).items():
-            self[c] = self.value(ids)
+class Memo:
+    """What ``value`` makes of the ids of a chunk, remembered for words and for chunks.
+
+    ``joined``: the value of a sequence from its parts' values. When full, pieces that have come again stay."""
+
+    def __init__(self, encoder: Encoder, value: Callable, joined: Callable, entries: int = CACHE_ENTRIES) -> None:
+        self.encoder, self.value, self.joined, self.entries = encoder, value, joined, entries
+        self.words: dict[str | int, object] = {}
+        self.chunks: dict[str, object] = {}
+        self.words_once: set = set()
+        self.chunks_once: set = set()
+
+    def missing(self, memo: dict, once: set, used: set) -> list:
+        """What of ``used`` isn't remembered. ``once``: pieces that a single call has met; they go first."""
+        new = used - memo.keys()
+        once -= used
+        if len(memo) + len(new) > self.entries:
+            for c in once:
+                del memo[c]
+            once.clear()
+            if len(memo) + len(new) > self.entries:
+                for c in memo.keys() - used:
+                    del memo[c]
+        once |= new
+        return list(new)
+
+    def learn(self, used: set[str]) -> None:
+        new = self.missing(self.chunks, self.chunks_once, used)
+        cut = self.encoder.words_of(new)
+        fresh = self.missing(self.words, self.words_once, set(chain.from_iterable(cut)))
+        special = [w for w in fresh if isinstance(w, int)]
+        fresh = [w for w in fresh if isinstance(w, str)] if special else fresh
+        value = self.value
+        self.words.update((w, value([w])) for w in special)
+        self.words.update(zip(fresh, map(value, self.encoder.encode_words(fresh)), strict=True))
+        words, joined = self.words, self.joined
+        self.chunks.update((c, words[ws[0]] if len(ws) == 1 else joined([words[w] for w in ws])) for c, ws in zip(new, cut, strict=True))
+
+    def values(self, cut: list[list[str]]) -> list:
+        """The value of each text, which is given as its chunks."""
+        self.learn(set().union(*cut))
+        get, joined = self.chunks.__getitem__, self.joined
+        return [joined(list(map(get, chunks))) for chunks in cut]
 
 
 def in_parts(items: list, size, most: int) -> Iterator[list]:
@@ -307,23 +363,19 @@ def digests(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        numbers = Memo(encoder, lambda ids: " ".join(map(str, ids)))
-        decoded: dict[str, str] = {}
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        name = list(map(str, range(encoder.vocabulary.size)))
+
+        def joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
+            return tuple(map(" ".join, zip(*parts, strict=True))) if parts else ("", "")
+
+        memo = Memo(encoder, lambda ids: (" ".join([name[i] for i in ids]), encoder.decode(ids)), joined)
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
         for batch in batches:
             keys, texts = batch.columns[0], batch.columns[1].to_pylist()
             out: list[tuple[int, str, str]] = []
             for part in in_parts(texts, lambda t: len(t or ""), 4_000_000):
-                cut = [chunks_of(t or "") for t in part]
-                before = len(numbers)
-                numbers.learn(cut)
-                if len(numbers) < before:
-                    decoded.clear()
-                for c in numbers.keys() - decoded.keys():
-                    decoded[c] = encoder.decode(map(int, numbers[c].split()))
-                for chunks in cut:
-                    joined = " ".join(map(numbers.__getitem__, chunks))
-                    out.append((joined.count(" ") + 1 if joined else 0, sha(joined), sha(" ".join(map(decoded.__getitem__, chunks)))))
+                for numbers, pieces in memo.values([chunks_of(t or "") for t in part]):
+                    out.append((numbers.count(" ") + 1 if numbers else 0, sha(numbers), sha(pieces)))
             n, ids, back = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -146,27 +146,54 @@ class TokenFile:
 
 
 class LibraryMemo(dict):
-    """Chunk between white space to its ids as bytes, by the tokenizers library, which is called for
-    chunks not yet known. Neither its normaliser nor its words reach across white space."""
+    """Chunk between white space to its ids as bytes, by the tokenizers library, which is called for chunks not yet
+    known. Neither its normaliser nor its words reach across white space. Many chunks go in one call, with a
+    special token between them, whose id cuts the result again."""
 
-    def __init__(self, path: str, entries: int = 200_000) -> None:
+    def __init__(self, path: str, entries: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in added.values()]
+        cuts = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.cut = cuts[-1] if cuts else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.entries = entries
+        self.once: set[str] = set()
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        kind = f"<u{self.width}"
+        if not self.cut:
+            return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode(self.cut[1].join(chunks), add_special_tokens=False).ids, kind)
+        ends = np.flatnonzero(ids == self.cut[0])
+        data, w = ids.tobytes(), self.width
+        return [data[a * w : b * w] for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)]
 
     def learn(self, cut: list[list[str]]) -> None:
-        new = set().union(*cut) - self.keys()
+        """After this, every chunk of ``cut`` is known. When full, chunks that have come again stay."""
+        used = set().union(*cut)
+        new = used - self.keys()
+        self.once -= used
         if len(self) + len(new) > self.entries:
-            self.clear()
-            new = set().union(*cut)
-        new = list(new)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, f"<u{self.width}").tobytes()
+            for c in self.once:
+                del self[c]
+            self.once.clear()
+            if len(self) + len(new) > self.entries:
+                for c in self.keys() - used:
+                    del self[c]
+        self.once |= new
+        odd = [c for c in new if "<" in c and any(m in c for m in self.marks)]
+        for c in odd:
+            self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        plain = list(new.difference(odd))
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            self.update(zip(part, self.encode(part), strict=True))
 
 
 _memos: dict[str, LibraryMemo] = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import queries_classifiers, queries_decontamination, queries_near_dedup, queries_sharding, queries_tokens
+from tallyforge.llm import queries_classifiers, queries_decontamination, queries_line_dedup, queries_near_dedup, queries_sharding, queries_tokens, queries_warc
 
 QUERIES = {
     "op1_bpe": queries_tokens.op1_bpe,
     "op2_language": queries_classifiers.op2_language,
     "op3_token_files": queries_tokens.op3_token_files,
+    "op4_line_dedup": queries_line_dedup.op4_line_dedup,
     "op5_toxicity": queries_classifiers.op5_toxicity,
     "op6_decontamination": queries_decontamination.op6_decontamination,
+    "op7_warc": queries_warc.op7_warc,
     "op8_near_dedup": queries_near_dedup.op8_near_dedup,
     "op9_sharding": queries_sharding.op9_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**queries_warc.ORACLE_SQL}

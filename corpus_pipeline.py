@@ -1,17 +1,66 @@
-"""Documents to token ids in five stages: language ID, line dedup, near-dedup, decontamination, BPE."""
+"""Documents to token ids in five stages: language ID, line dedup, near-dedup, decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import shared
+from tallyforge.llm.bpe import encoded
+from tallyforge.llm.decontamination import decontaminated
+from tallyforge.llm.language import in_known_language, train
+from tallyforge.llm.line_dedup import deduplicated
+from tallyforge.llm.near_dedup import near_groups
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear. Those without letters and ambiguous ones go. The classifier learns from the
+    stage's own labelled rows."""
+    docs = docs.select(*COLUMNS)
+    return in_known_language(docs, train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line repeats; ``n_chars`` follows. A document all of whose text was
+    such lines has nothing left and goes; one that was empty before stays."""
+    left = deduplicated(docs.select(*COLUMNS))
+    gone = (F.col("n_dropped") > 0) & (F.trim("text", F.lit(" \n")) == "")
+    return left.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of
+    0.8 or more). Documents without an id are none's representative and stay."""
+    docs = docs.select(*COLUMNS)
+    dropped = near_groups(docs, n=5, percent=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    return decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, and the text that they decode to."""
+    return encoded(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
 
-STAGES: list = []
-#: A classifier and token ids are beyond SQL; the stages are tested against brute force.
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", bpe)]
+#: A classifier, edit distances and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over ``documents``; what a stage keeps is written and read again by the next."""
+    docs = shared.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = shared.materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -162,3 +162,24 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(near)], names=[key, "lang_pred", "score", "ambiguous"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose whole text has letters and one language that clearly wins.
+
+    Rejected are ``und`` and ambiguous texts; without a model nothing can be told apart and only texts without
+    letters go."""
+    shared.small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = ChunkScores(model.rows, len(model.bias) + 1) if model else None
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if model:
+                best, _, near = model.decide(scores.sums(texts))
+                yield batch.filter(pa.array((best >= 0) & ~near))
+            else:
+                yield batch.filter(pa.array([bool(words_of(t or "")) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

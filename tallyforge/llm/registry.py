@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import queries_classifiers, queries_decontamination, queries_line_dedup, queries_near_dedup, queries_sharding, queries_tokens, queries_warc
+from tallyforge.llm import (
+    queries_ann,
+    queries_classifiers,
+    queries_decontamination,
+    queries_line_dedup,
+    queries_near_dedup,
+    queries_sharding,
+    queries_tokens,
+    queries_warc,
+)
 
 QUERIES = {
     "op1_bpe": queries_tokens.op1_bpe,
@@ -14,5 +23,6 @@ QUERIES = {
     "op7_warc": queries_warc.op7_warc,
     "op8_near_dedup": queries_near_dedup.op8_near_dedup,
     "op9_sharding": queries_sharding.op9_sharding,
+    "op10_neighbours": queries_ann.op10_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {**queries_warc.ORACLE_SQL}

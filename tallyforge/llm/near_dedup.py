@@ -8,9 +8,10 @@ Documents are sets of word shingles. Equal sets form a class, and the classes ar
    most three candidates a class and node, however large a group of near copies is. Candidates whose sketches
    agree are confirmed on the full sets and merged into components.
 3. Nodes whose classes now lie in one component need nothing more. Of the rest, small ones are compared
-   exhaustively, sketch against sketch, for pairs in different components; large ones branch again by further
-   chosen tokens, level by level. What is still large at the last level is compared exhaustively as well, so that
-   no case is dropped. New pairs are confirmed on the full sets.
+   exhaustively, sketch against sketch, for pairs in different components, which are confirmed on the full sets.
+   Large ones branch again by further chosen tokens, level by level; but where many classes look like a leader,
+   branching would not part them, and those outside the node's largest component are compared on full sets with all
+   of the node, in blocks. So is what is still large at the last level: no case is dropped.
 
 A pair at the threshold is missed by a tree with a probability of about 0.06 at any depth, hence by all with less
 than 1e-6 at five trees. Confirmed links are exact. Only leaders' and undecided candidates' texts are read again.
@@ -33,7 +34,10 @@ from tallyforge.llm.shingles import digest, mixed, shingle_sets
 TOKENS = 64
 TREES, BRANCHES = 5, 2
 #: Nodes up to this size are compared exhaustively.
-SMALL = 128
+SMALL = 64
+#: A larger node in which this share of the classes looks like a leader is compared on full sets, by blocks of this
+#: many; others branch.
+CROWDED, BLOCK = 0.3, 512
 LEVELS = 6
 PART = 1_000_000
 _ODD = np.random.default_rng(99).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,12 +111,9 @@ def child_nodes(rows: DataFrame, branches: int) -> DataFrame:
     return rows.withColumn("node", F.explode(F.array_distinct(below)))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, *, n: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (``a``, ``b`` of classes) whose full sets are similar enough.
-
-    Texts of the classes that occur are read once, their sets written, and joined to the pairs."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct().join(vertices.select("vid", "rep"), "vid")
+def sets_of(vids: DataFrame, docs: DataFrame, vertices: DataFrame, *, n: int, text: str, key: str) -> DataFrame:
+    """``vid, shingles`` of the given classes: their texts are read again, their sets written."""
+    ends = vids.distinct().join(vertices.select("vid", "rep"), "vid")
     whole = shared.cased(docs, key, text).join(ends, F.col(key).eqNullSafe(F.col("rep"))).select("vid", text)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, *, n: int,
                 found = [(v, s) for (v, _), s in zip(rows, shingle_sets([t or "" for _, t in rows], n), strict=True) if class_id(s) == v]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["vid", "shingles"])
 
-    held = shared.materialised(whole.mapInArrow(sets, "vid long, shingles binary").dropDuplicates(["vid"]), "sets")
+    return shared.materialised(whole.mapInArrow(sets, "vid long, shingles binary").dropDuplicates(["vid"]), "sets")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b`` of classes) whose full sets are similar enough."""
     a, b = (held.select(F.col("vid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,52 @@ def confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, *, n: int,
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    return shared.materialised(joined.mapInArrow(alike, "a long, b long"), "links")
+    return joined.mapInArrow(alike, "a long, b long")
+
+
+def crowded_links(crowded: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links of crowded nodes (``node, vid, comp, size``) on full sets: classes outside the node's largest component
+    against all of the node, block by block. A task gives at most one link for each merge of components, never
+    all pairs."""
+    counts = crowded.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    giant = counts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("g")).select("node", F.col("g.comp").alias("giant"))
+    rows = crowded.join(giant, "node").join(held, "vid").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("vid", "node"), "nb"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    columns = ("vid", "comp", "shingles")
+    left = rows.filter("comp <> giant").select("node", F.col("own").alias("bl"), every.alias("br"), *columns)
+    right = rows.select(F.col("node").alias("node_r"), every.alias("bl_r"), F.col("own").alias("br_r"), *[F.col(c).alias(f"{c}_r") for c in columns])
+
+    def compare(some: pa.Table, all_: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if some.num_rows and all_.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in all_.column("shingles_r")]
+            sizes = np.array(list(map(len, sets)))
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            vids, comps = all_.column("vid_r").to_pylist(), all_.column("comp_r").to_pylist()
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := above.get(x, x)) != x:
+                    x = y
+                return x
+
+            for vid, comp, x in zip(some.column("vid").to_pylist(), some.column("comp").to_pylist(), some.column("shingles"), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                length = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(x) - common)).tolist():
+                    p, q = root(comp), root(comps[i])
+                    if p != q:
+                        above[max(p, q)] = min(p, q)
+                        out.append((vid, vids[i]))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return left.groupBy("node", "bl", "br").cogroup(right.groupBy("node_r", "bl_r", "br_r")).applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -147,47 +197,53 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
     is the smallest key reachable, itself included; ``kept`` says that it is the row's own. Rows with equal keys
     and texts get equal results; equal keys with different texts are one document. A null key is never the
     smallest beside others and never kept. An empty table gives no rows. Only key and text are read."""
-    spark = docs.sparkSession
     base = shared.materialised(features(docs, n=n, text=text, key=key), "features")
     filled = base.filter("n_shingles > 0")
     vertices = shared.materialised(filled.groupBy("vid").agg(F.min(key).alias("rep"), F.first(F.struct("n_shingles", "s1", "s2", "tokens")).alias("f")).select("vid", "rep", "f.*"), "vertices")
     columns = ["node", "vid", "n_shingles", "s1", "s2"]
+    me = F.struct("vid", "n_shingles", "s1", "s2")
+    read = {"n": n, "text": text, "key": key}
+
+    def members_of(rows: DataFrame) -> DataFrame:
+        """``node, m, size, l0, l1, l2`` of nodes with several classes; the last three are leaders."""
+        orders = [F.min(F.struct(F.xxhash64("vid", F.lit(i)).alias("o"), *[F.col(c) for c in columns[1:]])).alias(f"l{i}") for i in range(3)]
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), *orders).filter("size > 1")
+        return shared.materialised(rows.join(nodes, "node").select("node", me.alias("m"), "size", "l0", "l1", "l2"), "members")
 
     roots = vertices.withColumn("node", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])))
-    first = child_nodes(roots, BRANCHES).select(columns)
-    me = F.struct("vid", "n_shingles", "s1", "s2")
-    orders = [F.min(F.struct(F.xxhash64("vid", F.lit(i)).alias("o"), *[F.col(c) for c in columns[1:]])).alias(f"l{i}") for i in range(3)]
-    shared_nodes = first.groupBy("node").agg(F.count("*").alias("size"), *orders).filter("size > 1")
-    members = shared.materialised(first.join(shared_nodes, "node").select("node", me.alias("m"), "size", *[f"l{i}" for i in range(3)]), "members")
+    members = members_of(child_nodes(roots, BRANCHES).select(columns))
     stars = None
     for i in range(3):
         part = members.filter((F.col("m.vid") != F.col(f"l{i}.vid")) & plausible("m", f"l{i}", percent)).select(F.col("m.vid").alias("a"), F.col(f"l{i}.vid").alias("b"))
         stars = part if stars is None else stars.union(part)
     tied = shared.materialised(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    check = lambda pairs: confirmed(pairs, docs, vertices, n=n, percent=percent, text=text, key=key)
-    links = check(tied)
+    ends = lambda pairs: pairs.select(F.col("a").alias("vid")).union(pairs.select("b"))
+    links = shared.materialised(confirmed(tied, sets_of(ends(tied), docs, vertices, **read), percent), "links")
     merged = components(links)
 
-    open_rows = members.select("node", "size", "m")
-    more = None
+    pairs, crowded = None, None
+    near = plausible("m", "l0", percent) | plausible("m", "l1", percent) | plausible("m", "l2", percent)
     for level in range(LEVELS):
-        placed = open_rows.join(merged.withColumnRenamed("id", "vid"), F.col("m.vid") == F.col("vid"), "left").select("node", "m", F.coalesce("root", "m.vid").alias("comp"))
-        mixed_nodes = placed.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node", "size")
-        live = shared.materialised(placed.join(mixed_nodes, "node"), "open")
-        small = live if level == LEVELS - 1 else live.filter(F.col("size") <= SMALL)
-        x, y = small.alias("x"), small.alias("y")
-        close = x.select(F.col("node"), F.col("m").alias("p"), F.col("comp").alias("c")).join(y.select(F.col("node").alias("node2"), F.col("m").alias("q"), F.col("comp").alias("d")), (F.col("node") == F.col("node2")) & (F.col("c") < F.col("d")) & plausible("p", "q", percent))
-        pairs = close.select(F.least("p.vid", "q.vid").alias("a"), F.greatest("p.vid", "q.vid").alias("b"))
-        more = pairs if more is None else more.union(pairs)
-        large = live.filter(F.col("size") > SMALL).select("node", F.col("m.vid").alias("vid"))
-        if level == LEVELS - 1 or large.isEmpty():
+        last = level == LEVELS - 1
+        placed = members.select("node", "m", near.alias("near")).join(merged.withColumnRenamed("id", "vid"), F.col("m.vid") == F.col("vid"), "left").select("node", "m", "near", F.coalesce("root", "m.vid").alias("comp"))
+        kinds = placed.groupBy("node").agg(F.count("*").alias("size"), F.count_if("near").alias("close"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        kind = F.when(F.col("size") <= SMALL, "small").when(F.lit(last) | (F.col("close") >= CROWDED * F.col("size")), "crowded").otherwise("open")
+        live = shared.materialised(placed.join(kinds.select("node", "size", kind.alias("kind")), "node").drop("near"), "open")
+        small = live.filter("kind = 'small'")
+        p, q = small.select("node", F.col("m").alias("p"), F.col("comp").alias("c")), small.select(F.col("node").alias("node2"), F.col("m").alias("q"), F.col("comp").alias("d"))
+        close = p.join(q, (F.col("node") == F.col("node2")) & (F.col("c") < F.col("d")) & plausible("p", "q", percent)).select(F.least("p.vid", "q.vid").alias("a"), F.greatest("p.vid", "q.vid").alias("b"))
+        pairs = close if pairs is None else pairs.union(close)
+        full = live.filter("kind = 'crowded'").select("node", F.col("m.vid").alias("vid"), "comp", "size")
+        crowded = full if crowded is None else crowded.union(full)
+        large = live.filter("kind = 'open'").select("node", F.col("m.vid").alias("vid"))
+        if last or large.isEmpty():
             break
-        below = child_nodes(large.join(vertices, "vid"), BRANCHES).select(columns)
-        sizes = below.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        open_rows = shared.materialised(below.join(sizes, "node").select("node", "size", me.alias("m")), "below")
-    pairs = shared.materialised(more.distinct().join(tied, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        merged = components(links.union(check(pairs)))
+        members = members_of(child_nodes(large.join(vertices, "vid"), BRANCHES).select(columns))
+    pairs = shared.materialised(pairs.distinct().join(tied, ["a", "b"], "left_anti"), "pairs")
+    held = sets_of(ends(pairs).union(crowded.select("vid")), docs, vertices, **read)
+    more = shared.materialised(confirmed(pairs, held, percent).union(crowded_links(crowded, held, percent)), "more-links")
+    if not more.isEmpty():
+        merged = components(links.union(more))
 
     named = vertices.select("vid", "rep").join(merged.withColumnRenamed("id", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

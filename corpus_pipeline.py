@@ -23,14 +23,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. Those without letters and ambiguous ones go. The classifier learns from the
     stage's own labelled rows."""
-    docs = docs.select(*COLUMNS)
+    docs = shared.cased(docs, *COLUMNS)
     return in_known_language(docs, train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line repeats; ``n_chars`` follows. A document all of whose text was
     such lines has nothing left and goes; one that was empty before stays."""
-    left = deduplicated(docs.select(*COLUMNS))
+    left = deduplicated(shared.cased(docs, *COLUMNS))
     gone = (F.col("n_dropped") > 0) & (F.trim("text", F.lit(" \n")) == "")
     return left.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -38,19 +38,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of
     0.8 or more). Documents without an id are none's representative and stay."""
-    docs = docs.select(*COLUMNS)
+    docs = shared.cased(docs, *COLUMNS)
     dropped = near_groups(docs, n=5, percent=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
-    return decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminated(shared.cased(docs, *COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, and the text that they decode to."""
-    return encoded(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return encoded(shared.cased(docs, *COLUMNS), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", bpe)]

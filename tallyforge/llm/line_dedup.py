@@ -124,8 +124,13 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     stays null, with no lines; an empty text has one, empty, line. Rows with equal key and text are one document and
     give equal rows. Long texts are whole; other columns pass as they are."""
     gone = dropped_lines(docs, text=text, key=key)
-    mine = docs.withColumn("_t", F.xxhash64(text))
-    joined = mine.join(sized(gone), mine[key].eqNullSafe(gone["k"]) & (mine["_t"] == gone["t"]), "left")
-    lines = F.split(text, "\n")
-    left = F.when(F.col("drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n"))
-    return joined.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
+    # columns go by place, so that no name of the input can clash with one of these
+    names = list(docs.columns)
+    mine = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    whole, own = F.col(f"c{names.index(text)}"), F.col(f"c{names.index(key)}")
+    joined = mine.withColumn("hash", F.xxhash64(whole)).join(sized(gone), own.eqNullSafe(F.col("k")) & (F.col("hash") == F.col("t")), "left")
+    lines = F.split(whole, "\n")
+    left = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n"))
+    kept = [left if c == text else F.col(f"c{i}") for i, c in enumerate(names)]
+    out = joined.select(*kept, F.coalesce(F.when(whole.isNotNull(), F.size(lines)), F.lit(0)), F.coalesce(F.size("drop"), F.lit(0)))
+    return out.toDF(*names, "n_lines", "n_dropped")

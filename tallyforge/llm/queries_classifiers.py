@@ -16,12 +16,12 @@ def fold(folds: int):
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
+    docs = shared.cased(shared.documents(spark, sf_dir), "doc_id", "text", "lang")
     model = train(docs.filter(fold(4) != 2))
     return identified(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(3) != 1)
+    labels = shared.cased(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "toxic").filter(fold(3) != 1)
     return scored(docs, toxicity.train(docs, labels)).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")

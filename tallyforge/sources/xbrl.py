@@ -1,0 +1,91 @@
+"""XBRL instances to facts in long form. Parsing XML is sequential, so a file is one Python call; the rest is columns."""
+
+from __future__ import annotations
+
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from datetime import date, timedelta
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = "origin string, concept string, period_kind string, period_start date, period_end date, segment string, value double, unit string, decimals int, issue string"
+
+
+def local(name: str) -> str:
+    return name.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
+
+
+def contexts(root: ET.Element) -> dict[str, tuple[date | None, date, list[str]]]:
+    """Of each context: start (None for an instant), end, and members of its dimensions."""
+    out = {}
+    for c in root.iter():
+        if local(c.tag) != "context":
+            continue
+        dates = {local(x.tag): date.fromisoformat(x.text.strip()[:10]) for x in c.iter() if local(x.tag) in ("startDate", "endDate", "instant") and x.text}
+        members = [local((x.text or "").strip()) or "".join(x.itertext()).strip() for x in c.iter() if local(x.tag) in ("explicitMember", "typedMember")]
+        if "instant" in dates or "endDate" in dates:
+            out[c.get("id", "")] = dates.get("startDate") if "instant" not in dates else None, dates.get("instant") or dates["endDate"], members
+    return out
+
+
+def parse(data: bytes, skip_marker: str = "Skip") -> list[dict]:
+    """Numeric facts. Blank and nil elements and descriptions are none; of equal facts the first counts and a differing
+    repeat is an issue, except that a cash balance filed twice for a span is its opening and closing."""
+    root = ET.fromstring(data)
+    where = contexts(root)
+    texts: dict[str, dict[str, str]] = {}
+    for x in root:
+        if x.get("contextRef") and not x.get("unitRef") and (x.text or "").strip():
+            texts.setdefault(x.get("contextRef"), {})[local(x.tag)] = x.text.strip()
+    units = {u.get("id"): local(next((m.text or "" for m in u.iter() if local(m.tag) == "measure"), "")) for u in root if local(u.tag) == "unit"}
+    found: dict[tuple, dict] = {}
+    seen: dict[tuple, int] = {}
+    rows = []
+    for x in root:
+        ctx, name = x.get("contextRef"), local(x.tag)
+        if ctx not in where or not x.get("unitRef") or skip_marker in ctx or name.startswith(("Description", "NameOf")) or not (x.text or "").strip():
+            continue
+        start, end, members = where[ctx]
+        if "CashAndCashEquivalents" in name and start:
+            place = seen[name, ctx] = seen.get((name, ctx), 0) + 1
+            end = start - timedelta(days=1) if place == 1 else end
+            start = None
+        described = [v for k, v in sorted(texts.get(ctx, {}).items()) if k.startswith("Description")]
+        segment = (described[0] if described else members[0]) if members else None
+        decimals = x.get("decimals")
+        row = {"concept": name, "period_kind": "duration" if start else "instant", "period_start": start, "period_end": end, "segment": segment, "value": None, "unit": units.get(x.get("unitRef")), "decimals": None if decimals in (None, "INF") else int(decimals), "issue": None}
+        try:
+            row["value"] = float(x.text.strip())
+        except ValueError:
+            rows.append(row | {"issue": f"{name}: {x.text.strip()!r} is no number"})
+            continue
+        key = (name, start, end, segment, row["unit"])
+        if key not in found:
+            found[key] = row
+            rows.append(row)
+        elif found[key]["value"] != row["value"]:
+            rows.append(row | {"issue": f"{name}: {row['value']} after {found[key]['value']}", "value": None})
+    return rows
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Facts and issues of ``files(path, content)`` as ``binaryFile`` gives them. A file that can't be parsed is one row
+    with an issue, and the others go on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows += [{"origin": path} | r for r in parse(content)]
+                except (ET.ParseError, ValueError) as e:
+                    rows.append({"origin": path, "issue": f"it can't be parsed: {e}"})
+            frame = pd.DataFrame(rows, columns=names)
+            for c in ("period_start", "period_end"):
+                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+            frame["decimals"] = frame["decimals"].astype("Int32")
+            yield frame
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)

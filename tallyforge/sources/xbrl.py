@@ -84,7 +84,7 @@ def facts(files: DataFrame) -> DataFrame:
                     rows.append({"origin": path, "issue": f"it can't be parsed: {e}"})
             frame = pd.DataFrame(rows, columns=names)
             for c in ("period_start", "period_end"):
-                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+                frame[c] = pd.Series([None if pd.isna(v) else v for v in frame[c]], dtype=object)
             frame["decimals"] = frame["decimals"].astype("Int32")
             yield frame
 

@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import date, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "origin string, concept string, period_kind string, period_start date, period_end date, segment string, value double, unit string, decimals int, issue string"
@@ -73,19 +73,16 @@ def facts(files: DataFrame) -> DataFrame:
     """Facts and issues of ``files(path, content)`` as ``binaryFile`` gives them. A file that can't be parsed is one row
     with an issue, and the others go on."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        for f in frames:
+    kinds = pa.schema([("origin", pa.string()), ("concept", pa.string()), ("period_kind", pa.string()), ("period_start", pa.date32()), ("period_end", pa.date32()), ("segment", pa.string()), ("value", pa.float64()), ("unit", pa.string()), ("decimals", pa.int32()), ("issue", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
+            for file in batch.to_pylist():
                 try:
-                    rows += [{"origin": path} | r for r in parse(content)]
+                    rows += [{"origin": file["path"]} | r for r in parse(file["content"])]
                 except (ET.ParseError, ValueError) as e:
-                    rows.append({"origin": path, "issue": f"it can't be parsed: {e}"})
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("period_start", "period_end"):
-                frame[c] = pd.Series([None if pd.isna(v) else v for v in frame[c]], dtype=object)
-            frame["decimals"] = frame["decimals"].astype("Int32")
-            yield frame
+                    rows.append({"origin": file["path"], "issue": f"it can't be parsed: {e}"})
+            yield pa.RecordBatch.from_pylist([{name: r.get(name) for name in kinds.names} for r in rows], schema=kinds)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import periods as P
 from tallyforge.functions import text as X
+from tallyforge.operators import crosscheck as C
 from tallyforge.operators import documents as D
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import facts as A
@@ -436,3 +437,49 @@ def tfidf_classifier(read, spark):
     ]
     model = Pipeline(stages=steps).fit(rows)
     return model.transform(rows).select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("""WITH p AS (SELECT doc_id, list(s ORDER BY s) AS starts FROM (SELECT doc_id, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS s FROM (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) GROUP BY 1),
+c AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 1000 + 1)) * 1000 AS begins, text FROM documents WHERE length(text) > 0)
+SELECT doc_id, begins, CAST(len(list_filter(starts, lambda s: s <= begins)) AS INTEGER) AS page FROM c JOIN p USING (doc_id) WHERE length(substr(text, begins + 1, 1200)) >= 80""")
+def offset_pages(read, spark):
+    """As-of look-up: the page (here: line) on which a chunk starts."""
+    lines = F.split("text", "\n")
+    docs = read("documents").filter("text IS NOT NULL")
+    chunks = D.fixed_chunks(docs).select("doc_id", F.col("start").cast("long").alias("begins"))
+    pages = docs.select("doc_id", F.posexplode(lines).alias("pos", "line")).withColumn("s", F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - F.length("line") - 1)
+    listed = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("starts"))
+    return chunks.join(listed, "doc_id").select("doc_id", "begins", F.size(F.filter("starts", lambda x: x <= F.col("begins"))).alias("page"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS fact_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, o_totalprice AS value FROM orders),
+c AS (SELECT l_orderkey AS document, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
+SELECT fact_id, document, CASE WHEN abs(f.value - c.value) <= 0.005 + 1e-9 THEN 'agree' ELSE 'differ' END AS outcome FROM f JOIN c USING (ticker, period_end)""")
+def crosscheck_cells(read, spark):
+    o = read("orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("period_end"), F.col("o_totalprice").alias("value"))
+    facts = o.select("*", F.lit("standalone").alias("basis"), F.lit(0).alias("months"), F.lit("INR").alias("unit"), F.lit(False).alias("per_share"), F.array(F.lit("total"), F.lit("price")).alias("words"))
+    sums = read("lineitem").groupBy(F.col("l_orderkey").alias("document")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("value"))
+    printed = sums.join(o.select(F.col("fact_id").alias("document"), "ticker", "period_end"), "document").withColumn("printed", F.format_string("%,.2f", "value"))
+    cells = printed.select("ticker", "document", F.lit(None).cast("string").alias("basis"), F.lit(1.0).alias("scale"), F.lit(1).alias("place"), "period_end", F.lit(0).alias("months"), "printed", X.printed_number(F.col("printed")).alias("p"), F.array(F.lit("total"), F.lit("price")).alias("words"))
+    return C.checked(facts, cells.select("*", "p.*").drop("p")).select("fact_id", "document", "outcome")
+
+
+@query("""WITH s AS (SELECT source, lang AS phrasing, toxic IS NOT NULL AS held, CASE WHEN toxic IS NOT NULL THEN 1 + (n_chars > 500)::INT + 5 * (n_chars > 5000)::INT END AS rank, CASE WHEN quality = 1 THEN toxic = 0 END AS exact FROM documents LEFT JOIN labels USING (doc_id))
+SELECT source, phrasing, count(*) AS figures, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE rank <= 1) AS found_1, count(*) FILTER (WHERE rank <= 5) AS found_5, CASE WHEN count(exact) > 0 THEN count(*) FILTER (WHERE exact) END AS exact FROM s GROUP BY 1, 2""")
+def coverage_summary(read, spark):
+    rows = read("documents").join(read("labels"), "doc_id", "left")
+    held = F.col("toxic").isNotNull()
+    rank = F.when(held, 1 + (F.col("n_chars") > 500).cast("int") + 5 * (F.col("n_chars") > 5000).cast("int"))
+    return C.coverage(rows.select("source", F.col("lang").alias("phrasing"), held.alias("held"), rank.alias("rank"), F.when(F.col("quality") == 1, F.col("toxic") == 0).alias("exact")))
+
+
+@query("""SELECT l_suppkey AS concept, max(l_quantity) AS largest, count(DISTINCT l_partkey) AS parts, min(l_shipdate)::DATE AS first_day, mode(l_returnflag) IS NOT NULL AS has_mode FROM lineitem GROUP BY 1""")
+def concept_summary(read, spark):
+    return read("lineitem").groupBy(F.col("l_suppkey").alias("concept")).agg(F.max("l_quantity").alias("largest"), F.count_distinct("l_partkey").alias("parts"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.mode("l_returnflag").isNotNull().alias("has_mode"))
+
+
+@query("""SELECT c_custkey, string_agg(o_orderkey::VARCHAR, '; ' ORDER BY o_orderkey) AS aliases, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
+def concept_aliases(read, spark):
+    rows = read("customer").select("c_custkey").join(read("orders").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "; ")
+    return rows.groupBy("c_custkey").agg(F.when(F.count("o_orderkey") > 0, listed).alias("aliases"), F.count("o_orderkey").alias("n"))

@@ -2,8 +2,8 @@
 
 A sparse logistic model over words and their beginnings, over the distinct words of a text. In training, every
 identity term in a labelled text is swapped for the others of its list, and the squared change of the text's
-score is penalised, as is the change between sentences that differ in nothing but the term. A group's mention
-then can't carry weight of its own, which spares neutral mentions.
+score is penalised, as is the change between sentences that differ in nothing but the term, or its absence. A
+group's mention then can't carry weight of its own, which spares neutral mentions.
 
 The model is fitted on the driver from at most ``SAMPLE`` labelled rows (whole texts, half of them for either
 label if there are enough), drawn by a hash; a row is its hashed features by then. Scoring covers all rows.
@@ -87,7 +87,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(sums[:, 0] + self.bias, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int]]], *, counterfactual: float = 1.0, sparsity: float = 1e-3, rounds: int = 500) -> ToxicityModel:
+def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int]]], *, counterfactual: float = 20.0, sparsity: float = 1e-3, rounds: int = 500) -> ToxicityModel:
     """Accelerated proximal gradient steps on the logistic loss, the counterfactual penalty and a sparsity term.
 
     Screening keeps the features that tell the labels apart best (by the deviation of their counts from what the
@@ -107,15 +107,16 @@ def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int]
     owner = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
     column = index[np.concatenate(rows)]
     owner, column = owner[column >= 0], column[column >= 0]
-    pairs = changes + [(features_of(b), features_of(a)) for g in IDENTITY for a, b in zip(g, g[1:], strict=False)]
-    # features are scaled to a mean square of one, so that rare words move as fast as common ones
+    # sentences that differ in a term alone, and those that have one or none
+    pairs = changes + [(features_of(b), features_of(a)) for g in IDENTITY for a, b in zip(g, g[1:], strict=False)] + [([], features_of(t)) for g in IDENTITY for t in g]
+    # features are scaled towards a mean square of one, so that rare words move nearly as fast as common ones
     times = np.bincount(owner * len(kept) + column) if n * len(kept) < 1 << 26 else None
     square = np.bincount(np.arange(len(times)) % len(kept), times.astype(float) ** 2, len(kept)) if times is not None else np.bincount(column, minlength=len(kept)).astype(float)
-    scale = 1 / np.sqrt(np.maximum(square, 1) / n)
+    scale = 1 / np.sqrt(np.maximum(square / n, 0.01))
     delta = np.zeros((len(pairs), len(kept)))
     for i, (plus, minus) in enumerate(pairs):
-        np.add.at(delta[i], index[plus], 1)
-        np.add.at(delta[i], index[minus], -1)
+        np.add.at(delta[i], index[np.array(plus, int)], 1)
+        np.add.at(delta[i], index[np.array(minus, int)], -1)
     delta *= scale
     y = label.astype(float)
     forward = lambda v: np.bincount(owner, (v * scale)[column], n)

@@ -11,6 +11,7 @@ label if there are enough), drawn by a hash; a row is its hashed features by the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,10 +46,7 @@ NOT_WORD = regex.compile(r"[^\p{L}\p{M}]+")
 
 def bucket(feature: str) -> int:
     """A stable hash of a feature."""
-    h = 0xCBF29CE484222325
-    for b in feature.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h >> 20) % BUCKETS
+    return zlib.crc32(feature.encode()) * 0x9E3779B1 % (1 << 32) >> 14
 
 
 def words_of(text: str) -> list[str]:

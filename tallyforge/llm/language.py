@@ -28,6 +28,8 @@ ORDERS, BUCKETS = (1, 2, 3), 4096
 SAMPLE = 2400
 #: A text is ambiguous if the runner-up's loss is at most this share of all weight above the winner's.
 MARGIN = 0.25
+#: An ambiguous text with at least this score is still kept.
+SURE = 0.6
 LETTERS = regex.compile(r"[^\p{L}]+")
 UNKNOWN = "und"
 
@@ -167,7 +169,8 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "tex
 def in_known_language(docs: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
     """The rows, with all their columns, whose whole text has letters and one language that clearly wins.
 
-    Rejected are ``und`` and ambiguous texts; without a model nothing can be told apart and only texts without
+    Rejected are ``und`` texts, and ambiguous ones with a score under ``SURE``: about even mixtures of languages, or
+    neither; without a model nothing can be told apart and only texts without
     letters go."""
     shared.small_batches(docs.sparkSession)
     at = docs.columns.index(text)
@@ -177,8 +180,8 @@ def in_known_language(docs: DataFrame, model: LanguageModel | None, *, text: str
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if model:
-                best, _, near = model.decide(scores.sums(texts))
-                yield batch.filter(pa.array((best >= 0) & ~near))
+                best, score, near = model.decide(scores.sums(texts))
+                yield batch.filter(pa.array((best >= 0) & ~(near & (score < SURE))))
             else:
                 yield batch.filter(pa.array([bool(words_of(t or "")) for t in texts], pa.bool_()))
 

@@ -171,5 +171,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text")
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = shared.filtered(docs, run)
     return docs

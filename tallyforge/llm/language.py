@@ -185,4 +185,4 @@ def in_known_language(docs: DataFrame, model: LanguageModel | None, *, text: str
             else:
                 yield batch.filter(pa.array([bool(words_of(t or "")) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.filtered(docs, run)

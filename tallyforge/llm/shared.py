@@ -60,3 +60,9 @@ def cased(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by exact name, so that further or clashing columns (``Text``, ``text ``)
     of the input never reach the operator. Of equal names, the first counts."""
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{df.columns.index(c)}").alias(c) for c in wanted])
+
+
+def filtered(df: DataFrame, run) -> DataFrame:
+    """Rows of ``mapInArrow(run)``, which keeps the schema. Columns go by place meanwhile, so that names can clash."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

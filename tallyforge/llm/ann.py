@@ -4,7 +4,9 @@ Largest inner products become smallest distances by one more coordinate, which f
 norm. Balanced k-means on a bounded sample gives centroids; their number grows with the rows up to ``MAX_LISTS``, and an
 in-memory graph over them is searched with a beam. Every vector goes to its nearest centroid's posting list and, near a
 boundary, to further ones within a ratio of distances, unless one chosen before is closer to that centroid than the
-vector is. A query searches the lists whose centroids lie within a ratio of the nearest one's distance.
+vector is. Lists that lie near one another share a bundle of up to ``BLOCK`` vectors. A query searches the bundles whose
+nearest centroid is at most a slack further than the nearest of all. The slack has no bound of its own: it is the least
+by which queries drawn from the table find the wanted share of their neighbours, which one exact pass gives.
 
 Equal vectors are indexed once, with their smallest ids, as many as a result can hold. Long lists and many queries of
 a list are split into blocks, so that a task's share is bounded whatever the groups; every row is indexed and no
@@ -28,6 +30,8 @@ SAMPLE, MAX_LISTS = 20_000, 8_192
 #: Vectors and queries that one task compares at a time.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 DEGREE = 24
+#: Queries that the slack is fitted on, and queries that a worker ranks at a time.
+TRIED, CHUNK = 400, 256
 
 
 @dataclass
@@ -109,6 +113,64 @@ def centroids(sample: np.ndarray, lists: int) -> Centroids:
     return Centroids(points, links)
 
 
+def bundles(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bundle of each list: lists with near centroids together, up to ``BLOCK`` vectors or a single list."""
+    groups = balanced(points, max(1, len(points) // 16))
+    out, bundle, size = np.zeros(len(points), np.int64), 0, 0
+    for i in np.argsort(((groups**2).sum(1) - 2 * points @ groups.T).argmin(1), kind="stable"):
+        if size and size + counts[i] > BLOCK:
+            bundle, size = bundle + 1, 0
+        out[i] = bundle
+        size += counts[i]
+    return out
+
+
+def distances(q: np.ndarray, points: np.ndarray, bundle: np.ndarray) -> np.ndarray:
+    """Squared distance of each query to the nearest centroid of each bundle."""
+    by = np.argsort(bundle, kind="stable")
+    d = ((q**2).sum(1)[:, None] + (points**2).sum(1) - 2 * q @ points.T)[:, by]
+    return np.minimum.reduceat(d, np.searchsorted(bundle[by], np.arange(bundle.max() + 1)), axis=1)
+
+
+def slack(posted: DataFrame, tried: list, far: np.ndarray, bundle: np.ndarray, k: int, copies: int, recall: float) -> float:
+    """The least slack by which the drawn queries find a share of ``recall`` of their ``k`` neighbours, exactly.
+
+    ``far``: as of ``distances``. Of every vector's postings only the nearest to a query counts, and a result needs
+    ``copies * (k + 1)`` postings at most."""
+    room = copies * (k + 1)
+    asked = posted.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in tried], float))  # TRIED vectors
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, kept = asked.value, None
+        for batch in batches:
+            ids = batch.column("ids")
+            first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+            plain = [x.to_numpy(zero_copy_only=False) for x in (batch.column("list"), ids.value_lengths())]
+            new = [q @ matrix(batch.column("v")).T, *(np.tile(x, (len(q), 1)) for x in (plain[0], first, plain[1]))]
+            kept = new if kept is None else [np.concatenate(x, 1) for x in zip(kept, new, strict=True)]
+            if kept[0].shape[1] > room:
+                at = np.argpartition(-kept[0], room - 1, 1)[:, :room]
+                kept = [np.take_along_axis(x, at, 1) for x in kept]
+        if kept is not None:
+            t = np.repeat(np.arange(len(q)), kept[0].shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(x.ravel()) for x in (kept[0], *(x.astype(np.int64) for x in kept[1:])))], names=["t", "score", "list", "first", "n"])
+
+    found = posted.select("list", "ids", "v").mapInArrow(best, "t long, score double, list long, first long, n long")
+    order = Window.partitionBy("t").orderBy(F.desc("score"), "first", "list")
+    rows = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= room).orderBy("t", "r").collect()
+    lists: list[dict[int, list]] = [{} for _ in tried]
+    for r in rows:  # classes come by score
+        lists[r["t"]].setdefault(r["first"], [r["n"], []])[1].append(r["list"])
+    needs = []
+    for i, classes in enumerate(lists):
+        left = k
+        for first, (n, own) in classes.items():
+            n = min(n - (first == tried[i]["ids"][0]), left)  # the query itself is no neighbour
+            needs += [far[i, bundle[own]].min() - far[i].min()] * n
+            left -= n
+    return float(np.sort(needs)[min(len(needs) - 1, int(np.ceil(recall * len(needs))) - 1)]) if needs else 0.0
+
+
 def vectors(table: DataFrame, vector: str, key: str) -> DataFrame:
     """``id, v, h, g`` of the rows that take part: no null id, vector of the commonest length, finite, not zero."""
     rows = shared.cased(table, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -124,14 +186,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", beam: int = 96, closure: float = 0.15, copies: int = 3, ratio: float = 0.25, least: int = 20) -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", recall: float = 0.98, closure: float = 0.15, copies: int = 3, least: int = 20) -> DataFrame:
     """``query_id, rank, key, score``: the ``k`` largest inner products found for every row whose id is divisible by
     ``queries``, among all other rows; equal scores go by the smaller id.
 
     ``closure``, ``copies``: by how much further a list may be than the nearest to hold a copy of a vector, and in how
-    many lists at most. ``ratio``: by how much further than the nearest a list may be to be searched; ``beam``: how many
-    lists at most. ``least``: lists are searched until they hold so many times the vectors that a result needs. Vectors that are null, zero or hold a null or non-finite number, or are of another length than most,
-    and null ids take no part. Equal rows count once. An empty table gives no rows."""
+    many lists at most. ``recall``: the share of neighbours that is found of queries drawn from the table, which sets how
+    far queries search. ``least``: lists are searched until they hold so many times the vectors that a result needs.
+    Vectors that are null, zero or hold a null or non-finite number, or are of another length than most, and null ids take no part. Equal rows count once. An empty table gives no rows."""
     spark = table.sparkSession
     shared.small_batches(spark, 2000)
     rows = vectors(table, vector, key)
@@ -164,28 +226,40 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
             at, j = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at, j]), *(batch.column(c).take(pa.array(at)) for c in ("h", "ids", "v"))], names=["list", "h", "ids", "v"])
 
+    def norm(x: np.ndarray) -> np.ndarray:
+        """Queries at the length of the lifted vectors; the order of inner products doesn't depend on a query's length."""
+        x = x / np.abs(x).max(1, keepdims=True)
+        return np.concatenate([x * np.sqrt(largest / (x**2).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
-            x = matrix(batch.column("v"))
-            ids, d = own.search(np.concatenate([x, np.zeros((len(x), 1))], 1), beam)
-            if (held[ids].sum(1) < enough).any():  # lists so small that more of them are needed than the beam holds
-                ids, d = own.search(np.concatenate([x, np.zeros((len(x), 1))], 1), len(own.points))
-            before = np.cumsum(held[ids], 1) - held[ids]
-            at, j = np.nonzero((d <= (1 + ratio) ** 2 * d[:, :1]) | (before < enough))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at, j]), *(batch.column(c).take(pa.array(at)) for c in ("h", "g", "v"))], names=["list", "h", "g", "v"])
+        for whole in batches:
+            for at in range(0, len(whole), CHUNK):
+                batch = whole.slice(at, CHUNK)
+                far = distances(norm(matrix(batch.column("v"))), own.points, bundle)
+                order = np.argsort(far, 1, kind="stable")
+                before = np.empty_like(order)
+                np.put_along_axis(before, order, np.cumsum(sizes[order], 1) - sizes[order], 1)
+                i, j = np.nonzero((far <= far.min(1, keepdims=True) + wide) | (before < enough))
+                yield pa.RecordBatch.from_arrays([pa.array(j), *(batch.column(c).take(pa.array(i)) for c in ("h", "g", "v"))], names=["bundle", "h", "g", "v"])
 
     posted = shared.materialised(classes.mapInArrow(post, "list long, h long, ids array<long>, v array<double>"), "postings")
     held = np.zeros(len(book.points), np.int64)
     for r in posted.groupBy("list").count().collect():  # a row for each list
         held[r["list"]] = r["count"]
     enough = least * copies * (k + 1)
-    wanted = shared.materialised(classes.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi").mapInArrow(ask, "list long, h long, g long, v array<double>"), "queries")
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("nb")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("nq")), "list")
-    blocks = F.broadcast(blocks)  # a row for each list: MAX_LISTS at most
+    bundle = bundles(book.points, held)
+    sizes = np.bincount(bundle, held).astype(np.int64)
+    asking = shared.materialised(classes.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi"), "asking")
+    tried = asking.orderBy(F.xxhash64("h"), "g").limit(TRIED).collect()
+    wide = slack(posted, tried, distances(norm(np.array([r["v"] for r in tried])), book.points, bundle), bundle, k, copies, recall) if tried else 0.0
+    wanted = shared.materialised(asking.mapInArrow(ask, "bundle long, h long, g long, v array<double>"), "queries")
+    nq = {r["bundle"]: -(-r["count"] // QUERY_BLOCK) for r in wanted.groupBy("bundle").count().collect()}  # a row for each bundle
+    rows_of = [(i, int(b), -(-int(sizes[b]) // BLOCK), nq[b]) for i, b in enumerate(bundle.tolist()) if b in nq]
+    blocks = F.broadcast(spark.createDataFrame(rows_of, "list long, bundle long, nb long, nq long"))  # MAX_LISTS rows at most
     lay = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    left = posted.join(blocks, "list").select("list", F.pmod("h", "nb").alias("b"), F.explode(lay("nq")).alias("q"), "ids", "v")
-    right = wanted.join(blocks, "list").select("list", F.explode(lay("nb")).alias("b"), F.pmod("h", "nq").alias("q"), "h", "g", "v")
+    left = posted.join(blocks, "list").select("bundle", F.pmod("h", "nb").alias("b"), F.explode(lay("nq")).alias("q"), "ids", "v")
+    right = wanted.join(F.broadcast(blocks.select("bundle", "nb", "nq").distinct()), "bundle").select("bundle", F.explode(lay("nb")).alias("b"), F.pmod("h", "nq").alias("q"), "h", "g", "v")
 
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         kinds = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
@@ -193,14 +267,21 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
             return kinds.empty_table()
         held, asked = held.combine_chunks(), asked.combine_chunks()
         one = lambda t, c: t.column(c).chunk(0)
-        scores = matrix(one(asked, "v")) @ matrix(one(held, "v")).T
-        first = np.array([x[0] for x in held.column("ids").to_pylist()])
-        by_id = np.argsort(first, kind="stable")
-        order = by_id[np.argsort(-scores[:, by_id], 1, kind="stable")[:, : k + 1]]
-        q = np.repeat(np.arange(len(scores)), order.shape[1])
-        return pa.table([one(asked, "h").take(pa.array(q)), one(asked, "g").take(pa.array(q)), pa.array(np.take_along_axis(scores, order, 1).ravel()), one(held, "ids").take(pa.array(order.ravel()))], schema=kinds)
-
-    found = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInArrow(compare, "h long, g long, score double, ids array<long>")
+        ids = one(held, "ids")
+        first, at = np.unique(ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()], return_index=True)  # once, whatever its lists
+        x, ids, parts = matrix(one(held, "v"))[at], ids.take(pa.array(at)), []
+        for lo in range(0, asked.num_rows, CHUNK):
+            scores = matrix(one(asked, "v").slice(lo, CHUNK)) @ x.T
+            last = np.partition(scores, -min(k + 1, len(x)), 1)[:, -min(k + 1, len(x))]
+            q, c = np.nonzero(scores >= last[:, None])
+            order = np.lexsort((c, -scores[q, c], q))  # c goes by id
+            q, c = q[order], c[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) <= k
+            q, c = q[top], c[top]
+            parts.append(pa.table([one(asked, "h").take(pa.array(q + lo)), one(asked, "g").take(pa.array(q + lo)), pa.array(scores[q, c]), ids.take(pa.array(c))], schema=kinds))
+        return pa.concat_tables(parts)
+
+    found = left.groupBy("bundle", "b", "q").cogroup(right.groupBy("bundle", "b", "q")).applyInArrow(compare, "h long, g long, score double, ids array<long>")
     # a vector found in several lists counts once; its score may differ there in the last bit
     single = found.select("h", "g", "score", F.explode("ids").alias("id")).groupBy("h", "g", "id").agg(F.max("score").alias("score"))
     by_class = Window.partitionBy("h", "g").orderBy(F.desc("score"), "id")

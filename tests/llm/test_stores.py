@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallyforge.llm import ann, warc
@@ -71,3 +73,17 @@ def test_few_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few).collect())
     assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
     assert ann.nearest(few.limit(0)).count() == 0
+
+
+def test_recall_holds_without_structure(spark, tmp_path):
+    """Vectors without clusters have their neighbours in many lists, more with every row."""
+    x = np.random.default_rng(9).normal(size=(40_000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))}), f"{tmp_path}/x.parquet", row_group_size=5_000)
+    got = ann.nearest(spark.read.parquet(f"{tmp_path}/x.parquet"), queries=200).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for q in range(0, len(x), 200):
+        score = x @ x[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 200 and hits / (20 * 200) >= 0.97

@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line repeats; ``n_chars`` follows. A document all of whose text was
     such lines has nothing left and goes; one that was empty before stays."""
-    left = deduplicated(shared.cased(docs, *COLUMNS))
+    left = deduplicated(shared.cased(docs, *COLUMNS), shortest=1)
     gone = (F.col("n_dropped") > 0) & (F.trim("text", F.lit(" \n")) == "")
     return left.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

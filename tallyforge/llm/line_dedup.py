@@ -5,7 +5,7 @@ other less one letter, or both are equal less the letter at the same place. So e
 one letter at each place, are emitted as hashed keys; equal keys meet, and the earliest line that a line meets is
 verified by edit distance. Every line that has an earlier one within the bound goes.
 
-Equal lines are joined first, by 128 bits of hash. Of distinct lines, only those can have a neighbour that share
+Equal lines are joined first, by 128 bits of hash, however short they are. Of distinct lines of ``MIN_CHARS``, only those can have a neighbour that share
 with another one the first or the second half of the shorter of the two, at its length: four keys a line. Variants
 are emitted for these alone. A key's group is bounded without a cap: distinct lines that give one variant at one
 place differ in that letter alone.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import shared
 from tallyforge.llm.shingles import mixed
 
-#: Shorter lines, trimmed, are never dropped: headings, list marks and the like repeat by nature.
+#: Shorter lines, trimmed, have no neighbours: one edit makes another word of them. Equal ones are dropped from ``shortest`` on.
 MIN_CHARS = 20
 #: The most rows that are broadcast; beyond it, joins are left to shuffles.
 BROADCAST_ROWS = 500_000
@@ -53,18 +53,19 @@ def halves(line: Column, n: Column, shift: int) -> list[Column]:
     return [F.xxhash64(n, F.lit(0), line.substr(F.lit(1), half)), F.xxhash64(n, F.lit(1), line.substr(half + 1 + shift, n))]
 
 
-def exploded(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``k, t, at, line, h, g`` of each line that counts: document, its text's hash, place, trimmed line, hashes."""
+def exploded(docs: DataFrame, text: str, key: str, shortest: int) -> DataFrame:
+    """``k, t, at, line, h, g`` of each line that isn't blank and has ``shortest`` letters: document, its text's hash,
+    place, trimmed line, hashes."""
     rows = shared.cased(docs, key, text).filter(F.col(text).isNotNull())
     lines = rows.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.trim("line")).filter(F.length("line") >= MIN_CHARS)
+    lines = lines.withColumn("line", F.trim("line")).filter((F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
     return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), F.col("line")))
 
 
 def near_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
     """``h, g`` of the distinct lines that have an earlier line within one edit but not equal.
 
-    ``found``: distinct lines with keys of halves and their first occurrence ``first``; ``lines``: as of ``exploded``."""
+    ``found``: distinct lines with keys of halves (null if too short) and their first occurrence ``first``; ``lines``: as of ``exploded``."""
     spark = found.sparkSession
     keys = found.select("h", "g", F.explode(F.array_distinct("halves")).alias("half"))
     alike = keys.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
@@ -100,11 +101,11 @@ def near_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(earlier, ["oh", "og"]).filter(F.levenshtein("line", "other", 1) >= 0).select("h", "g").distinct()
 
 
-def dropped_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dropped_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shortest: int = MIN_CHARS) -> DataFrame:
     """``k, t, drop``: of each document (key and hash of its text) that loses lines, their places from 0."""
-    lines = exploded(docs, text, key)
+    lines = exploded(docs, text, key, shortest)
     n, line = F.length("line"), F.col("line")
-    keyed = lines.select("k", "t", "at", "h", "g", F.array(*halves(line, n, 0), *halves(line, n - 1, 1)).alias("halves"))
+    keyed = lines.select("k", "t", "at", "h", "g", F.when(n >= MIN_CHARS, F.array(*halves(line, n, 0), *halves(line, n - 1, 1))).alias("halves"))
     narrow = shared.materialised(keyed, "lines")
     found = narrow.groupBy("h", "g").agg(F.min(F.struct("k", "t", "at")).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     found = shared.materialised(found, "distinct-lines")
@@ -116,14 +117,15 @@ def dropped_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
     return shared.materialised(gone.groupBy("k", "t").agg(F.collect_set("at").alias("drop")), "dropped")
 
 
-def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shortest: int = MIN_CHARS) -> DataFrame:
     """The rows with all their columns, their text without dropped lines, and ``n_lines``, ``n_dropped``.
 
     Lines end at a line feed and are compared trimmed; order is by key (null first), hash of the text, place. A line of
-    at least ``MIN_CHARS`` letters that has an earlier line within one edit goes, be that one kept or not. A null text
+    at least ``MIN_CHARS`` letters that has an earlier one within one edit goes, be that one kept or not; so does one of
+    at least ``shortest`` letters that has an equal earlier one, unless it is blank. A null text
     stays null, with no lines; an empty text has one, empty, line. Rows with equal key and text are one document and
     give equal rows. Long texts are whole; other columns pass as they are."""
-    gone = dropped_lines(docs, text=text, key=key)
+    gone = dropped_lines(docs, text=text, key=key, shortest=shortest)
     # columns go by place, so that no name of the input can clash with one of these
     names = list(docs.columns)
     mine = docs.toDF(*[f"c{i}" for i in range(len(names))])

@@ -12,4 +12,4 @@ from tallyforge.llm.line_dedup import deduplicated
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document its lines, those dropped, and a checksum of what is left."""
     docs = shared.cased(shared.documents(spark, sf_dir), "doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return deduplicated(docs, shortest=1).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))

@@ -1,8 +1,11 @@
+import hashlib
 import random
 
 import pytest
 
+import corpus_pipeline
 from tallyforge.llm import components, line_dedup, near_dedup
+from tallyforge.llm.queries_line_dedup import op4_line_dedup
 
 
 def within_one(a, b):
@@ -51,6 +54,18 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert line_dedup.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage drop equal lines of any length, and near ones from ``MIN_CHARS`` on alone."""
+    long = "A line that has a neighbour."
+    rows = [(0, f"Les.\n\n{long}\n \t\nLea.\n7"), (1, f"Les.\n\nkept\n{long[:-1]}\n \t\n7 "), (2, " Les. \nLea."), (3, "\n")]
+    want = {0: (rows[0][1], 0), 1: ("\nkept\n \t", 3), 2: ("", 2), 3: ("\n", 0)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text_sha256, r.n_dropped) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), n) for i, (t, n) in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {i: t for i, (t, _) in want.items() if i != 2}
+
+
 def groups(rows, n, percent):
     sets, find = {}, {}
     for k, t in rows:

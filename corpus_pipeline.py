@@ -36,11 +36,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of
-    0.8 or more). Documents without an id are none's representative and stay."""
-    docs = shared.cased(docs, *COLUMNS)
-    dropped = near_groups(docs, n=5, percent=80).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row, that with the smallest id (null last), of each group of near-duplicates (five-word shingles, similarity
+    of 0.8 or more). Rows are told apart by a number of their own, so that repeated and null ids and those of several
+    texts are decided row by row. Texts without words have no duplicates and stay."""
+    docs = shared.cased(docs, *COLUMNS).withColumns({"row": F.monotonically_increasing_id(), "hash": F.xxhash64("text")})
+    docs = shared.materialised(docs, "numbered")
+    groups = shared.materialised(near_groups(docs, n=5, percent=80, key="row").select("row", "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")
+    first = groups.join(docs.select("row", "doc_id", "hash"), "row").groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    dropped = groups.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select("row")
+    return docs.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,17 @@ def test_near_groups_of_odd_rows(spark, odd):
     assert near_dedup.near_groups(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row_a_group(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("a")), (2, words("a") + " end"), (3, words("b")), (3, words("a")), (None, words("c")), (None, words("c")), (None, words("b")), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == [(1, words("a")), (3, words("b")), (4, None), (5, ""), (None, words("c"))]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (501, 501)], "a long, b long")
     roots = {r.id: r.root for r in components.components(edges).collect()}

@@ -10,6 +10,7 @@ Items are a query set: they go to the workers in blocks of at most ``BLOCK_BYTES
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +22,7 @@ from tallyforge.llm import shared
 
 #: Edits allowed: one in so many characters of the item.
 CHARS_PER_EDIT = 14
-#: Items with fewer characters count only where they stand unchanged between white space.
+#: Items with fewer characters count only where they stand unchanged, with no letter, mark or digit on either side.
 SHORT = 28
 BLOCK_BYTES = 8 << 20
 
@@ -34,6 +35,10 @@ def budget(item: str) -> int:
     return 0 if len(item) < SHORT else len(item) // CHARS_PER_EDIT
 
 
+def in_word(char: str) -> bool:
+    return unicodedata.category(char)[0] in "LMN"
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """(offset, piece) of k + 1 pieces of nearly equal length."""
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
@@ -79,7 +84,7 @@ class Matcher:
         self.items = [(i, f, budget(f)) for i, t in items if (f := folded(t))]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, f, k) in enumerate(self.items):
-            for offset, piece in pieces(f, k) if len(f) >= SHORT else [(0, f" {f} ")]:
+            for offset, piece in pieces(f, k):
                 owners.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, own in owners.items():
@@ -102,7 +107,8 @@ class Matcher:
                 if best.get(n, (1, 0))[0] == 0:
                     continue
                 if len(f) < SHORT:
-                    best[n] = 0, end - 1
+                    if not (in_word(t[start - 1 : start] or " ") or in_word(t[end : end + 1] or " ")):
+                        best[n] = 0, end
                     continue
                 place = start - offset
                 if t.startswith(f, max(place, 0)) and place >= 0:

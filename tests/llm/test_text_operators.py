@@ -36,6 +36,16 @@ def test_matcher_equals_brute_force():
         assert [(i, d) for i, d, _ in matcher.find(doc) if i < 3] == want
 
 
+def test_short_items_end_at_word_borders():
+    matcher = decontamination.Matcher([(1, "short one"), (2, "(x)"), (3, "cafe"), (4, "a")])
+    find = lambda t: [(i, e) for i, _, e in matcher.find(t)]
+    assert find("A Short  one.") == [(1, 11), (4, 1)]
+    assert [find(t) for t in ('("short one")', "short one", "see short one, then", "«short one»")] == [[(1, 11)], [(1, 9)], [(1, 13)], [(1, 10)]]
+    assert find("shorty one, short ones, 1short one, short one2") == []
+    assert find("ashort one short one") == [(1, 20)]
+    assert find("f (x) cafe\u0301") == [(2, 5)]
+
+
 def test_leaks_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "the FIRST text,  long enough to be a line."), (2, None), (3, ""), (None, "x"), (4, "short"), (1, "the FIRST text,  long enough to be a line.")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(odd, bench).collect())

@@ -85,11 +85,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(sums[:, 0] + self.bias, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int]]], *, counterfactual: float = 20.0, sparsity: float = 1e-3, rounds: int = 500) -> ToxicityModel:
+def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int], int]], *, counterfactual: float = 20.0, sparsity: float = 1e-3, rounds: int = 500) -> ToxicityModel:
     """Accelerated proximal gradient steps on the logistic loss, the counterfactual penalty and a sparsity term.
 
     Screening keeps the features that tell the labels apart best (by the deviation of their counts from what the
-    labels' shares predict), and all of the identity terms."""
+    labels' shares predict), and all of the identity terms. ``changes``: swaps as (plus, minus, how many)."""
     n, share = len(rows), float(label.mean()) if len(rows) else 0.0
     if not 0 < share < 1:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -20.0 if share < 0.5 else 20.0)
@@ -106,22 +106,24 @@ def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int]
     column = index[np.concatenate(rows)]
     owner, column = owner[column >= 0], column[column >= 0]
     # sentences that differ in a term alone, and those that have one or none
-    pairs = changes + [(features_of(b), features_of(a)) for g in IDENTITY for a, b in zip(g, g[1:], strict=False)] + [([], features_of(t)) for g in IDENTITY for t in g]
+    pairs = changes + [(features_of(b), features_of(a), 1) for g in IDENTITY for a, b in zip(g, g[1:], strict=False)] + [([], features_of(t), 1) for g in IDENTITY for t in g]
+    many = sum(count for _, _, count in pairs)
     # features are scaled towards a mean square of one, so that rare words move nearly as fast as common ones
     times = np.bincount(owner * len(kept) + column) if n * len(kept) < 1 << 26 else None
     square = np.bincount(np.arange(len(times)) % len(kept), times.astype(float) ** 2, len(kept)) if times is not None else np.bincount(column, minlength=len(kept)).astype(float)
     scale = 1 / np.sqrt(np.maximum(square / n, 0.01))
     delta = np.zeros((len(pairs), len(kept)))
-    for i, (plus, minus) in enumerate(pairs):
+    for i, (plus, minus, count) in enumerate(pairs):
         np.add.at(delta[i], index[np.array(plus, int)], 1)
         np.add.at(delta[i], index[np.array(minus, int)], -1)
+        delta[i] *= count**0.5
     delta *= scale
     y = label.astype(float)
     forward = lambda v: np.bincount(owner, (v * scale)[column], n)
     backward = lambda r: np.bincount(column, r[owner], len(kept)) * scale
     curve, v = 1.0, np.random.default_rng(3).normal(size=len(kept))
     for _ in range(12):  # the largest curvature, which sets the step
-        v = 0.25 * backward(forward(v)) / n + 2 * counterfactual * delta.T @ (delta @ v) / len(pairs)
+        v = 0.25 * backward(forward(v)) / n + 2 * counterfactual * delta.T @ (delta @ v) / many
         curve = float(np.linalg.norm(v))
         v /= max(curve, 1e-12)
     step = 1 / (1.2 * curve + 0.25)
@@ -129,7 +131,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int]
     for i in range(rounds):
         look = w + i / (i + 3) * (w - seen)
         pull = (1 / (1 + np.exp(-np.clip(forward(look) + bias, -500, 500))) - y) / n
-        grad = backward(pull) + 2 * counterfactual * delta.T @ (delta @ look) / len(pairs)
+        grad = backward(pull) + 2 * counterfactual * delta.T @ (delta @ look) / many
         seen, w = w, look - step * grad
         w = np.sign(w) * np.maximum(np.abs(w) - step * sparsity, 0)
         bias -= step * pull.sum()
@@ -139,7 +141,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int]
     return ToxicityModel(weights, float(bias))
 
 
-def calibrated(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int]]]) -> ToxicityModel:
+def calibrated(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[list[int], list[int], int]]) -> ToxicityModel:
     """``fit``, with its margins stretched and shifted as suits a fifth of the rows that another fit hasn't seen, both
     labels weighing the same. With under ten rows of a label held back, margins stay as they are."""
     model = fit(rows, label, changes)
@@ -163,7 +165,7 @@ def calibrated(rows: list[np.ndarray], label: np.ndarray, changes: list[tuple[li
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> ToxicityModel:
     """Fits on at most ``SAMPLE`` rows of ``labels`` that aren't null and have a text. Of several labels of a key
-    the highest counts. Without labels the model calls nothing toxic."""
+    the highest counts. Equal swaps of the drawn rows are one with their number, so that all count. Without labels the model calls nothing toxic."""
     shared.small_batches(docs.sparkSession)
     rows = shared.cased(labels, key, label).filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.max(label) > 0).alias("y"))
     held = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -183,8 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
             changed = [[[*p, -1, *m] for p, m in swaps(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(changed, pa.list_(pa.list_(pa.int64())))], names=["y", "features", "changes"])
 
-    got = sorted(whole.mapInArrow(run, "y boolean, features binary, changes array<array<bigint>>").collect(), key=lambda r: (r["features"], r["y"]))
-    changes = [(c[: c.index(-1)], c[c.index(-1) + 1 :]) for r in got for c in r["changes"]][: 4 * KEPT]
+    drawn = shared.materialised(whole.mapInArrow(run, "y boolean, features binary, changes array<array<bigint>>"), "toxicity-sample")
+    got = sorted(drawn.select("y", "features").collect(), key=lambda r: (r["features"], r["y"]))
+    swapped = drawn.select(F.explode("changes").alias("c")).groupBy("c").count().orderBy("c").collect()  # pairs of terms
+    changes = [(r["c"][: r["c"].index(-1)], r["c"][r["c"].index(-1) + 1 :], r["count"]) for r in swapped]
     got = [got[i] for i in np.random.default_rng(2).permutation(len(got))]
     return calibrated([np.frombuffer(r["features"], "<i4").astype(np.int64) for r in got], np.array([r["y"] for r in got], bool), changes)
 

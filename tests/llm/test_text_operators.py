@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +107,29 @@ def test_toxicity(spark, odd):
     assert toxicity.scored(odd, toxicity.train(odd, labels.limit(0))).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_counts_every_swap(spark, monkeypatch):
+    texts = [f"text {i} of {a} and {b}" for i in range(20) for a, b in [("women", "gay"), ("black", "jews")]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "KEPT", 5)
+    passed = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda rows, label, changes: passed.extend(changes))
+    toxicity.train(docs, labels)
+    got = Counter()
+    for plus, minus, *n in passed:
+        got[tuple(plus), tuple(minus)] += n[0] if n else 1
+    assert got == Counter((tuple(plus), tuple(minus)) for t in texts for plus, minus in toxicity.swaps(t))
+
+
+def test_swaps_weigh_by_their_number():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(np.array([f for w in (f"w{rng.integers(9)}", "vile" if i % 2 else "fine", "women" if i % 2 else "men") for f in toxicity.features_of(w)])) for i in range(60)]
+    label = np.arange(60) % 2 == 1
+    a, b = ((toxicity.features_of(x), toxicity.features_of(y)) for x, y in (("women", "men"), ("jews", "hindus")))
+    one, all_ = toxicity.fit(rows, label, [(*a, 30), (*b, 2)]), toxicity.fit(rows, label, [(*a, 1)] * 30 + [(*b, 1)] * 2)
+    assert np.allclose(one.weights, all_.weights, atol=1e-5) and abs(one.bias - all_.bias) < 1e-5
+
+
 def test_sharding(spark, odd):
     docs = spark.createDataFrame([(i, "x" * (i * 37 % 1000)) for i in range(3000)], "doc_id long, text string")
     out = sharding.sharded(docs, shards=8).toPandas()

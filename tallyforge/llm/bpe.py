@@ -276,7 +276,7 @@ class Memo:
 
     def missing(self, memo: dict, once: set, used: set) -> list:
         """What of ``used`` isn't remembered. ``once``: pieces that a single call has met; they go first."""
-        new = used - memo.keys()
+        new = {c for c in used if c not in memo}  # a set minus a view of keys would walk the whole memo
         once -= used
         if len(memo) + len(new) > self.entries:
             for c in once:
@@ -342,12 +342,21 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
+
+        def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+            return (b"".join([x for x, _ in parts]), " ".join([x for _, x in parts])) if parts else (b"", "")
+
+        memo = Memo(encoder, lambda ids: (np.array(ids, "<i4").tobytes(), encoder.decode(ids)), joined)
         for batch in batches:
-            for rows in in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[1] or ""), 4_000_000):
-                ids = [encoder.encode(t) for _, t in rows]
-                columns = [pa.array([k for k, _ in rows], batch.schema.field(0).type), pa.array(ids, pa.list_(pa.int32())), pa.array(map(encoder.decode, ids), pa.string())]
-                columns += [pa.array([t for _, t in rows], pa.string())] * keep_text
+            done = 0
+            for texts in in_parts(batch.column(1).to_pylist(), lambda t: len(t or ""), 4_000_000):
+                found = memo.values([chunks_of(t or "") for t in texts])
+                borders = np.cumsum([0] + [len(x) // 4 for x, _ in found], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.frombuffer(b"".join([x for x, _ in found]), "<i4")))
+                columns = [batch.column(0).slice(done, len(texts)), ids, pa.array([x for _, x in found], pa.string())]
+                columns += [batch.column(1).slice(done, len(texts))] * keep_text
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"] + ["text"] * keep_text)
+                done += len(texts)
 
     return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string" + ", text string" * keep_text)
 

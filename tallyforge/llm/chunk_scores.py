@@ -28,7 +28,7 @@ class ChunkScores:
         done = 0
         for part in in_parts(texts, lambda t: len(t or ""), 2_000_000):
             cut = [list(set((t or "").split())) if distinct else (t or "").split() for t in part]
-            new = list(set().union(*cut) - self.at.keys())
+            new = [c for c in set().union(*cut) if c not in self.at]
             if len(self.at) + len(new) > self.entries:
                 self.at.clear()
                 self.rows = self.rows[:0]

@@ -177,7 +177,7 @@ class LibraryMemo(dict):
     def learn(self, cut: list[list[str]]) -> None:
         """After this, every chunk of ``cut`` is known. When full, chunks that have come again stay."""
         used = set().union(*cut)
-        new = used - self.keys()
+        new = {c for c in used if c not in self}
         self.once -= used
         if len(self) + len(new) > self.entries:
             for c in self.once:

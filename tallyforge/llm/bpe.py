@@ -14,12 +14,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
+import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,7 +36,14 @@ MORE_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
 #: Fixed value: the pattern of words in the vocabulary file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_ENTRIES = 250_000
+#: Characters whose kind, lower case and composed form are the same in every Unicode table: Latin letters up to U+017F
+#: (but for the dotted capital I, whose lower case is two characters), general punctuation and currency signs.
+NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+PLAIN_LETTERS, PLAIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Words that a worker remembers.
+CACHE_ENTRIES = 400_000
+#: Letters of text that are encoded together.
+PART = 4_000_000
 #: Words up to this length are merged in a plain list.
 SHORT_WORD = 48
 NEVER = (1 << 60, -1)
@@ -63,6 +74,10 @@ class Vocabulary:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
+        plain = {r"\s": SPACE, r"\p{L}": PLAIN_LETTERS, r"\p{N}": PLAIN_NUMBERS}
+        self.plain_words = re.compile(re.sub(r"\\s|\\p\{[LN]\}", lambda m: plain[m[0]], pattern))
+        #: What every special token begins with; a text that has it isn't plain.
+        self.mark = os.path.commonprefix(list(self.specials)) if self.specials else None
         self.words_or_break = regex.compile(rf"\n|{self.words.pattern}")
         size = max([*self.ids.values(), *self.specials.values()]) + 1
         self.pieces = [""] * size
@@ -188,11 +203,11 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes pieces of text between white space, many at a time, and remembers a bounded number."""
+    """Encodes distinct words by speculation and proof."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         self.vocabulary = Vocabulary(path)
-        self.memo = Memo(self, lambda ids: ids, lambda parts: list(chain.from_iterable(parts)), entries)
+        self.memo = Words(self, entries)
         self.proposed = self.failed = 0
 
     def words_of(self, chunks: list[str]) -> list[list[str | int]]:
@@ -229,13 +244,12 @@ class Encoder:
             return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in self.vocabulary.pre_tokenize(part)]
         return self.vocabulary.words.findall(low)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Exact ids of each (distinct) word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact ids of the (distinct) words, one behind the other, and how many each has."""
         v = self.vocabulary
         words = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogateescape").decode("latin-1").translate(v.map) for w in words]
         cuts = list(map(v.greedy, words))
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = np.fromiter(chain.from_iterable(cuts), np.int64, int(sizes.sum()))
+        sizes, flat = flattened(cuts)
         owner = np.repeat(np.arange(len(cuts)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inner] * v.size + flat[inner + 1], return_inverse=True)
@@ -247,64 +261,107 @@ class Encoder:
             cuts[i] = v.exact(words[i])
         self.proposed += len(cuts)
         self.failed += int(wrong.sum())
-        return cuts
+        sizes, flat = flattened(cuts)
+        return flat, sizes
 
     def encode(self, text: str | None) -> list[int]:
-        return self.memo.values([chunks_of(text or "")])[0]
+        return self.memo.of([text]).ids.tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Pieces joined by one space, special tokens kept: the file names no decoder."""
         return " ".join(map(self.vocabulary.pieces.__getitem__, ids))
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+
+
 def chunks_of(text: str) -> list[str]:
     """What stands between white space. Neither normalisation nor a word reaches across it."""
     return [c for c in SPACES.split(text) if c] if MORE_SPACE.search(text) else text.split()
 
 
-class Memo:
-    """What ``value`` makes of the ids of a chunk, remembered for words and for chunks.
-
-    ``joined``: the value of a sequence from its parts' values. When full, pieces that have come again stay."""
-
-    def __init__(self, encoder: Encoder, value: Callable, joined: Callable, entries: int = CACHE_ENTRIES) -> None:
-        self.encoder, self.value, self.joined, self.entries = encoder, value, joined, entries
-        self.words: dict[str | int, object] = {}
-        self.chunks: dict[str, object] = {}
-        self.words_once: set = set()
-        self.chunks_once: set = set()
-
-    def missing(self, memo: dict, once: set, used: set) -> list:
-        """What of ``used`` isn't remembered. ``once``: pieces that a single call has met; they go first."""
-        new = {c for c in used if c not in memo}  # a set minus a view of keys would walk the whole memo
-        once -= used
-        if len(memo) + len(new) > self.entries:
-            for c in once:
-                del memo[c]
-            once.clear()
-            if len(memo) + len(new) > self.entries:
-                for c in memo.keys() - used:
-                    del memo[c]
-        once |= new
-        return list(new)
-
-    def learn(self, used: set[str]) -> None:
-        new = self.missing(self.chunks, self.chunks_once, used)
-        cut = self.encoder.words_of(new)
-        fresh = self.missing(self.words, self.words_once, set(chain.from_iterable(cut)))
-        special = [w for w in fresh if isinstance(w, int)]
-        fresh = [w for w in fresh if isinstance(w, str)] if special else fresh
-        value = self.value
-        self.words.update((w, value([w])) for w in special)
-        self.words.update(zip(fresh, map(value, self.encoder.encode_words(fresh)), strict=True))
-        words, joined = self.words, self.joined
-        self.chunks.update((c, words[ws[0]] if len(ws) == 1 else joined([words[w] for w in ws])) for c, ws in zip(new, cut, strict=True))
-
-    def values(self, cut: list[list[str]]) -> list:
-        """The value of each text, which is given as its chunks."""
-        self.learn(set().union(*cut))
-        get, joined = self.chunks.__getitem__, self.joined
-        return [joined(list(map(get, chunks))) for chunks in cut]
+class Ids(NamedTuple):
+    """Ids of several texts, one behind the other; ``borders`` has one number more than there are texts."""
+
+    ids: np.ndarray
+    borders: np.ndarray
+
+
+class Words:
+    """Ids of the words that were met, in one array, so that those of whole texts are gathered with numpy.
+
+    ``end_id``: an id that follows every text. When full, words that have come in several calls stay; if those are
+    too many, only the ones in use."""
+
+    def __init__(self, encoder: Encoder, entries: int = CACHE_ENTRIES, end_id: int | None = None) -> None:
+        self.encoder, self.entries, self.ends = encoder, entries, end_id is not None
+        # a line break is in no word, so names of special tokens begin with it
+        fixed = {f"\n{i}": i for i in encoder.vocabulary.specials.values()} | ({"\n": end_id} if self.ends else {})
+        self.index = {name: i for i, name in enumerate(fixed)}
+        self.fixed = len(fixed)
+        self.flat = np.array(list(fixed.values()), np.int32)
+        self.size, self.calls = np.ones(self.fixed, np.int32), np.zeros(self.fixed, np.int32)
+
+    def cut(self, texts: list[str | None]) -> list[list[str]]:
+        """Words of each text. Plain texts are searched whole; others by their distinct chunks."""
+        v = self.encoder.vocabulary
+        out: list[list[str]] = []
+        odd: dict[int, list[str]] = {}
+        for at, t in enumerate(texts):
+            if not t or ((v.mark is None or v.mark not in t) and (t.isascii() or not NOT_PLAIN.search(t))):
+                out.append(v.plain_words.findall((t or "").lower()))
+            else:
+                odd[at] = chunks_of(t)
+                out.append([])
+        chunks = list(set().union(*odd.values()))
+        cut = {c: [w if isinstance(w, str) else f"\n{w}" for w in ws] for c, ws in zip(chunks, self.encoder.words_of(chunks), strict=True)} if chunks else {}
+        for at, own in odd.items():
+            out[at] = list(chain.from_iterable(map(cut.__getitem__, own)))
+        return out
+
+    def forget(self, used: list[str]) -> None:
+        """Makes room for the words of a call: see above."""
+        mine = np.zeros(len(self.size), bool)
+        mine[: self.fixed] = True
+        mine[[i for w in used if (i := self.index.get(w)) is not None]] = True
+        keep = mine | (self.calls > 1)
+        if keep.sum() + len(used) > self.entries:
+            keep = mine
+        self.flat = self.flat[np.repeat(keep, self.size)]
+        place = np.cumsum(keep) - 1
+        self.index = {w: int(place[i]) for w, i in self.index.items() if keep[i]}
+        self.size, self.calls = self.size[keep], np.where(mine, self.calls, 1)[keep]
+
+    def places(self, used: list[str]) -> np.ndarray:
+        """Places of distinct words, after which all are known."""
+        new = [w for w in used if w not in self.index]
+        if new:
+            if len(self.index) + len(new) > self.entries:
+                self.forget(used)
+            flat, size = self.encoder.encode_words(new)
+            self.index.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.size = np.concatenate([self.size, size.astype(np.int32)])
+            self.calls = np.concatenate([self.calls, np.zeros(len(new), np.int32)])
+        at = np.fromiter(map(self.index.__getitem__, used), np.int64, len(used))
+        self.calls[at] += 1
+        return at
+
+    def of(self, texts: list[str | None]) -> Ids:
+        cut = self.cut(texts)
+        if self.ends:
+            for words in cut:
+                words.append("\n")
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        at = self.places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        starts, size = np.cumsum(self.size, dtype=np.int64) - self.size, self.size[at]
+        stops = np.cumsum(size, dtype=np.int64)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.flat[np.repeat(starts[at] - (stops - size), size) + np.arange(total)]
+        return Ids(ids, np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def in_parts(items: list, size, most: int) -> Iterator[list]:
@@ -330,6 +387,11 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
+def joined(names: pa.StringArray, found: Ids) -> pa.StringArray:
+    """Of each text, the names of its ids with one space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(found.borders, pa.int32()), names.take(pa.array(found.ids))), " ")
+
+
 def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Encodes and decodes every whole text.
 
@@ -342,18 +404,13 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-
-        def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-            return (b"".join([x for x, _ in parts]), " ".join([x for _, x in parts])) if parts else (b"", "")
-
-        memo = Memo(encoder, lambda ids: (np.array(ids, "<i4").tobytes(), encoder.decode(ids)), joined)
+        pieces = pa.array(encoder.vocabulary.pieces, pa.string())
         for batch in batches:
             done = 0
-            for texts in in_parts(batch.column(1).to_pylist(), lambda t: len(t or ""), 4_000_000):
-                found = memo.values([chunks_of(t or "") for t in texts])
-                borders = np.cumsum([0] + [len(x) // 4 for x, _ in found], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(borders), pa.array(np.frombuffer(b"".join([x for x, _ in found]), "<i4")))
-                columns = [batch.column(0).slice(done, len(texts)), ids, pa.array([x for _, x in found], pa.string())]
+            for texts in in_parts(batch.column(1).to_pylist(), lambda t: len(t or ""), PART):
+                found = encoder.memo.of(texts)
+                borders = pa.array(found.borders, pa.int32())
+                columns = [batch.column(0).slice(done, len(texts)), pa.ListArray.from_arrays(borders, pa.array(found.ids)), joined(pieces, found)]
                 columns += [batch.column(1).slice(done, len(texts))] * keep_text
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"] + ["text"] * keep_text)
                 done += len(texts)
@@ -362,30 +419,25 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
 
 
 def digests(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """As ``encoded``, but of ids and decoded text only their number and SHA-256.
-
-    Ids and decoded pieces are joined from strings that are made once for each chunk, so that no list of
-    numbers is built for a text."""
+    """As ``encoded``, but of ids and decoded text only their number and SHA-256."""
     shared.small_batches(docs.sparkSession)
     source = shared.cased(docs, key, text)
     kind = source.schema[key].dataType.simpleString()
 
+    def hashes(texts: pa.StringArray) -> pa.StringArray:
+        borders, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].tolist(), memoryview(texts.buffers()[2] or b"")
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(borders, borders[1:], strict=False)], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        name = list(map(str, range(encoder.vocabulary.size)))
-
-        def joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
-            return tuple(map(" ".join, zip(*parts, strict=True))) if parts else ("", "")
-
-        memo = Memo(encoder, lambda ids: (" ".join([name[i] for i in ids]), encoder.decode(ids)), joined)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
+        pieces = pa.array(encoder.vocabulary.pieces, pa.string())
+        numbers = pa.array(map(str, range(encoder.vocabulary.size)), pa.string())
         for batch in batches:
-            keys, texts = batch.columns[0], batch.columns[1].to_pylist()
-            out: list[tuple[int, str, str]] = []
-            for part in in_parts(texts, lambda t: len(t or ""), 4_000_000):
-                for numbers, pieces in memo.values([chunks_of(t or "") for t in part]):
-                    out.append((numbers.count(" ") + 1 if numbers else 0, sha(numbers), sha(pieces)))
-            n, ids, back = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            done = 0
+            for texts in in_parts(batch.column(1).to_pylist(), lambda t: len(t or ""), PART):
+                found = encoder.memo.of(texts)
+                columns = [batch.column(0).slice(done, len(texts)), pa.array(np.diff(found.borders)), hashes(joined(numbers, found)), hashes(joined(pieces, found))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(texts)
 
     return source.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

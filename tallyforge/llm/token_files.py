@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import shared
-from tallyforge.llm.bpe import chunks_of, in_parts
+from tallyforge.llm.bpe import PART, Encoder, Words, flattened, in_parts
 
 MAGIC = b"TFTOKEN1"
 STEP = 256
 #: Ids that a reader takes into memory at once.
 WINDOW = 4_000_000
-#: Bytes of ids after which a writer begins a new file.
+#: Bytes of ids after which a writer begins a new file, with the next part of texts.
 FILE_BYTES = 64 << 20
+#: Words that a worker remembers.
+ENTRIES = 400_000
 
 
 @dataclass
@@ -145,58 +147,39 @@ class TokenFile:
         return [None] * self.nulls + [int(x) + self.base for x in self.named.all().tolist()]
 
 
-class LibraryMemo(dict):
-    """Chunk between white space to its ids as bytes, by the tokenizers library, which is called for chunks not yet
-    known. Neither its normaliser nor its words reach across white space. Many chunks go in one call, with a
-    special token between them, whose id cuts the result again."""
+class LibraryEncoder(Encoder):
+    """Words by the tokenizers library, which is called for words not yet known, many at a time.
 
-    def __init__(self, path: str, entries: int = 300_000) -> None:
+    Texts are normalised and cut into words here: neither the normaliser nor a word reaches across white space, and
+    what the library does with a normalised word alone is what it does with it in its text. Where the last piece of a
+    word carries a mark of its own, words go in groups with a space between them, and the marks part the ids again."""
+
+    def __init__(self, path: str, end_id: int, entries: int = ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__(path, 0)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
-        cuts = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-        self.cut = cuts[-1] if cuts else None
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.entries = entries
-        self.once: set[str] = set()
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        if not self.cut:
-            return [np.array(x.ids, kind).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(self.cut[1].join(chunks), add_special_tokens=False).ids, kind)
-        ends = np.flatnonzero(ids == self.cut[0])
-        data, w = ids.tobytes(), self.width
-        return [data[a * w : b * w] for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)]
-
-    def learn(self, cut: list[list[str]]) -> None:
-        """After this, every chunk of ``cut`` is known. When full, chunks that have come again stay."""
-        used = set().union(*cut)
-        new = {c for c in used if c not in self}
-        self.once -= used
-        if len(self) + len(new) > self.entries:
-            for c in self.once:
-                del self[c]
-            self.once.clear()
-            if len(self) + len(new) > self.entries:
-                for c in self.keys() - used:
-                    del self[c]
-        self.once |= new
-        odd = [c for c in new if "<" in c and any(m in c for m in self.marks)]
-        for c in odd:
-            self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        plain = list(new.difference(odd))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            self.update(zip(part, self.encode(part), strict=True))
-
-
-_memos: dict[str, LibraryMemo] = {}
+        v = self.vocabulary
+        self.width = 2 if v.size <= 1 << 16 else 4
+        self.last = np.array([p.endswith(v.end) for p in v.pieces]) if v.end else None
+        self.memo = Words(self, entries, end_id)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        group = 100 if self.last is not None else 1
+        found = self.tokenizer.encode_batch_fast([" ".join(words[i : i + group]) for i in range(0, len(words), group)], add_special_tokens=False)
+        sizes, flat = flattened([x.ids for x in found])
+        if group > 1:
+            stops = np.flatnonzero(self.last[flat]) + 1
+            sizes = np.diff(stops, prepend=0)
+        if len(sizes) != len(words) or sizes.sum() != len(flat):
+            raise ValueError("the library cuts a word that was thought whole")
+        return flat, sizes
+
+
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, *, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -216,8 +199,9 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int, folder: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        memo = _memos.setdefault(path, LibraryMemo(path)) if path not in _memos else _memos[path]
-        end = np.array([end_id], f"<u{memo.width}").tobytes()
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = LibraryEncoder(path, end_id)
+        encoder = _encoders[path, end_id]
         keys: list[int | None] = []
         lengths: list[int] = []
         held: list[bytes] = []
@@ -225,22 +209,21 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int, folder: str | None
 
         def close() -> pa.RecordBatch:
             uri = f"{folder}/{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.tok"
-            write_file(uri, keys, lengths, iter(held), memo.width)
+            write_file(uri, keys, lengths, iter(held), encoder.width)
             return pa.RecordBatch.from_pydict({"file": [uri], "part": pa.array([task.partitionId()], pa.int64()), "number": pa.array([number], pa.int64()), "first": pa.array(keys[:1], pa.int64()), "n_docs": [len(keys)], "n_ids": [sum(lengths)]})
 
         for batch in batches:
-            for part in in_parts(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r: len(r[1] or ""), 4_000_000):
-                cut = [chunks_of(t or "") for _, t in part]
-                memo.learn(cut)
-                for (k, _), chunks in zip(part, cut, strict=True):
-                    data = b"".join(map(memo.__getitem__, chunks)) + end
-                    keys.append(k)
-                    lengths.append(len(data) // memo.width)
-                    held.append(data)
-                    size += len(data)
-                    if size >= FILE_BYTES:
-                        yield close()
-                        keys, lengths, held, size, number = [], [], [], 0, number + 1
+            done, names = 0, batch.column(0).to_pylist()
+            for texts in in_parts(batch.column(1).to_pylist(), lambda t: len(t or ""), PART):
+                found = encoder.memo.of(texts)
+                keys += names[done : done + len(texts)]
+                lengths += np.diff(found.borders).tolist()
+                held.append(found.ids.astype(f"<u{encoder.width}").tobytes())
+                size += len(held[-1])
+                done += len(texts)
+                if size >= FILE_BYTES:
+                    yield close()
+                    keys, lengths, held, size, number = [], [], [], 0, number + 1
         if keys:
             yield close()
 

@@ -18,7 +18,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +41,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 PLAIN_LETTERS, PLAIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words that a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Letters of text that are encoded together.
-PART = 4_000_000
+PART = 6_000_000
 #: Words up to this length are merged in a plain list.
 SHORT_WORD = 48
 NEVER = (1 << 60, -1)
@@ -289,17 +289,25 @@ class Ids(NamedTuple):
     borders: np.ndarray
 
 
+class Places(dict):
+    """Places of words in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class Words:
     """Ids of the words that were met, in one array, so that those of whole texts are gathered with numpy.
 
-    ``end_id``: an id that follows every text. When full, words that have come in several calls stay; if those are
-    too many, only the ones in use."""
+    ``end_id``: an id that follows every text. When there are more than ``entries`` words, the half that the most calls
+    have had stays."""
 
     def __init__(self, encoder: Encoder, entries: int = CACHE_ENTRIES, end_id: int | None = None) -> None:
         self.encoder, self.entries, self.ends = encoder, entries, end_id is not None
         # a line break is in no word, so names of special tokens begin with it
         fixed = {f"\n{i}": i for i in encoder.vocabulary.specials.values()} | ({"\n": end_id} if self.ends else {})
-        self.index = {name: i for i, name in enumerate(fixed)}
+        self.index = Places({name: i for i, name in enumerate(fixed)})
         self.fixed = len(fixed)
         self.flat = np.array(list(fixed.values()), np.int32)
         self.size, self.calls = np.ones(self.fixed, np.int32), np.zeros(self.fixed, np.int32)
@@ -321,32 +329,28 @@ class Words:
             out[at] = list(chain.from_iterable(map(cut.__getitem__, own)))
         return out
 
-    def forget(self, used: list[str]) -> None:
-        """Makes room for the words of a call: see above."""
-        mine = np.zeros(len(self.size), bool)
-        mine[: self.fixed] = True
-        mine[[i for w in used if (i := self.index.get(w)) is not None]] = True
-        keep = mine | (self.calls > 1)
-        if keep.sum() + len(used) > self.entries:
-            keep = mine
+    def forget(self) -> None:
+        keep = np.zeros(len(self.size), bool)
+        keep[np.argsort(-self.calls, kind="stable")[: self.entries // 2]] = True
+        keep &= self.calls > 1
+        keep[: self.fixed] = True
         self.flat = self.flat[np.repeat(keep, self.size)]
-        place = np.cumsum(keep) - 1
-        self.index = {w: int(place[i]) for w, i in self.index.items() if keep[i]}
-        self.size, self.calls = self.size[keep], np.where(mine, self.calls, 1)[keep]
-
-    def places(self, used: list[str]) -> np.ndarray:
-        """Places of distinct words, after which all are known."""
-        new = [w for w in used if w not in self.index]
-        if new:
-            if len(self.index) + len(new) > self.entries:
-                self.forget(used)
-            flat, size = self.encoder.encode_words(new)
-            self.index.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        place = (np.cumsum(keep) - 1).tolist()
+        self.index = Places({w: place[i] for w, i in self.index.items() if keep[i]})
+        self.size, self.calls = self.size[keep], self.calls[keep] // 2
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places of words, after which all are known."""
+        if len(self.size) > self.entries:
+            self.forget()
+        held = len(self.size)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > held:
+            flat, size = self.encoder.encode_words(list(islice(self.index, held, None)))
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.size = np.concatenate([self.size, size.astype(np.int32)])
-            self.calls = np.concatenate([self.calls, np.zeros(len(new), np.int32)])
-        at = np.fromiter(map(self.index.__getitem__, used), np.int64, len(used))
-        self.calls[at] += 1
+            self.calls = np.concatenate([self.calls, np.zeros(len(size), np.int32)])
+        self.calls += np.bincount(at, minlength=len(self.calls)) > 0
         return at
 
     def of(self, texts: list[str | None]) -> Ids:
@@ -355,8 +359,7 @@ class Words:
             for words in cut:
                 words.append("\n")
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        words = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
-        at = self.places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        at = self.places(list(chain.from_iterable(cut)))
         starts, size = np.cumsum(self.size, dtype=np.int64) - self.size, self.size[at]
         stops = np.cumsum(size, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0

@@ -35,7 +35,7 @@ WINDOW = 4_000_000
 #: Bytes of ids after which a writer begins a new file, with the next part of texts.
 FILE_BYTES = 64 << 20
 #: Words that a worker remembers.
-ENTRIES = 400_000
+ENTRIES = 600_000
 
 
 @dataclass

@@ -5,7 +5,7 @@ letters says on which side a text lies. Decoding adds, for each language, the lo
 classifiers' margins against its codeword, weighted by how reliable each classifier is on rows held back in
 training; the language with the least loss wins. If the runner-up is near, the text is flagged as ambiguous.
 
-The classifiers are fitted on the driver from at most ``SAMPLE`` labelled rows (whole texts), drawn evenly
+The classifiers are fitted on the driver from at most ``SAMPLE`` labelled texts (whole and different), drawn evenly
 over languages by a hash; a row is its hashed counts by then. Everything else covers all rows.
 """
 
@@ -24,7 +24,7 @@ from tallyforge.llm import shared
 from tallyforge.llm.chunk_scores import ChunkScores, grams
 
 ORDERS, BUCKETS = (1, 2, 3), 4096
-#: The most labelled rows that are fitted.
+#: The most labelled texts that are fitted.
 SAMPLE = 2400
 #: A text is ambiguous if the runner-up's loss is at most this share of all weight above the winner's.
 MARGIN = 0.25
@@ -86,60 +86,71 @@ class LanguageModel:
         return np.where(none, -1, best), np.where(none, 0.0, score), ~none & (next_ - least < MARGIN)
 
 
-def fit(counts: np.ndarray, label: np.ndarray, languages: list[str], rounds: int = 150) -> LanguageModel:
-    """Logistic classifiers of all bits at once, by accelerated gradient steps on scaled frequencies."""
+def fit(x: np.ndarray, label: np.ndarray, languages: list[str], rounds: int = 150) -> LanguageModel:
+    """Logistic classifiers of all bits at once, by accelerated gradient steps on scaled frequencies.
+
+    ``x``: counts as 32-bit floats, a row for each text; it is scaled in place, and nothing of its size is made."""
     code = codewords(len(languages))
-    freq = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    scale = 1 / np.sqrt(freq.mean(0) + 1e-5)
-    x, y = (freq * scale).astype(np.float32), code[label].astype(np.float32)
+    x /= np.maximum(x.sum(1, keepdims=True), 1)
+    scale = 1 / np.sqrt(x.mean(0) + np.float32(1e-5))
+    x *= scale
+    y = code[label].astype(np.float32)
     back = np.arange(len(x)) % 5 == 4
+    steep = float(np.einsum("ij,ij->i", x, x).max(initial=0.0))
 
-    def solve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def solve(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, bias = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-        seen, step = w.copy(), 4.0 / max(float((x**2).sum(1).max()) + 1, 1)
+        seen, step = w.copy(), np.float32(4.0 / max(steep + 1, 1))
+        share = (part / max(part.sum(), 1)).astype(np.float32)[:, None]
         for i in range(rounds):
-            look = w + i / (i + 3) * (w - seen)
-            pull = y / (1 + np.exp(y * (x @ look + bias))) / max(len(x), 1)
-            seen, w = w, look + step * (x.T @ pull * 1.0 - 1e-4 * look)
+            look = w + np.float32(i / (i + 3)) * (w - seen)
+            pull = y / (1 + np.exp(y * (x @ look + bias))) * share
+            seen, w = w, look + step * (x.T @ pull - np.float32(1e-4) * look)
             bias = bias + step * pull.sum(0)
         return w, bias
 
-    w, bias = solve(x[~back], y[~back])
-    right = (((x[back] @ w + bias) * y[back]) > 0).mean(0) if back.any() else np.ones(code.shape[1])
+    w, bias = solve(~back)
+    right = np.ones(code.shape[1])
     if back.any():
-        w, bias = solve(x, y)
+        right = (((x @ w + bias) * y)[back] > 0).mean(0)
+        w, bias = solve(np.ones(len(x), bool))
     trust = np.maximum(2 * right - 1, 0.05)
     return LanguageModel(languages, code, (w * scale[:, None]).astype(np.float32), bias, trust / trust.sum())
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", seed: str = "doc_id") -> LanguageModel | None:
-    """Fits on at most ``SAMPLE`` rows with text and label; None if there are none. ``seed`` only draws the rows."""
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
+    """Fits on at most ``sample`` different texts with a label; None if there are none. A hash of the text draws them,
+    about as many of each language, and their order; of several labels of a text the first in the alphabet counts."""
     shared.small_batches(labelled.sparkSession)
-    rows = shared.cased(labelled, seed, text, lang).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    held = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    rows = shared.cased(labelled, text, lang).toDF("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not held:
         return None
-    each = max(SAMPLE // len(held), 1)
-    draw = F.pmod(F.xxhash64(seed), F.lit(1_000_000))
+    each = max(sample // len(held), 1)
     wanted = F.lit(False)
     for name, n in held.items():
-        wanted = wanted | ((F.col(lang) == name) & (draw < int(min(1.0, each / n) * 1_000_000)))
+        wanted = wanted | ((F.col("lang") == name) & (shared.draw("text") < shared.share(each / n)))
+    some = rows.filter(wanted).groupBy(shared.draw("text").alias("draw")).agg(F.min("lang").alias("lang"), F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 _, bucket = grams([words_of(t)], ORDERS, BUCKETS)
                 data.append(np.bincount(bucket, minlength=BUCKETS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["draw", "lang", "counts"])
 
-    drawn = sorted(rows.filter(wanted).select(F.col(lang).alias("lang"), F.col(text)).mapInArrow(run, "lang string, counts binary").limit(SAMPLE + SAMPLE // 4).collect(), key=lambda r: (r["counts"], r["lang"]))
+    drawn = some.mapInArrow(run, "draw long, lang string, counts binary").orderBy("draw").limit(sample).collect()
+    if not drawn:
+        return None
     drawn = [drawn[i] for i in np.random.default_rng(1).permutation(len(drawn))]
     languages = sorted({r["lang"] for r in drawn})
-    if not languages:
-        return None
-    counts = np.stack([np.frombuffer(r["counts"], "<u4") for r in drawn]).astype(np.float32)
-    return fit(counts, np.array([languages.index(r["lang"]) for r in drawn]), languages)
+    label = np.array([languages.index(r["lang"]) for r in drawn])
+    x = np.empty((len(drawn), BUCKETS), np.float32)
+    for i in range(len(drawn)):
+        x[i] = np.frombuffer(drawn[i]["counts"], "<u4")
+        drawn[i] = None
+    return fit(x, label, languages)
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", key: str = "doc_id") -> DataFrame:

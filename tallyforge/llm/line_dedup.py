@@ -25,8 +25,6 @@ from tallyforge.llm.shingles import mixed
 
 #: Shorter lines, trimmed, have no neighbours: one edit makes another word of them. Equal ones are dropped from ``shortest`` on.
 MIN_CHARS = 20
-#: The most rows that are broadcast; beyond it, joins are left to shuffles.
-BROADCAST_ROWS = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = np.uint64(pow(_BASE, -1, 1 << 64))
 
@@ -42,11 +40,6 @@ def variants(line: str) -> tuple[int, np.ndarray]:
     return int(whole.view(np.int64)[0]), mixed(less + np.uint64((len(c) - 1) * _BASE & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def halves(line: Column, n: Column, shift: int) -> list[Column]:
     """Keys of the first and second half of a line, as if its length were ``n``; the second is taken from the end."""
     half = F.floor(n / 2).cast("int")
@@ -70,7 +63,7 @@ def near_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
     keys = found.select("h", "g", F.explode(F.array_distinct("halves")).alias("half"))
     alike = keys.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     wanted = shared.materialised(keys.join(alike, "half", "left_semi").select("h", "g").distinct().join(found.select("h", "g", "first"), ["h", "g"]), "open-lines")
-    texts = lines.join(sized(wanted), ["h", "g"]).filter(F.struct("k", "t", "at").eqNullSafe(F.col("first"))).select("h", "g", "first", "line").dropDuplicates(["h", "g"])
+    texts = lines.join(shared.sized(wanted), ["h", "g"]).filter(F.struct("k", "t", "at").eqNullSafe(F.col("first"))).select("h", "g", "first", "line").dropDuplicates(["h", "g"])
     texts = shared.materialised(texts, "open-texts")
     shared.small_batches(spark, 500)
 
@@ -111,9 +104,9 @@ def dropped_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", s
     found = shared.materialised(found, "distinct-lines")
     near = near_lines(found, lines).withColumn("near", F.lit(True))
     # only lines that repeat or have an earlier neighbour take part from here
-    known = found.join(near, ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    known = found.join(near, ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"), "n")
     known = shared.materialised(known, "repeated-lines")
-    gone = narrow.select("k", "t", "at", "h", "g").join(sized(known), ["h", "g"]).filter(F.col("near") | ~F.struct("k", "t", "at").eqNullSafe(F.col("first")))
+    gone = shared.joined_by_size(narrow.select("k", "t", "at", "h", "g"), known, ["h", "g"], "n").filter(F.col("near") | ~F.struct("k", "t", "at").eqNullSafe(F.col("first")))
     return shared.materialised(gone.groupBy("k", "t").agg(F.collect_set("at").alias("drop")), "dropped")
 
 
@@ -130,7 +123,7 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
     names = list(docs.columns)
     mine = docs.toDF(*[f"c{i}" for i in range(len(names))])
     whole, own = F.col(f"c{names.index(text)}"), F.col(f"c{names.index(key)}")
-    joined = mine.withColumn("hash", F.xxhash64(whole)).join(sized(gone), own.eqNullSafe(F.col("k")) & (F.col("hash") == F.col("t")), "left")
+    joined = mine.withColumn("hash", F.xxhash64(whole)).join(shared.sized(gone), own.eqNullSafe(F.col("k")) & (F.col("hash") == F.col("t")), "left")
     lines = F.split(whole, "\n")
     left = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n"))
     kept = [left if c == text else F.col(f"c{i}") for i, c in enumerate(names)]

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import shared
-from tallyforge.llm.line_dedup import sized
 
 SHARED_BYTES = 1000
 LINES = 500
@@ -134,10 +133,10 @@ def write_archive(pages: DataFrame, *, folder: str | None = None, url: str = "ur
     folder = folder or shared.fresh(spark, "warc")
     rows = shared.cased(pages, key, url, html).select(F.col(key).cast("long").alias("id"), url_key(F.col(url)).alias("k"), F.coalesce(F.regexp_replace(F.regexp_replace(F.trim(F.col(url)), r"\s", "%20"), r"[\x00-\x1f\x7f]", "%00"), F.lit("")).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("body"))
     rows = rows.withColumn("digest", F.sha1(F.encode("body", "utf-8"))).withColumn("size", F.octet_length("body"))
-    repeated = rows.filter(F.col("size") >= SHARED_BYTES).groupBy("digest", "size").agg(F.max("id").alias("last"), F.max_by("u", F.struct("id", "u")).alias("last_u"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & F.col("last").isNotNull()).drop("copies")
+    repeated = rows.filter(F.col("size") >= SHARED_BYTES).groupBy("digest", "size").agg(F.max("id").alias("last"), F.max_by("u", F.struct("id", "u")).alias("last_u"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & F.col("last").isNotNull())
     repeated = shared.materialised(repeated, "repeated")
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
-    rows = rows.join(sized(repeated), ["digest", "size"], "left").select("id", "k", "u", "body", "digest", F.when(revisit, F.col("last")).alias("last"), F.when(revisit, F.col("last_u")).alias("last_u"))
+    rows = shared.joined_by_size(rows, repeated, ["digest", "size"], "copies", "left").select("id", "k", "u", "body", "digest", F.when(revisit, F.col("last")).alias("last"), F.when(revisit, F.col("last_u")).alias("last_u"))
     dealt = rows.repartitionByRange("k", "id", "digest").sortWithinPartitions("k", "id", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,8 +195,8 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
     words lie between spaces and the controls 9 to 13, and A-Z counts as a-z. With fewer than n words the whole
     sequence is the one shingle. A text that is null or without words has an empty set and no link. component_id
     is the smallest key reachable, itself included; ``kept`` says that it is the row's own. Rows with equal keys
-    and texts get equal results; equal keys with different texts are one document. A null key is never the
-    smallest beside others and never kept. An empty table gives no rows. Only key and text are read."""
+    and texts get equal results; equal keys with different texts are documents of their own, linked only if their sets
+    are alike. A null key is never the smallest beside others and never kept. An empty table gives no rows. Only key and text are read."""
     base = shared.materialised(features(docs, n=n, text=text, key=key), "features")
     filled = base.filter("n_shingles > 0")
     vertices = shared.materialised(filled.groupBy("vid").agg(F.min(key).alias("rep"), F.first(F.struct("n_shingles", "s1", "s2", "tokens")).alias("f")).select("vid", "rep", "f.*"), "vertices")
@@ -208,6 +208,7 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
         """``node, m, size, l0, l1, l2`` of nodes with several classes; the last three are leaders."""
         orders = [F.min(F.struct(F.xxhash64("vid", F.lit(i)).alias("o"), *[F.col(c) for c in columns[1:]])).alias(f"l{i}") for i in range(3)]
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), *orders).filter("size > 1")
+        nodes = shared.materialised(nodes, "nodes")  # a side of its own, so that a node with many classes can be split in the join
         return shared.materialised(rows.join(nodes, "node").select("node", me.alias("m"), "size", "l0", "l1", "l2"), "members")
 
     roots = vertices.withColumn("node", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])))

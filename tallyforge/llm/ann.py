@@ -4,13 +4,15 @@ Largest inner products become smallest distances by one more coordinate, which f
 norm. Balanced k-means on a bounded sample gives centroids; their number grows with the rows up to ``MAX_LISTS``, and an
 in-memory graph over them is searched with a beam. Every vector goes to its nearest centroid's posting list and, near a
 boundary, to further ones within a ratio of distances, unless one chosen before is closer to that centroid than the
-vector is. Lists that lie near one another share a bundle of up to ``BLOCK`` vectors. A query searches the bundles whose
-nearest centroid is at most a slack further than the nearest of all. The slack has no bound of its own: it is the least
-by which queries drawn from the table find the wanted share of their neighbours, which one exact pass gives.
+vector is. Lists that lie near one another share a bundle of up to ``BLOCK`` vectors. A query walks the graph and searches
+the bundles whose nearest centroid is within a ratio of the nearest of all. The ratio has no bound of its own: it is the
+least by which queries drawn from the table find the wanted share of their neighbours, which one exact pass gives, and a
+walk is widened until it has passed that ratio.
 
 Equal vectors are indexed once, with their smallest ids, as many as a result can hold. Long lists and many queries of
 a list are split into blocks, so that a task's share is bounded whatever the groups; every row is indexed and no
-candidate of a searched list is left out. Scores are inner products of the original vectors in double precision.
+candidate of a searched list is left out. Scores are inner products of the original vectors in double precision, added
+up in the order of the coordinates, so that a pair's score is the same wherever it is met.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ SAMPLE, MAX_LISTS = 20_000, 8_192
 #: Vectors and queries that one task compares at a time.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 DEGREE = 24
-#: Queries that the slack is fitted on, and queries that a worker ranks at a time.
+#: Centroids that a walk begins with, and how many may all be compared in place of a walk of half as many.
+BEAM, EXHAUSTIVE = 16, 2
+#: Queries that the ratio is fitted on, and queries that a worker ranks at a time.
 TRIED, CHUNK = 400, 256
 
 
@@ -40,6 +44,7 @@ class Centroids:
 
     points: np.ndarray
     links: np.ndarray
+    exhaustive: int = EXHAUSTIVE
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, squared distances) of about the nearest ``beam`` centroids of each query, nearest first. All
@@ -48,7 +53,7 @@ class Centroids:
         beam = min(beam, k)
         norms = (self.points**2).sum(1)
         far = lambda rows, ids: np.maximum((q[rows] ** 2).sum(1)[:, None] + norms[ids] - 2 * np.einsum("qd,qcd->qc", q[rows], self.points[ids]), 0)
-        if k <= 2 * beam:
+        if k <= self.exhaustive * beam or beam == k:
             d = np.maximum((q**2).sum(1)[:, None] + norms - 2 * q @ self.points.T, 0)
             order = np.argsort(d, 1, kind="stable")[:, :beam]
             return order, np.take_along_axis(d, order, 1)
@@ -128,12 +133,46 @@ def bundles(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def distances(q: np.ndarray, points: np.ndarray, bundle: np.ndarray) -> np.ndarray:
     """Squared distance of each query to the nearest centroid of each bundle."""
     by = np.argsort(bundle, kind="stable")
-    d = ((q**2).sum(1)[:, None] + (points**2).sum(1) - 2 * q @ points.T)[:, by]
+    d = np.maximum((q**2).sum(1)[:, None] + (points**2).sum(1) - 2 * q @ points.T, 0)[:, by]
     return np.minimum.reduceat(d, np.searchsorted(bundle[by], np.arange(bundle.max() + 1)), axis=1)
 
 
-def slack(posted: DataFrame, tried: list, far: np.ndarray, bundle: np.ndarray, k: int, copies: int, recall: float) -> float:
-    """The least slack by which the drawn queries find a share of ``recall`` of their ``k`` neighbours, exactly.
+def reached(book: Centroids, q: np.ndarray, bundle: np.ndarray, sizes: np.ndarray, ratio: float, soft: float, enough: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, bundle) pairs to search: bundles with a centroid within the ratio of the nearest, and the nearest ones until
+    they hold ``enough`` vectors. ``soft`` is added to both sides of the ratio. Walks keep ``beam``
+    centroids; those that end before they have all of that go again four times as wide, and then over all centroids."""
+    out: list[np.ndarray] = []
+    left, k, narrow = np.arange(len(q)), len(book.points), beam
+    while len(left):
+        ids, d = book.search(q[left], beam)
+        own = bundle[ids]
+        # the first place of each bundle in a row is its nearest centroid
+        order = np.argsort(own, 1, kind="stable")
+        ranked = np.take_along_axis(own, order, 1)
+        first = np.zeros(own.shape, bool)
+        np.put_along_axis(first, order, np.concatenate([np.ones((len(own), 1), bool), ranked[:, 1:] != ranked[:, :-1]], 1), 1)
+        held = np.cumsum(np.where(first, sizes[own], 0), 1)
+        before = held - np.where(first, sizes[own], 0)
+        near = d + soft <= ratio * (d[:, :1] + soft)
+        ended = np.full(len(left), beam >= k) | (~near[:, -1] & (held[:, -1] >= enough))
+        i, j = np.nonzero(first & (near | (before < enough)) & ended[:, None])
+        out.append(np.stack([left[i], own[i, j]]))
+        left, beam = left[~ended], min(4 * beam, k) if beam == narrow else k
+    i, j = np.concatenate([np.zeros((2, 0), np.int64), *out], 1)
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up in the order of the coordinates."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def widest(posted: DataFrame, tried: list, far: np.ndarray, soft: float, bundle: np.ndarray, k: int, copies: int, recall: float) -> float:
+    """The least ratio by which the drawn queries find a share of ``recall`` of their ``k`` neighbours, exactly.
 
     ``far``: as of ``distances``. Of every vector's postings only the nearest to a query counts, and a result needs
     ``copies * (k + 1)`` postings at most."""
@@ -166,7 +205,7 @@ def slack(posted: DataFrame, tried: list, far: np.ndarray, bundle: np.ndarray, k
         left = k
         for first, (n, own) in classes.items():
             n = min(n - (first == tried[i]["ids"][0]), left)  # the query itself is no neighbour
-            needs += [far[i, bundle[own]].min() - far[i].min()] * n
+            needs += [(far[i, bundle[own]].min() + soft) / (far[i].min() + soft)] * n
             left -= n
     return float(np.sort(needs)[min(len(needs) - 1, int(np.ceil(recall * len(needs))) - 1)]) if needs else 0.0
 
@@ -186,13 +225,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", recall: float = 0.98, closure: float = 0.15, copies: int = 3, least: int = 20) -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", recall: float = 0.98, closure: float = 0.15, copies: int = 3, least: int = 20, exhaustive: int = EXHAUSTIVE) -> DataFrame:
     """``query_id, rank, key, score``: the ``k`` largest inner products found for every row whose id is divisible by
     ``queries``, among all other rows; equal scores go by the smaller id.
 
     ``closure``, ``copies``: by how much further a list may be than the nearest to hold a copy of a vector, and in how
     many lists at most. ``recall``: the share of neighbours that is found of queries drawn from the table, which sets how
     far queries search. ``least``: lists are searched until they hold so many times the vectors that a result needs.
+    ``exhaustive``: up to so many centroids for each that is asked for, all are compared in place of a walk.
     Vectors that are null, zero or hold a null or non-finite number, or are of another length than most, and null ids take no part. Equal rows count once. An empty table gives no rows."""
     spark = table.sparkSession
     shared.small_batches(spark, 2000)
@@ -205,17 +245,18 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
     result = f"query_id long, rank int, `{key}` long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    share = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / total) * 1_000_000)
+    share = shared.draw("h") < shared.share(SAMPLE / total)
     sample = np.array([r["v"] for r in classes.filter(share).orderBy("h").select("v").limit(SAMPLE).collect()] or [r["v"] for r in classes.orderBy("h").select("v").limit(100).collect()])
     lifted = lambda x: np.concatenate([x, np.sqrt(np.maximum(largest - (x**2).sum(1), 0))[:, None]], 1)
     book = centroids(lifted(sample), int(min(MAX_LISTS, max(1, 2 * total**0.5))))
+    book.exhaustive = exhaustive
     model = spark.sparkContext.broadcast(book)  # MAX_LISTS centroids at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             x = lifted(matrix(batch.column("v")))
-            ids, d = own.search(x, 16)
+            ids, d = own.search(x, BEAM)
             d = np.sqrt(d)
             keep = np.zeros(ids.shape, bool)
             keep[:, 0] = True
@@ -236,11 +277,7 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
         for whole in batches:
             for at in range(0, len(whole), CHUNK):
                 batch = whole.slice(at, CHUNK)
-                far = distances(norm(matrix(batch.column("v"))), own.points, bundle)
-                order = np.argsort(far, 1, kind="stable")
-                before = np.empty_like(order)
-                np.put_along_axis(before, order, np.cumsum(sizes[order], 1) - sizes[order], 1)
-                i, j = np.nonzero((far <= far.min(1, keepdims=True) + wide) | (before < enough))
+                i, j = reached(own, norm(matrix(batch.column("v"))), bundle, sizes, wide, soft, enough, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(j), *(batch.column(c).take(pa.array(i)) for c in ("h", "g", "v"))], names=["bundle", "h", "g", "v"])
 
     posted = shared.materialised(classes.mapInArrow(post, "list long, h long, ids array<long>, v array<double>"), "postings")
@@ -252,7 +289,15 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
     sizes = np.bincount(bundle, held).astype(np.int64)
     asking = shared.materialised(classes.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi"), "asking")
     tried = asking.orderBy(F.xxhash64("h"), "g").limit(TRIED).collect()
-    wide = slack(posted, tried, distances(norm(np.array([r["v"] for r in tried])), book.points, bundle), bundle, k, copies, recall) if tried else 0.0
+    wide, soft, beam = 1.0, 0.0, BEAM
+    if tried:
+        x = norm(np.array([r["v"] for r in tried]))
+        far = distances(x, book.points, bundle)
+        soft = float(np.median(far.min(1))) + 1e-12 * largest  # a query that lies on a centroid has a finite ratio
+        wide = widest(posted, tried, far, soft, bundle, k, copies, recall) * (1 + 1e-9)
+        d = np.sort(distances(x, book.points, np.arange(len(book.points))), 1)
+        need = int(np.quantile((d + soft <= wide * (d[:, :1] + soft)).sum(1), 0.9))  # centroids that most queries walk to
+        beam = BEAM if 2 * need <= BEAM else min(2 * need, len(book.points))
     wanted = shared.materialised(asking.mapInArrow(ask, "bundle long, h long, g long, v array<double>"), "queries")
     nq = {r["bundle"]: -(-r["count"] // QUERY_BLOCK) for r in wanted.groupBy("bundle").count().collect()}  # a row for each bundle
     rows_of = [(i, int(b), -(-int(sizes[b]) // BLOCK), nq[b]) for i, b in enumerate(bundle.tolist()) if b in nq]
@@ -271,18 +316,21 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
         first, at = np.unique(ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()], return_index=True)  # once, whatever its lists
         x, ids, parts = matrix(one(held, "v"))[at], ids.take(pa.array(at)), []
         for lo in range(0, asked.num_rows, CHUNK):
-            scores = matrix(one(asked, "v").slice(lo, CHUNK)) @ x.T
-            last = np.partition(scores, -min(k + 1, len(x)), 1)[:, -min(k + 1, len(x))]
-            q, c = np.nonzero(scores >= last[:, None])
-            order = np.lexsort((c, -scores[q, c], q))  # c goes by id
-            q, c = q[order], c[order]
+            y = matrix(one(asked, "v").slice(lo, CHUNK))
+            rough = y @ x.T
+            # a product's last bits depend on the block; what may be among the first is added up anew
+            last = np.partition(rough, -min(k + 1, len(x)), 1)[:, -min(k + 1, len(x))] - 1e-12 * np.sqrt((y**2).sum(1) * largest)
+            q, c = np.nonzero(rough >= last[:, None])
+            scores = products(y[q], x[c])
+            order = np.lexsort((c, -scores, q))  # c goes by id
+            q, c, scores = q[order], c[order], scores[order]
             top = np.arange(len(q)) - np.searchsorted(q, q) <= k
-            q, c = q[top], c[top]
-            parts.append(pa.table([one(asked, "h").take(pa.array(q + lo)), one(asked, "g").take(pa.array(q + lo)), pa.array(scores[q, c]), ids.take(pa.array(c))], schema=kinds))
+            q, c, scores = q[top], c[top], scores[top]
+            parts.append(pa.table([one(asked, "h").take(pa.array(q + lo)), one(asked, "g").take(pa.array(q + lo)), pa.array(scores), ids.take(pa.array(c))], schema=kinds))
         return pa.concat_tables(parts)
 
     found = left.groupBy("bundle", "b", "q").cogroup(right.groupBy("bundle", "b", "q")).applyInArrow(compare, "h long, g long, score double, ids array<long>")
-    # a vector found in several lists counts once; its score may differ there in the last bit
+    # a vector found in several lists counts once
     single = found.select("h", "g", "score", F.explode("ids").alias("id")).groupBy("h", "g", "id").agg(F.max("score").alias("score"))
     by_class = Window.partitionBy("h", "g").orderBy(F.desc("score"), "id")
     top = single.withColumn("n", F.row_number().over(by_class)).filter(F.col("n") <= k + 1)

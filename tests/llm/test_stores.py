@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -68,6 +69,45 @@ def test_neighbours_reach_recall(spark):
     assert [i for _, i, _ in by[120]] == [i for i in range(100, 122) if i != 120][:20]
 
 
+@pytest.mark.parametrize("exhaustive", [0, 1000])
+def test_walks_find_what_all_centroids_give(exhaustive):
+    """The graph is walked, or all centroids are compared: what a query searches is about the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] * 4 + rng.normal(size=(3000, 8))
+    book = ann.centroids(x, 200)
+    book.exhaustive = exhaustive
+    bundle, sizes = np.arange(200) // 2, np.full(100, 30)
+    q, ratio = x[:300] + 0.1, 2.0
+    got = set(zip(*map(np.ndarray.tolist, ann.reached(book, q, bundle, sizes, ratio, 0.0, 90, 16)), strict=True))
+    want = set()
+    for i, v in enumerate(q):
+        d = np.sort([((book.points[2 * b : 2 * b + 2] - v) ** 2).sum(1).min() for b in range(100)])
+        order = np.argsort([((book.points[2 * b : 2 * b + 2] - v) ** 2).sum(1).min() for b in range(100)], kind="stable")
+        want |= {(i, int(b)) for at, b in enumerate(order) if d[at] <= ratio * d[0] or at < 3}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    if exhaustive:
+        assert got == want
+
+
+def test_nearest_by_walks_alone(spark):
+    """Queries and postings go by the graph; clashing columns and equal products across lists."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, size=(3000, 6)).astype(float)  # many equal products of different vectors
+    x[(x == 0).all(1)] = 1
+    df = spark.createDataFrame([(i, v.tolist(), "a", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, Embedding string, h int")
+    got = ann.nearest(df, queries=100, exhaustive=0, recall=1.0).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = sorted(range(len(x)), key=lambda i: (-score[i], i))[:20]
+        own = g.sort_values("rank")
+        assert list(own["score"]) == [score[i] for i in own["vec_id"]]
+        assert [(-s, i) for s, i in zip(own["score"], own["vec_id"], strict=True)] == sorted((-s, i) for s, i in zip(own["score"], own["vec_id"], strict=True))
+        hits += len(set(best) & set(own["vec_id"]))
+    assert hits >= 0.97 * 20 * 30
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few).collect())

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -113,7 +115,7 @@ def test_toxicity_counts_every_swap(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "KEPT", 5)
     passed = []
-    monkeypatch.setattr(toxicity, "calibrated", lambda rows, label, changes: passed.extend(changes))
+    monkeypatch.setattr(toxicity, "calibrated", lambda rows, changes: passed.extend(changes))
     toxicity.train(docs, labels)
     got = Counter()
     for plus, minus, *n in passed:
@@ -121,32 +123,100 @@ def test_toxicity_counts_every_swap(spark, monkeypatch):
     assert got == Counter((tuple(plus), tuple(minus)) for t in texts for plus, minus in toxicity.swaps(t))
 
 
+def test_sparse_fit_equals_a_dense_one():
+    """The model is where a dense problem's loss, penalty and sparsity term, stated plainly, have their minimum."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join([*rng.choice([f"word{i}" for i in range(12)], 6), "vile" if i % 3 == 0 else "kind", rng.choice(["women", "men"])]) for i in range(90)]
+    rows = toxicity.Rows.of([toxicity.text_features(t) for t in texts], np.arange(90) % 3 == 0)
+    changes = [(toxicity.features_of("women"), toxicity.features_of("men"), 40)]
+    model = toxicity.fit(rows, changes, rounds=6000)
+    kept = toxicity.screened(rows)
+    place = {int(f): i for i, f in enumerate(kept)}
+    x = np.zeros((90, len(kept)))
+    for i, t in enumerate(texts):
+        for f, n in zip(*toxicity.text_features(t), strict=True):
+            if int(f) in place:
+                x[i, place[int(f)]] = n
+    scale = 1 / np.sqrt(np.maximum((x**2).mean(0), 0.01))
+    x *= scale
+    pairs = changes + [(toxicity.features_of(b), toxicity.features_of(a), 1) for g in toxicity.IDENTITY for a, b in zip(g, g[1:], strict=False)] + [([], toxicity.features_of(t), 1) for g in toxicity.IDENTITY for t in g]
+    delta = np.zeros((len(pairs), len(kept)))
+    for i, (plus, minus, n) in enumerate(pairs):
+        for side, sign in ((plus, 1), (minus, -1)):
+            for f in side:
+                delta[i, place[f]] += sign * n**0.5 * scale[place[f]]
+    w, y = model.weights[kept] / scale, rows.label
+    many = sum(n for _, _, n in pairs)
+
+    def loss(w, bias):
+        m = x @ w + bias
+        return np.mean(np.logaddexp(0, m) - y * m) + 20.0 * np.sum((delta @ w) ** 2) / many + 1e-3 * np.abs(w).sum()
+
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    grad = x.T @ (p - y) / 90 + 40.0 * delta.T @ (delta @ w) / many
+    on = np.abs(w) > 1e-6
+    assert on.any() and np.allclose(grad[on], -1e-3 * np.sign(w[on]), atol=2e-4) and (np.abs(grad[~on]) <= 1.2e-3).all() and abs((p - y).mean()) < 2e-4
+    least = loss(w, model.bias)
+    assert all(loss(w + rng.normal(size=len(w)) * 0.01, model.bias) > least for _ in range(20))
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}{'xy'[j // 26]}" for j in range(50))) for i in range(40)] + [(0, "another text of the same id")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda rows, changes: seen.append(rows))
+    for most in (1 << 20, 5000, 1):
+        toxicity.train(docs, labels, sample_bytes=most)
+    assert [len(r.size) for r in seen] == [40, seen[1].size.size, 1]
+    assert 1 < len(seen[1].size) < 40 and seen[1].feature.size * 8 <= 5000
+
+
 def test_swaps_weigh_by_their_number():
     rng = np.random.default_rng(1)
-    rows = [np.sort(np.array([f for w in (f"w{rng.integers(9)}", "vile" if i % 2 else "fine", "women" if i % 2 else "men") for f in toxicity.features_of(w)])) for i in range(60)]
-    label = np.arange(60) % 2 == 1
+    texts = [toxicity.text_features(f"w{rng.integers(9)} {'vile women' if i % 2 else 'fine men'}") for i in range(60)]
+    rows = toxicity.Rows.of(texts, np.arange(60) % 2 == 1)
     a, b = ((toxicity.features_of(x), toxicity.features_of(y)) for x, y in (("women", "men"), ("jews", "hindus")))
-    one, all_ = toxicity.fit(rows, label, [(*a, 30), (*b, 2)]), toxicity.fit(rows, label, [(*a, 1)] * 30 + [(*b, 1)] * 2)
+    one, all_ = toxicity.fit(rows, [(*a, 30), (*b, 2)]), toxicity.fit(rows, [(*a, 1)] * 30 + [(*b, 1)] * 2)
     assert np.allclose(one.weights, all_.weights, atol=1e-5) and abs(one.bias - all_.bias) < 1e-5
 
 
-def test_sharding(spark, odd):
-    docs = spark.createDataFrame([(i, "x" * (i * 37 % 1000)) for i in range(3000)], "doc_id long, text string")
+def test_sharding_equals_brute_force(spark, odd):
+    docs = spark.createDataFrame([(i, "é" * (i * 37 % 1000)) for i in range(3000)] + [(None, "n"), (5, "again"), (5, "again")], "doc_id long, text string")
     out = sharding.sharded(docs, shards=8).toPandas()
     sizes = out.groupby("shard")["size"].sum()
     assert sizes.max() - sizes.min() <= out.groupby("vslot")["size"].sum().max()
     assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+    slot_of = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+    rows = [(i, len(t.encode()) + 1, zlib.crc32(t.encode()), slot_of(i)) for i, t in ((r.doc_id, r.text) for r in docs.collect())]
+    # slots by falling bytes, each to the emptiest shard; places by slot, then key (null first), checksum and size
+    by_slot = Counter()
+    for _, size, _, slot in rows:
+        by_slot[slot] += size
+    loads, shard_of = [0] * 8, {}
+    for slot in sorted(by_slot, key=lambda s: (-by_slot[s], s)):
+        shard_of[slot] = loads.index(min(loads))
+        loads[shard_of[slot]] += by_slot[slot]
+    want, place = [], Counter()
+    for i, size, crc, slot in sorted(rows, key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[2], r[1])):
+        shard = shard_of[slot]
+        want.append((i, size, crc, "bytes", shard, place[shard], None))
+        place[shard] += 1
+    key = lambda r: (r[4], r[5])
+    got = [tuple(r)[:7] for r in sharding.sharded(docs, shards=8).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
     got = sharding.sharded(odd).collect()
     assert sorted(r.size for r in got if r.doc_id in (2, 3)) == [1, 1]
     assert {r.text_crc32 for r in got if r.doc_id == 3} == {0}
     assert sharding.sharded(odd.limit(0)).count() == 0
 
 
-def test_rebalancing_moves_few_slots(spark, tmp_path):
+def test_rebalancing_moves_few_bytes(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(4000)], "doc_id long, text string")
     folder = f"file://{tmp_path}/map"
-    one = {r.doc_id: r.shard for r in sharding.sharded(docs, shards=4, folder=folder).collect()}
-    two = {r.doc_id: r.shard for r in sharding.sharded(docs, shards=5, folder=folder, version=2).collect()}
-    moved = [i for i in one if one[i] != two[i]]
-    assert all(two[i] == 4 for i in moved) and 0.15 < len(moved) / 4000 < 0.25
+    one = {r.doc_id: r for r in sharding.sharded(docs, shards=4, folder=folder).collect()}
+    two = {r.doc_id: r for r in sharding.sharded(docs, shards=5, folder=folder, version=2).collect()}
+    moved = [i for i in one if one[i].shard != two[i].shard]
+    total, share = sum(r.size for r in one.values()), sum(one[i].size for i in moved)
+    assert all(two[i].shard == 4 for i in moved)  # the new shard alone receives
+    assert abs(share - total / 5) <= 0.011 * total / 5
     assert sharding.load_map(spark, folder, 1) != sharding.load_map(spark, folder, 2)

@@ -41,9 +41,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 PLAIN_LETTERS, PLAIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words that a worker remembers.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Letters of text that are encoded together.
-PART = 6_000_000
+PART = 4_000_000
 #: Words up to this length are merged in a plain list.
 SHORT_WORD = 48
 NEVER = (1 << 60, -1)

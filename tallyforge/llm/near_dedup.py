@@ -148,8 +148,8 @@ def crowded_links(crowded: DataFrame, held: DataFrame, percent: int) -> DataFram
     against all of the node, block by block. A task gives at most one link for each merge of components, never
     all pairs."""
     counts = crowded.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    giant = counts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("g")).select("node", F.col("g.comp").alias("giant"))
-    rows = crowded.join(giant, "node").join(held, "vid").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("vid", "node"), "nb"))
+    giant = counts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("g"), F.sum("n").alias("weight")).select("node", F.col("g.comp").alias("giant"), "weight")
+    rows = shared.joined_by_size(crowded, shared.materialised(giant, "giants"), ["node"], "weight").join(held, "vid").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("vid", "node"), "nb"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     columns = ("vid", "comp", "shingles")
     left = rows.filter("comp <> giant").select("node", F.col("own").alias("bl"), every.alias("br"), *columns)
@@ -208,8 +208,9 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
         """``node, m, size, l0, l1, l2`` of nodes with several classes; the last three are leaders."""
         orders = [F.min(F.struct(F.xxhash64("vid", F.lit(i)).alias("o"), *[F.col(c) for c in columns[1:]])).alias(f"l{i}") for i in range(3)]
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), *orders).filter("size > 1")
-        nodes = shared.materialised(nodes, "nodes")  # a side of its own, so that a node with many classes can be split in the join
-        return shared.materialised(rows.join(nodes, "node").select("node", me.alias("m"), "size", "l0", "l1", "l2"), "members")
+        nodes = shared.materialised(nodes.withColumn("weight", F.col("size")), "nodes")
+        # nodes with many classes are joined apart from the others
+        return shared.materialised(shared.joined_by_size(rows, nodes, ["node"], "weight").select("node", me.alias("m"), "size", "l0", "l1", "l2"), "members")
 
     roots = vertices.withColumn("node", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])))
     members = members_of(child_nodes(roots, BRANCHES).select(columns))
@@ -229,7 +230,8 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
         placed = members.select("node", "m", near.alias("near")).join(merged.withColumnRenamed("id", "vid"), F.col("m.vid") == F.col("vid"), "left").select("node", "m", "near", F.coalesce("root", "m.vid").alias("comp"))
         kinds = placed.groupBy("node").agg(F.count("*").alias("size"), F.count_if("near").alias("close"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         kind = F.when(F.col("size") <= SMALL, "small").when(F.lit(last) | (F.col("close") >= CROWDED * F.col("size")), "crowded").otherwise("open")
-        live = shared.materialised(placed.join(kinds.select("node", "size", kind.alias("kind")), "node").drop("near"), "open")
+        kinds = shared.materialised(kinds.select("node", "size", kind.alias("kind"), F.col("size").alias("weight")), "kinds")
+        live = shared.materialised(shared.joined_by_size(placed.drop("near"), kinds, ["node"], "weight"), "open")
         small = live.filter("kind = 'small'")
         p, q = small.select("node", F.col("m").alias("p"), F.col("comp").alias("c")), small.select(F.col("node").alias("node2"), F.col("m").alias("q"), F.col("comp").alias("d"))
         close = p.join(q, (F.col("node") == F.col("node2")) & (F.col("c") < F.col("d")) & plausible("p", "q", percent)).select(F.least("p.vid", "q.vid").alias("a"), F.greatest("p.vid", "q.vid").alias("b"))

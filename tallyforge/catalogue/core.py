@@ -4,36 +4,28 @@ Facts are made from the order tables: a customer's nation stands for a company,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import periods as P
 from tallyforge.functions import text as X
+from tallyforge.functions.labels import FULL_CASE
 from tallyforge.operators import crosscheck as C
 from tallyforge.operators import documents as D
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import facts as A
 from tallyforge.operators import retrieval as R
 from tallyforge.plans.metrics import Metric, Metrics
+from tallyforge.register import query
 from tallyforge.streaming import events as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+def folded(c: str) -> str:
+    for a, b in FULL_CASE:
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
 
 
-TOK = f"regexp_extract_all(lower(text), '{X.TOKEN}')"
+TOK = f"regexp_extract_all({folded('lower(text)')}, '{X.TOKEN}')"
 
 
 def bm25_sql(k: int, k1: float = 1.5, b: float = 0.75) -> str:
@@ -95,11 +87,9 @@ def rerank_topk(read, spark):
     return R.rerank(first, bench(read), read("documents"))
 
 
-SQUEEZE = r"lower(trim(regexp_replace(regexp_replace(translate({0}, '" + X.CURLY + "', '" + X.PLAIN.replace("'", "''") + r"'), '\s+([,.;:!?%)\]])', '\1', 'g'), '\s+', ' ', 'g')))"
-
-
 def squeezed(c: str) -> str:
-    return SQUEEZE.format(c)
+    marks, plain = X.CURLY, X.PLAIN.replace("'", "''")
+    return folded(rf"lower(trim(regexp_replace(regexp_replace(translate({c}, '{marks}', '{plain}'), '\s+([,.;:!?%)\]])', '\1', 'g'), '\s+', ' ', 'g')))")
 
 
 RESOLVED = f"resolved AS (SELECT item_id AS quote_id, doc_id FROM (SELECT doc_id, {squeezed('text')} AS t FROM documents), (SELECT item_id, {squeezed('text')} AS q FROM benchmark) WHERE contains(t, q))"
@@ -301,26 +291,6 @@ def restated_inputs(read, spark):
     return A.restated(inputs, events).select("ticker", "input_id", F.round("restated", 6).alias("restated"))
 
 
-PRINTED = "CASE WHEN s_acctbal < 0 THEN '(' || printf('%.1f', -s_acctbal) || ')' ELSE printf('%.1f', s_acctbal) END"
-
-
-@query("""SELECT s_suppkey, s_nationkey, CASE WHEN abs(s_acctbal - (CASE WHEN s_suppkey > 20 THEN s_acctbal ELSE s_acctbal * 1.5 END)) <= 0.05 + 1e-9 OR s_suppkey > 20 THEN 'agree' ELSE 'differ' END AS outcome FROM supplier""")
-def crosscheck_match(read, spark):
-    s = read("supplier")
-    shown = F.when(F.col("s_suppkey") > 20, F.col("s_acctbal")).otherwise(F.col("s_acctbal") * 1.5)
-    text = F.format_string("%,.1f", F.abs(shown))
-    cells = s.select(F.col("s_suppkey").alias("cell_key"), F.when(shown < 0, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text).alias("printed"))
-    parsed = cells.select("cell_key", X.printed_number(F.col("printed")).alias("p")).select("cell_key", "p.value", "p.places")
-    half = 0.5 * F.pow(F.lit(10.0), -F.col("places")) + 1e-9
-    return s.join(parsed, F.col("s_suppkey") == F.col("cell_key"), "left").select("s_suppkey", "s_nationkey", F.when(F.abs(F.col("s_acctbal") - F.col("value")) <= half, "agree").when(F.col("value").isNull(), "unmatched").otherwise("differ").alias("outcome"))
-
-
-@query("""SELECT s_nationkey, n, CAST(row_number() OVER (ORDER BY n DESC, s_nationkey) AS INTEGER) AS place FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey <= 20 AND abs(s_acctbal * 0.5) > 0.05 GROUP BY 1)""")
-def review_groups(read, spark):
-    groups = crosscheck_match(read, spark).filter("outcome = 'differ'").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "s_nationkey")))  # a row for each nation
-
-
 @query("SELECT o_orderkey AS fact_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def promotion(read, spark):
     links = read("lineitem").select(F.col("l_orderkey").alias("fact_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input_id"))
@@ -452,18 +422,6 @@ def offset_pages(read, spark):
     return chunks.join(listed, "doc_id").select("doc_id", "begins", F.size(F.filter("starts", lambda x: x <= F.col("begins"))).alias("page"))
 
 
-@query("""WITH f AS (SELECT o_orderkey AS fact_id, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, o_totalprice AS value FROM orders),
-c AS (SELECT l_orderkey AS document, o_custkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
-SELECT fact_id, document, CASE WHEN abs(f.value - c.value) <= 0.005 + 1e-9 THEN 'agree' ELSE 'differ' END AS outcome FROM f JOIN c USING (ticker, period_end)""")
-def crosscheck_cells(read, spark):
-    o = read("orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("period_end"), F.col("o_totalprice").alias("value"))
-    facts = o.select("*", F.lit("standalone").alias("basis"), F.lit(0).alias("months"), F.lit("INR").alias("unit"), F.lit(False).alias("per_share"), F.array(F.lit("total"), F.lit("price")).alias("words"))
-    sums = read("lineitem").groupBy(F.col("l_orderkey").alias("document")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("value"))
-    printed = sums.join(o.select(F.col("fact_id").alias("document"), "ticker", "period_end"), "document").withColumn("printed", F.format_string("%,.2f", "value"))
-    cells = printed.select("ticker", "document", F.lit(None).cast("string").alias("basis"), F.lit(1.0).alias("scale"), F.lit(1).alias("place"), "period_end", F.lit(0).alias("months"), "printed", X.printed_number(F.col("printed")).alias("p"), F.array(F.lit("total"), F.lit("price")).alias("words"))
-    return C.checked(facts, cells.select("*", "p.*").drop("p")).select("fact_id", "document", "outcome")
-
-
 @query("""WITH s AS (SELECT source, lang AS phrasing, toxic IS NOT NULL AS held, CASE WHEN toxic IS NOT NULL THEN 1 + (n_chars > 500)::INT + 5 * (n_chars > 5000)::INT END AS rank, CASE WHEN quality = 1 THEN toxic = 0 END AS exact FROM documents LEFT JOIN labels USING (doc_id))
 SELECT source, phrasing, count(*) AS figures, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE rank <= 1) AS found_1, count(*) FILTER (WHERE rank <= 5) AS found_5, CASE WHEN count(exact) > 0 THEN count(*) FILTER (WHERE exact) END AS exact FROM s GROUP BY 1, 2""")
 def coverage_summary(read, spark):
@@ -473,9 +431,9 @@ def coverage_summary(read, spark):
     return C.coverage(rows.select("source", F.col("lang").alias("phrasing"), held.alias("held"), rank.alias("rank"), F.when(F.col("quality") == 1, F.col("toxic") == 0).alias("exact")))
 
 
-@query("""SELECT l_suppkey AS concept, max(l_quantity) AS largest, count(DISTINCT l_partkey) AS parts, min(l_shipdate)::DATE AS first_day, mode(l_returnflag) IS NOT NULL AS has_mode FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey AS concept, max(l_quantity) AS largest, count(DISTINCT l_partkey) AS parts, min(l_shipdate)::DATE AS first_day, max(l_returnflag) AS last_flag FROM lineitem GROUP BY 1""")
 def concept_summary(read, spark):
-    return read("lineitem").groupBy(F.col("l_suppkey").alias("concept")).agg(F.max("l_quantity").alias("largest"), F.count_distinct("l_partkey").alias("parts"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.mode("l_returnflag").isNotNull().alias("has_mode"))
+    return read("lineitem").groupBy(F.col("l_suppkey").alias("concept")).agg(F.max("l_quantity").alias("largest"), F.count_distinct("l_partkey").alias("parts"), F.to_date(F.min("l_shipdate")).alias("first_day"), F.max("l_returnflag").alias("last_flag"))
 
 
 @query("""SELECT c_custkey, string_agg(o_orderkey::VARCHAR, '; ' ORDER BY o_orderkey) AS aliases, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")

@@ -1,25 +1,26 @@
-"""String columns: folding, tokens, labels, scales, printed numbers, guards."""
+"""String columns: folding, tokens, names, guards, scopes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a token, curly marks and what they fold to, and scale words with multipliers.
+from tallyforge.functions.labels import casefold
+
+#: Words of a token, typographic marks and what they fold to, and what credentials look like.
 TOKEN = r"[a-z0-9]+(?:[.,][0-9]+)*"
-CURLY, PLAIN = "‘’“”–—−", "''\"\"---"
-SCALES = (("lakh crore", 1e12), ("trillion", 1e12), ("crore", 1e7), ("lakh", 1e5), ("lac", 1e5), ("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
+CURLY, PLAIN = "‘’‚‛′“”„‟″‐‑‒–—―", "'" * 5 + '"' * 5 + "-" * 6
 CREDENTIAL = r"(?i)(sk-[a-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+    return F.regexp_extract_all(casefold(text), F.lit(TOKEN), 0)
 
 
 def squeeze(text: Column) -> Column:
-    """One form for comparing quotes: plain marks, single spaces, none before punctuation, lower case."""
+    """One form for comparing quotes: plain marks, single spaces, none before punctuation, cases folded."""
     plain = F.translate(text, CURLY, PLAIN)
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s+([,.;:!?%)\]])", "$1"), r"\s+", " ")))
+    return casefold(F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+([,.;:!?%)\]])", "$1"), r"(?U)\s+", " ")))
 
 
 def skeleton(line: Column) -> Column:
@@ -27,48 +28,26 @@ def skeleton(line: Column) -> Column:
     return F.regexp_replace(F.trim(line), r"\d+", "#")
 
 
-def name_words(name: Column) -> Column:
-    """Words of a camel-case or spaced name, lower case, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"), 0), F.lower))
+CAMEL = r"[A-Z][A-Z0-9]*(?![a-z])|[A-Z]?[a-z0-9]+"
 
 
-def label_of(name: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"), 0), " ")
+def name_words(name: Column) -> Column:
+    """Words of a label or a camel-case name, lower case, each once: its humps, and what stands between other marks."""
+    found = F.concat(F.regexp_extract_all(name, F.lit(CAMEL), 0), F.regexp_extract_all(name, F.lit("[A-Za-z0-9]+"), 0))
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
 
 
-def label_share(label: Column, row: Column) -> Column:
-    """Share of the label's words that the row has."""
-    return F.try_divide(F.size(F.array_intersect(label, row)).cast("double"), F.size(label).cast("double"))
+def label_of(name: Column) -> Column:
+    """A camel-case name in words: the first as it is, the others in lower case unless they are all capitals."""
+    words = F.regexp_extract_all(name, F.lit(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"), 0)
+    shown = F.transform(words, lambda w, i: F.when((i == 0) | ((F.length(w) > 1) & (w == F.upper(w)) & w.rlike("[A-Z]")), w).otherwise(F.lower(w)))
+    return F.when(F.size(words) == 0, name).otherwise(F.array_join(shown, " "))
 
 
 def one_off(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
-def scale_of(text: Column) -> Column:
-    """Multiplier of the first scale word, longest name first at a place; 1 without any."""
-    found = F.regexp_extract(F.lower(text), "(" + "|".join(n for n, _ in SCALES) + ")", 1)
-    out = F.lit(1.0)
-    for name, factor in SCALES:
-        out = F.when(found == name, factor).otherwise(out)
-    return out
-
-
-def printed_number(text: Column) -> Column:
-    """``struct<value, places, percent>`` of a printed figure, else null: dashes are 0, brackets are negative,
-    commas group digits."""
-    t = F.regexp_replace(F.translate(F.trim(text), CURLY, PLAIN), r"\s", "")
-    nil = t.rlike(r"^-{1,2}$") | (F.lower(t) == "nil")
-    shape = r"^(\(?)(-?)(?:rs\.?|₹|inr)?([0-9][0-9,]*)(\.[0-9]+)?(%?)(\)?)(%?)$"
-    low = F.lower(t)
-    part = lambda i: F.regexp_extract(low, shape, i)
-    value = F.concat(F.regexp_replace(part(3), ",", ""), part(4)).try_cast("double")
-    signed = F.when((part(1) == "(") | (part(2) == "-"), -value).otherwise(value)
-    none = F.struct(F.lit(0.0).alias("value"), F.lit(0).alias("places"), F.lit(False).alias("percent"))
-    some = F.struct(signed.alias("value"), F.greatest(F.length(part(4)) - 1, F.lit(0)).alias("places"), ((part(5) == "%") | (part(7) == "%")).alias("percent"))
-    return F.when(nil, none).when(low.rlike(shape), some)
-
-
 def indian_grouping(n: Column) -> Column:
     return F.regexp_replace(n.cast("string"), r"(\d)(?=(\d{2})*\d{3}$)", "$1,")
 
@@ -89,13 +68,16 @@ def text_key(text: Column) -> Column:
 
 def scopes_of(spec: Column, every: list[str]) -> Column:
     """``*`` is every scope, else the sorted distinct parts between commas."""
-    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(spec, ","), F.trim), lambda x: x != "")))
+    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")))
     return F.when(F.trim(spec) == "*", F.array(*map(F.lit, sorted(every)))).otherwise(parts)
 
 
 def is_heading(line: Column) -> Column:
-    """At most 80 letters and 12 words, numbered or mostly capitalised."""
-    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w.rlike("[A-Za-z]"))
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    numbered = line.rlike(r"^\s*\d+(\.\d+)*[.)]?\s+\S")
-    return (F.length(F.trim(line)) <= 80) & (F.size(F.split(F.trim(line), r"\s+")) <= 12) & (F.size(words) > 0) & (numbered | (capital >= 0.6 * F.size(words)))
+    """At most 80 letters and 12 words, not ended by a point, comma or semicolon, and numbered or with capitals on 60 % of
+    the words that begin with a letter."""
+    bare = F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+    words = F.split(bare, " ")
+    alphabetic = F.filter(words, lambda w: w.rlike(r"^\p{L}"))
+    capital = F.size(F.filter(alphabetic, lambda w: w.rlike(r"^\p{Lu}")))
+    numbered = bare.rlike(r"^\d+(\.\d+)*\.?\s+\S")
+    return (bare != "") & (F.length(F.trim(line)) <= 80) & ~bare.rlike("[.,;]$") & (F.size(words) <= 12) & (numbered | ((F.size(alphabetic) > 0) & (capital >= 0.6 * F.size(alphabetic))))

@@ -7,14 +7,16 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import skeleton
+from tallyforge.functions.text import is_heading, skeleton
 
-#: Abbreviations after which no sentence ends.
-ABBREVIATIONS = frozenset("mr mrs ms dr prof rs no nos vs etc inc ltd co corp st fig eq e.g i.e approx dept".split())
-SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]?[A-ZÀ-Þ0-9])|\n\s*\n")
+#: Abbreviations after which no sentence ends, and what ends one.
+ABBREVIATIONS = frozenset(("approx", "co", "cr", "dr", "e.g", "etc", "fig", "i.e", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "pvt", "rs", "sr", "vs", "viz"))
+SENTENCE_END = re.compile(r"(?<=[.!?])[\"'’”)\]]*\s+")
+#: Letters before an end in which its last word is looked for.
+LOOK_BACK = 64
 
 
 def fixed_chunks(docs: DataFrame, *, size: int = 1200, overlap: int = 200, least: int = 80) -> DataFrame:
@@ -39,33 +41,47 @@ def furniture(lines: DataFrame, *, by: str = "doc_id", page: str = "page", least
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences, which tile the text. No sentence ends after an abbreviation or a single initial."""
+    """Spans of sentences, which tile the text: one ends after a full stop, a question or an exclamation mark, closing marks
+    and white space, unless an abbreviation or a single letter stands before."""
     spans, start = [], 0
     for m in SENTENCE_END.finditer(text):
-        before = text[start : m.start()].rsplit(None, 1)[-1:] or [""]
-        word = before[0].rstrip(".").strip("\"'([").lower()
-        if not m[0].startswith("\n") and before[0].endswith(".") and (word in ABBREVIATIONS or len(word) == 1 and word.isalpha()):
-            continue
-        spans.append((start, m.end()))
-        start = m.end()
+        before = text[max(0, m.start() - LOOK_BACK) : m.start()].rstrip(".!?").split()
+        word = before[-1].rstrip(".").casefold() if before else ""
+        if len(word) != 1 and word not in ABBREVIATIONS:
+            spans.append((start, m.end()))
+            start = m.end()
     return [*spans, (start, len(text))] if start < len(text) else spans
 
 
-def packed(text: str, size: int = 1200, overlap: int = 1) -> list[tuple[int, str]]:
+def cut_lines(text: str, start: int, end: int, size: int) -> list[tuple[int, int]]:
+    """A span in pieces of whole lines up to ``size``; a longer line is a piece of its own."""
+    out, at, held = [], start, start
+    for m in re.finditer("\n|$", text[start:end]):
+        stop = start + m.end()
+        if stop - at > size and held > at:
+            out.append((at, held))
+            at = held
+        held = stop
+    return [*out, (at, end)] if at < end else out
+
+
+def packed(text: str, size: int = 1200, overlap: int = 1, lines: bool = False) -> list[tuple[int, str]]:
     """(start, piece): sentences packed up to ``size``; the next piece begins ``overlap`` sentences back. A sentence over
-    the size is cut."""
+    the size is cut every ``size`` letters or, with ``lines``, at its line breaks."""
     spans, out, i = sentences(text), [], 0
+    cut = (lambda a, b: cut_lines(text, a, b, size)) if lines else (lambda a, b: [(x, min(x + size, b)) for x in range(a, b, size)])
     while i < len(spans):
         start, j = spans[i][0], i
         while j < len(spans) and spans[j][1] - start <= size:
             j += 1
         if j == i:
-            out += [(a, text[a : min(a + size, spans[i][1])]) for a in range(start, spans[i][1], size)]
+            out += cut(start, spans[i][1])
             i += 1
             continue
-        out.append((start, text[start : spans[j - 1][1]]))
+        out.append((start, spans[j - 1][1]))
         i = j if j >= len(spans) else max(i + 1, j - overlap)
-    return [(a + len(p) - len(p.lstrip()), p.strip()) for a, p in out if p.strip()]
+    pieces = [(a, text[a:b]) for a, b in out]
+    return [(a + len(p) - len(p.lstrip()), p.strip()) for a, p in pieces if p.strip()]
 
 
 def sentence_chunks(docs: DataFrame, *, size: int = 1200, overlap: int = 1) -> DataFrame:
@@ -79,45 +95,101 @@ def sentence_chunks(docs: DataFrame, *, size: int = 1200, overlap: int = 1) -> D
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, start int, text string")
 
 
+def heading_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, begin, heading`` of every line that reads like a heading; ``begin``: its offset in the text."""
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))
+    # offsets are sums of lengths within the row, so that no shuffle is needed
+    starts = F.aggregate("lines", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
+    rows = lines.select("doc_id", F.posexplode(F.arrays_zip("lines", F.slice(starts, 1, F.size("lines")).alias("at"))).alias("i", "x")).select("doc_id", F.col("x.lines").alias("line"), F.col("x.at").alias("at"))
+    return rows.filter(is_heading(F.col("line"))).select("doc_id", (F.col("at") + F.length("line") - F.length(F.ltrim("line"))).alias("begin"), F.trim("line").alias("heading"))
+
+
+def without_furniture(text: Column, found: Column) -> Column:
+    """A page without the lines whose skeleton is furniture; blank lines stay, ends are trimmed."""
+    keep = lambda x: (F.trim(x) == "") | ~F.array_contains(found, skeleton(x))
+    return F.regexp_replace(F.regexp_replace(F.array_join(F.filter(F.split(text, "\n"), keep), "\n"), r"^\s+", ""), r"\s+$", "")
+
+
+def stripped_pages(pages: DataFrame, *, by: str = "doc_id", page: str = "page", **how) -> DataFrame:
+    """Pages (``by, page, text``) without their document's furniture; a page of nothing else stays, empty."""
+    lines = pages.select(by, page, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = furniture(lines, by=by, page=page, **how).groupBy(by).agg(F.collect_set("skeleton").alias("found"))
+    whole = pages.join(found, by, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    return whole.withColumn("text", without_furniture(F.col("text"), F.col("found"))).drop("found")
+
+
+def joined_pages(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """``doc_id, text, page_starts`` of ``pages(doc_id, page, text)``: pages in order, and where each begins; an empty page
+    takes its place."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    starts = F.aggregate("t", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + len(separator))))
+    docs = pages.groupBy("doc_id").agg(listed.alias("t"))
+    return docs.select("doc_id", F.array_join("t", separator).alias("text"), F.slice(starts, 1, F.size("t")).alias("page_starts"))
+
+
 class Elements(HTMLParser):
-    """Headings, paragraphs, list items and table rows of a page in reading order."""
+    """Headings, texts and table rows of a page in reading order. No text is lost: what stands in no known block is a text
+    of its own, and blocks and cells that are never closed end where the next begins."""
 
-    KINDS = {"p": "text", "li": "text", "td": "cell", "th": "cell", "title": "title"} | {f"h{i}": "heading" for i in range(1, 7)}
+    BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form header hr html li main nav ol p pre section summary table tbody tfoot thead title tr ul br".split()) | {f"h{i}" for i in range(1, 7)}
 
     def __init__(self) -> None:
         super().__init__()
         self.found: list[tuple[str, str]] = []
-        self.open: list[tuple[str, list[str]]] = []
+        self.parts: list[str] = []
+        self.kind = "text"
         self.row: list[str] | None = None
         self.skip = 0
 
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if self.kind == "cell" and self.row is not None:
+            if text == "%" and self.row:  # a lone percent sign belongs to the figure before it
+                self.row[-1] += "%"
+            else:
+                self.row.append(text)
+        elif text:
+            self.found.append((self.kind, text))
+        self.kind = "text"
+
+    def end_row(self) -> None:
+        self.flush()
+        if self.row and any(self.row):
+            self.found.append(("row", " | ".join(self.row)))
+        self.row = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.skip += tag in ("script", "style")
-        if tag == "tr":
-            self.row = []
-        if tag in self.KINDS:
-            self.open.append((self.KINDS[tag], []))
+        if tag in ("td", "th"):
+            self.flush()
+            self.row = [] if self.row is None else self.row
+            self.kind = "cell"
+        elif tag in ("tr", "table"):
+            self.end_row()
+            self.row = [] if tag == "tr" else None
+        elif tag in self.BLOCKS and self.kind != "cell":
+            self.flush()
+            self.kind = "heading" if tag[0] == "h" and tag[1:].isdigit() else "title" if tag == "title" else "text"
+        elif tag in self.BLOCKS:
+            self.parts.append(" ")
 
     def handle_data(self, data: str) -> None:
-        if self.open and not self.skip:
-            self.open[-1][1].append(data)
+        if not self.skip:
+            self.parts.append(data)
 
     def handle_endtag(self, tag: str) -> None:
         self.skip -= tag in ("script", "style") and self.skip > 0
-        if tag in self.KINDS and self.open:
-            kind, parts = self.open.pop()
-            text = " ".join("".join(parts).split())
-            if kind == "cell" and self.row is not None:
-                # a lone percent sign belongs to the figure before it
-                if text == "%" and self.row:
-                    self.row[-1] += "%"
-                else:
-                    self.row.append(text)
-            elif text:
-                self.found.append((kind, text))
-        if tag == "tr" and self.row:
-            self.found.append(("row", " | ".join(self.row)))
-            self.row = None
+        if tag in ("td", "th"):
+            self.flush()
+        elif tag in ("tr", "table"):
+            self.end_row()
+        elif tag in self.BLOCKS:
+            self.parts.append(" ") if self.kind == "cell" else self.flush()
+
+    def close(self) -> None:
+        super().close()
+        self.end_row()
 
 
 def html_elements(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import periods as P
 from tallyforge.functions import text as X
+from tallyforge.functions.binding import let
 from tallyforge.functions.labels import FULL_CASE
 from tallyforge.operators import crosscheck as C
 from tallyforge.operators import documents as D
@@ -17,6 +18,7 @@ from tallyforge.operators import facts as A
 from tallyforge.operators import retrieval as R
 from tallyforge.plans.metrics import Metric, Metrics
 from tallyforge.register import query
+from tallyforge.sizes import sized, spread
 from tallyforge.streaming import events as S
 
 def folded(c: str) -> str:
@@ -64,18 +66,42 @@ def dense_topk(read, spark):
     return R.dense(e.select("vec_id", F.col("embedding").alias("v")), means, k=5).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query(f"""
-WITH {bm25_sql(100)}, a AS (SELECT query_id, doc_id AS id, rank FROM ranked WHERE rank <= 100),
-flat AS (SELECT query_id, doc_id AS id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS hits FROM tf JOIN asked USING (term) GROUP BY 1, 2)) WHERE rank <= 100),
-u AS (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 AS l FROM flat),
-f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((l, rank)) AS seen FROM u GROUP BY 1, 2)
-SELECT query_id, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM f) WHERE rank <= 5""")
+LETTERS = "etaoinshrdlucmfwyp"
+
+
+def letter_vector(text):
+    """A stand-in for a model: how often each of some letters stands in a text, as a vector of unit length."""
+    low = F.lower(text)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS], F.lit(1.0))
+    return let(counts, lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))))
+
+
+def letter_sql(text: str) -> str:
+    counts = ", ".join(f"(length(lower({text})) - length(replace(lower({text}), '{c}', '')))::DOUBLE" for c in LETTERS)
+    return f"list_transform([{counts}, 1.0::DOUBLE], lambda x: x / sqrt(list_sum(list_transform([{counts}, 1.0::DOUBLE], lambda y: y * y))))"
+
+
+def dense_sql(k: int) -> str:
+    return f"""dv AS (SELECT doc_id, {letter_sql("text")} AS v FROM documents WHERE text IS NOT NULL), qv AS (SELECT item_id AS query_id, {letter_sql("text")} AS q FROM benchmark),
+    near AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_dot_product(q, v), 9) AS score FROM dv, qv)) WHERE rank <= {k})"""
+
+
+FUSED = """u AS (SELECT query_id, doc_id AS id, rank, 0 AS l FROM near UNION ALL SELECT query_id, doc_id, rank, 1 FROM ranked WHERE rank <= 100),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((l, rank)) AS seen FROM u GROUP BY 1, 2)"""
+
+
+@query(f"WITH {bm25_sql(100)}, {dense_sql(100)}, {FUSED} SELECT query_id, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) AS rank FROM f) WHERE rank <= 5")
 def hybrid_rrf(read, spark):
-    docs = read("documents").filter("text IS NOT NULL").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    asked = bench(read).select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    hits = docs.select("doc_id", F.explode("t").alias("term")).join(R.bounded(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-    lists = [r.select("query_id", F.col("doc_id").alias("id"), "rank") for r in (ranked(read, 100), R.top(hits, "query_id", "doc_id", 100))]
-    return R.fuse(lists, k=5).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    """A dense and a lexical arm, fused."""
+    found = R.rankers(letter_vector)["hybrid"](read("documents"), bench(read), 5)
+    return found.select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"""WITH {bm25_sql(5)}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM ranked WHERE doc_id % 3 = query_id % 3) SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS rank FROM c WHERE place <= 3""")
+def scoped_topk(read, spark):
+    docs, asked = read("documents").filter("text IS NOT NULL").select("doc_id", "text"), bench(read)
+    scope = asked.select("query_id", (F.col("query_id") % 3).alias("r")).join(docs.select("doc_id", (F.col("doc_id") % 3).alias("r")), "r")
+    return R.scoped(R.Terms(docs, asked).scored(1.5, 0.75), scope, 3).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""
@@ -122,10 +148,13 @@ GRAMS = "SELECT DISTINCT {1} AS id, list_aggregate(w[i:i + 3], 'string_agg', ' '
 @query(f"WITH a AS ({GRAMS.format('documents', 'doc_id')}), b AS ({GRAMS.format('benchmark', 'item_id')}) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY 1, 2")
 def contamination_4gram(read, spark):
     def grams(name: str, key: str) -> DataFrame:
-        w = read(name).select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= 4)
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("g"))
+        """Runs of four words as two 64-bit hashes, each once a text."""
+        w = spread(read(name).select(key, "text")).select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= 4)
+        run = lambda i: F.slice("w", i, 4)
+        hashes = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.struct(F.xxhash64(run(i)).alias("g"), F.xxhash64(F.lit(1), run(i)).alias("h")))
+        return w.select(key, F.explode(F.array_distinct(hashes)).alias("x")).select(key, "x.g", "x.h")
 
-    return grams("documents", "doc_id").join(R.bounded(grams("benchmark", "item_id")), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return grams("documents", "doc_id").join(sized(grams("benchmark", "item_id")), ["g", "h"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS ordinal, CAST(i * 1000 AS INTEGER) AS start, md5(substr(text, i * 1000 + 1, 1200)) AS piece

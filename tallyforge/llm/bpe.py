@@ -41,9 +41,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 PLAIN_LETTERS, PLAIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words that a worker remembers.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 #: Letters of text that are encoded together.
-PART = 4_000_000
+PART = 1_000_000
 #: Words up to this length are merged in a plain list.
 SHORT_WORD = 48
 NEVER = (1 << 60, -1)
@@ -402,7 +402,7 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
     counts as empty and gives no ids and an empty decoded text. Repeated rows stay, in any order; a null
     key stays null; no other column is read, so their names can't clash. One pass without a shuffle."""
     shared.small_batches(docs.sparkSession)
-    source = shared.cased(docs, key, text)
+    source = shared.spread(shared.cased(docs, key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +424,7 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
 def digests(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """As ``encoded``, but of ids and decoded text only their number and SHA-256."""
     shared.small_batches(docs.sparkSession)
-    source = shared.cased(docs, key, text)
+    source = shared.spread(shared.cased(docs, key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def hashes(texts: pa.StringArray) -> pa.StringArray:

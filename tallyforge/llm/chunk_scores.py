@@ -26,7 +26,7 @@ class ChunkScores:
         """The sum over each text's pieces, or over its distinct ones."""
         out = np.zeros((len(texts), self.width))
         done = 0
-        for part in in_parts(texts, lambda t: len(t or ""), 2_000_000):
+        for part in in_parts(texts, lambda t: len(t or ""), 1_000_000):
             cut = [list(set((t or "").split())) if distinct else (t or "").split() for t in part]
             new = [c for c in set().union(*cut) if c not in self.at]
             if len(self.at) + len(new) > self.entries:

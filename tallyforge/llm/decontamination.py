@@ -144,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     empty texts hold nothing; an item of several texts has the best of them; repeated document rows give their rows
     again; an empty benchmark gives none. Documents are read once for each block of items, without a shuffle."""
     shared.small_batches(docs.sparkSession)
-    rows = shared.cased(docs, key, text)
+    rows = shared.spread(shared.cased(docs, key, text))
     kind = rows.schema[key].dataType.simpleString()
     out = None
     for items in blocks(benchmark):

@@ -160,7 +160,7 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "tex
     ambiguous. Repeated rows stay. Equal losses go to the language first in the alphabet. Only key and text are
     read."""
     shared.small_batches(docs.sparkSession)
-    rows = shared.cased(docs, key, text)
+    rows = shared.spread(shared.cased(docs, key, text))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

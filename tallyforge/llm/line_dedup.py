@@ -49,7 +49,7 @@ def halves(line: Column, n: Column, shift: int) -> list[Column]:
 def exploded(docs: DataFrame, text: str, key: str, shortest: int) -> DataFrame:
     """``k, t, at, line, h, g`` of each line that isn't blank and has ``shortest`` letters: document, its text's hash,
     place, trimmed line, hashes."""
-    rows = shared.cased(docs, key, text).filter(F.col(text).isNotNull())
+    rows = shared.spread(shared.cased(docs, key, text)).filter(F.col(text).isNotNull())
     lines = rows.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = lines.withColumn("line", F.trim("line")).filter((F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
     return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), F.col("line")))

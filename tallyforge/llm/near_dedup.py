@@ -72,7 +72,7 @@ def class_id(s: np.ndarray) -> int:
 def features(docs: DataFrame, *, n: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` and, of its shingle set, size, class, sketch and tokens."""
     shared.small_batches(docs.sparkSession)
-    rows = shared.cased(docs, key, text)
+    rows = shared.spread(shared.cased(docs, key, text))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

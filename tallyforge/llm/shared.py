@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallyforge.sizes import joined_by_size, sized, small, spread  # noqa: F401  (operators take them from here)
 
 _local: dict[str, str] = {}
 
@@ -73,51 +74,6 @@ def cased(df: DataFrame, *wanted: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{df.columns.index(c)}").alias(c) for c in wanted])
 
 
-#: The most bytes of rows that are broadcast, and the most keys that count as hot beyond them.
-BROADCAST_BYTES, HOT_KEYS = 32 << 20, 10_000
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """About how many bytes a row takes."""
-
-    def width(column: Column, kind: T.DataType) -> Column:
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-        if isinstance(kind, T.ArrayType):
-            return F.greatest(F.size(column), F.lit(0)) * 16 + 16
-        if isinstance(kind, T.StructType):
-            return sum((width(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
-        return F.lit(8)
-
-    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
-
-
-def small(df: DataFrame) -> bool:
-    """Whether all rows together may be broadcast. ``df`` should be a written table, as it is read for this."""
-    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows take few bytes, else as it is."""
-    return F.broadcast(df) if small(df) else df
-
-
-def joined_by_size(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """``left`` with the row of ``right`` (a written table, one row a key) of its keys; ``how`` is inner or left.
-
-    A small ``right`` is broadcast. Of a larger one, those keys are that stand for more than one ``HOT_KEYS``-th of all
-    ``weight`` (rows of ``left`` with the key), which are fewer than ``HOT_KEYS``; the others are joined by a shuffle, in
-    which no key then has more than that share. ``weight`` isn't returned."""
-    if small(right):
-        return left.join(F.broadcast(right.drop(weight)), keys, how)
-    total = right.agg(F.sum(weight)).first()[0]
-    hot = right.filter(F.col(weight) * HOT_KEYS > total).drop(weight)
-    rest = right.filter(F.col(weight) * HOT_KEYS <= total).drop(weight)
-    there = left.join(F.broadcast(hot), keys)
-    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return there.unionByName(others)
-
-
 def filtered(df: DataFrame, run) -> DataFrame:
     """Rows of ``mapInArrow(run)``, which keeps the schema. Columns go by place meanwhile, so that names can clash."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -242,7 +242,7 @@ def scored(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: st
     """``key, score, predicted`` of every row, from the whole text alone. A null text counts as empty and gets the
     score of a text without words. Repeated rows stay. Only key and text are read."""
     shared.small_batches(docs.sparkSession)
-    rows = shared.cased(docs, key, text)
+    rows = shared.spread(shared.cased(docs, key, text))
     kind = rows.schema[key].dataType.simpleString()
     used = np.flatnonzero(model.weights)
     values, bias = model.weights[used], model.bias

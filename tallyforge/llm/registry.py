@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sharding": queries_sharding.op9_sharding,
     "op10_neighbours": queries_ann.op10_neighbours,
 }
-ORACLE_SQL: dict[str, str] = {**queries_warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = queries_warc.ORACLE_SQL | queries_near_dedup.ORACLE_SQL | queries_line_dedup.ORACLE_SQL

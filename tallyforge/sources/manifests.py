@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.binding import required
 from tallyforge.functions.labels import document_stem, ticker_of
 
 #: The mark and engine of a second reading, shares and letters that make a page or a document a scan, verdicts.
@@ -97,15 +98,15 @@ def strict(rows: DataFrame, schema: str, allowed: list[str]) -> DataFrame:
     where = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "))
     why = F.when(keys.isNull(), "no JSON object").when(extra, "unknown fields").when(F.col("r._broken").isNotNull(), "it doesn't fit")
     checked = rows.withColumn("r", parsed).withColumn("why", why)
-    return checked.select(F.when(F.col("why").isNotNull(), F.raise_error(F.concat(where, "why")).cast("int")).otherwise(F.col("line")).alias("line"), "r.*").drop("_broken")
+    return checked.filter(required(F.concat(where, "why"))).select("line", "r.*").drop("_broken")
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
     """Verdicts of persons on groups; an unknown verdict is an error. A check's facts are pairs of id and value."""
     rows = strict(lines(spark, path), "id string, verdict string, note string, decided_by string, checks array<struct<group:string,facts:array<array<double>>,spot_checked:array<bigint>>>", ["id", "verdict", "note", "decided_by", "checks"])
-    verdict = F.when(F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": verdict "), F.coalesce("verdict", F.lit("none")))))
+    rows = rows.filter(required(F.when(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False)), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": verdict "), F.coalesce("verdict", F.lit("none"))))))
     checks = F.transform("checks", lambda c: F.struct(c["group"].alias("group"), F.transform(c["facts"], lambda f: F.struct(f[0].cast("bigint").alias("id"), f[1].alias("value"))).alias("facts"), c["spot_checked"].alias("ticked")))
-    return rows.select(F.col("id").alias("group_id"), verdict.alias("verdict"), F.coalesce("note", F.lit("")).alias("note"), "decided_by", checks.alias("checks"))
+    return rows.select(F.col("id").alias("group_id"), "verdict", F.coalesce("note", F.lit("")).alias("note"), "decided_by", checks.alias("checks"))
 
 
 def share_events(spark: SparkSession, path: str, held: DataFrame) -> DataFrame:

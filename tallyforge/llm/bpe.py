@@ -417,6 +417,7 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
                 columns += [batch.column(1).slice(done, len(texts))] * keep_text
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"] + ["text"] * keep_text)
                 done += len(texts)
+        shared.settle()
 
     return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string" + ", text string" * keep_text)
 
@@ -442,5 +443,6 @@ def digests(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_i
                 columns = [batch.column(0).slice(done, len(texts)), pa.array(np.diff(found.borders)), hashes(joined(numbers, found)), hashes(joined(pieces, found))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
                 done += len(texts)
+        shared.settle()
 
     return source.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

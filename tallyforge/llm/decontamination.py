@@ -11,7 +11,8 @@ Items are a query set: they go to the workers in blocks of at most ``BLOCK_BYTES
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -99,34 +100,54 @@ class Matcher:
             return []
         t = folded(text)
         best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        places: dict[int, set[int]] = {}
         for end, (size, own) in self.automaton.iter(f" {t} "):
             start = end - size  # in t, as the padding adds 1 and end is inclusive
             for n, offset in own:
-                _, f, k = self.items[n]
-                if best.get(n, (1, 0))[0] == 0:
-                    continue
+                f = self.items[n][1]
                 if len(f) < SHORT:
-                    if not (in_word(t[start - 1 : start] or " ") or in_word(t[end : end + 1] or " ")):
+                    if n not in best and not (in_word(t[start - 1 : start] or " ") or in_word(t[end : end + 1] or " ")):
                         best[n] = 0, end
-                    continue
-                place = start - offset
-                if t.startswith(f, max(place, 0)) and place >= 0:
-                    best[n] = 0, place + len(f)
-                    continue
-                # hits come by where they end; the next place of an item may lie before, but the same is tried once
-                if tried.get(n) == place:
-                    continue
-                tried[n] = place
-                low = max(0, place - k)
-                if n not in self.patterns:
-                    self.patterns[n] = Pattern(f)
-                distance, at = self.patterns[n].least(t[low : place + len(f) + k])
+                else:
+                    places.setdefault(n, set()).add(start - offset)
+        for n, found in places.items():
+            _, f, k = self.items[n]
+            exact = min((p for p in found if p >= 0 and t.startswith(f, p)), default=None)
+            if exact is not None:
+                best[n] = 0, exact + len(f)
+                continue
+            if n not in self.patterns:
+                self.patterns[n] = Pattern(f)
+            # what surrounds the hits is searched once, however often a piece stands there
+            for low, high in merged((max(0, p - k), p + len(f) + k) for p in found):
+                distance, at = self.patterns[n].least(t[low:high])
                 if distance <= k and (n not in best or distance < best[n][0]):
                     best[n] = distance, low + at
         return sorted((self.items[n][0], d, e) for n, (d, e) in best.items())
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_for(name: str, items: list[tuple[int, str]]) -> Matcher:
+    """The matcher of a block, made once for each Python worker; one is kept."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(items)
+    return _matchers[name]
+
+
 def blocks(benchmark: DataFrame, *, text: str = "text", key: str = "item_id") -> Iterator[list[tuple[int, str]]]:
     """Items by blocks of a bounded size. Null texts and keys are no items; equal rows count once."""
     items = shared.cased(benchmark, key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct()
@@ -149,8 +170,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     out = None
     for items in blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # BLOCK_BYTES of texts
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_for(name, sent.value)
             for batch in batches:
                 found = []
                 for at, t in enumerate(batch.column(1).to_pylist()):
@@ -172,8 +195,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text")
     at = docs.columns.index(text)
     for items in blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # BLOCK_BYTES of texts
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_for(name, sent.value)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -150,7 +150,10 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
     for i in range(len(drawn)):
         x[i] = np.frombuffer(drawn[i]["counts"], "<u4")
         drawn[i] = None
-    return fit(x, label, languages)
+    model = fit(x, label, languages)
+    del x, drawn
+    shared.settle()
+    return model
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,6 +176,8 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, text: str = "tex
                 best, score, near = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
             names = [model.languages[i] if i >= 0 else UNKNOWN for i in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(near)], names=[key, "lang_pred", "score", "ambiguous"])
+        del scores
+        shared.settle()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, ambiguous boolean")
 
@@ -195,5 +200,7 @@ def in_known_language(docs: DataFrame, model: LanguageModel | None, *, text: str
                 yield batch.filter(pa.array((best >= 0) & ~(near & (score < SURE))))
             else:
                 yield batch.filter(pa.array([bool(words_of(t or "")) for t in texts], pa.bool_()))
+        del scores
+        shared.settle()
 
     return shared.filtered(docs, run)

@@ -86,6 +86,7 @@ def features(docs: DataFrame, *, n: int, text: str = "text", key: str = "doc_id"
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * TOKENS, pa.int32()), pa.array(tokens.view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in columns), listed], names=[key, "n_shingles", "vid", "s1", "s2", "tokens"])
                 at += len(texts)
+        shared.settle()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, {FEATURES}")
 

@@ -235,7 +235,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
     swapped = drawn.select(F.explode("changes").alias("c")).groupBy("c").count().orderBy("c").collect()  # pairs of terms
     changes = [(r["c"][: r["c"].index(-1)], r["c"][r["c"].index(-1) + 1 :], r["count"]) for r in swapped]
     texts = [np.frombuffer(r["features"], "<i4") for r in got]
-    return calibrated(Rows.of([(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts], np.array([r["y"] for r in got], bool)), changes)
+    model = calibrated(Rows.of([(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts], np.array([r["y"] for r in got], bool)), changes)
+    del got, texts
+    shared.settle()
+    return model
 
 
 def scored(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: str = "doc_id", threshold: float = 0.7) -> DataFrame:
@@ -255,5 +258,7 @@ def scored(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: st
         for batch in batches:
             score = own.scores(sums.sums(batch.column(1).to_pylist(), distinct=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
+        del sums
+        shared.settle()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, score double, predicted int")

@@ -36,23 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/tallyforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet in the shared folder and reads them back.
 
-    A lost executor loses nothing that was written. The folder stays until the caller's checkpoint
-    folder is cleaned, as with ``checkpoint()``."""
+    A lost executor loses nothing that was written. The folder stays until ``clean`` is called or the
+    checkpoint folder is emptied, as with ``checkpoint()``."""
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch holds, as a text may have any length. Whole texts still pass."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def clean(spark: SparkSession) -> None:
+    """Deletes what operators of this application have written in the shared folder. Results that read it are no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyforge/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, as a text may have any length; the same for all operators. Whole texts still pass."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

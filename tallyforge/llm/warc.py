@@ -223,6 +223,9 @@ def read_archive(spark: SparkSession, manifest: DataFrame, *, key: str = "page_i
         for batch in batches:
             for row in batch.to_pylist():
                 index = IndexFile(row["cdx"])
+                last = index.block(len(index.directory) - 1)[-1]
+                if last[1] not in index.find(last[0]):  # what bisection finds is what the blocks hold
+                    raise ValueError(f"{row['cdx']}: its directory is damaged")
                 for i in range(len(index.directory)):
                     out = []
                     for fields, http, payload in records(row["warc"], [w for _, w in index.block(i)]):

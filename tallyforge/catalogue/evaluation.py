@@ -152,3 +152,48 @@ def review_groups(read, spark):
     printed = F.when(k == 0, F.format_string("%.2f", F.round(v * 100, 2))).when(k == 2, "7")
     rows = read("supplier").select(F.col("s_suppkey").alias("fact_id"), F.col("s_nationkey").alias("ticker"), l("Balance").alias("concept"), l(None).cast("string").alias("segment"), v.alias("value"), F.when(k == 3, "agree").when(k == 1, "unmatched").otherwise("differ").alias("outcome"), printed.alias("printed"))
     return C.groups(rows).select("number", "ticker", "issue", "n", "ids")
+
+
+@query("""WITH x AS (SELECT s_suppkey AS fact_id, 'N' || s_nationkey AS ticker, CASE WHEN s_suppkey % 2 = 0 THEN 'standalone' ELSE 'consolidated' END AS basis, ['agree', 'differ', 'unmatched'][s_suppkey % 3 + 1] AS o FROM supplier)
+SELECT ticker, basis, count(*) FILTER (WHERE o = 'agree') AS agree, count(*) FILTER (WHERE o = 'differ') AS differ, count(*) FILTER (WHERE o = 'unmatched') AS unmatched FROM x GROUP BY 1, 2""")
+def outcome_counts(read, spark):
+    k = F.col("s_suppkey")
+    return C.counts(read("supplier").select(k.alias("fact_id"), F.concat(l("N"), s("s_nationkey")).alias("ticker"), F.when(k % 2 == 0, "standalone").otherwise("consolidated").alias("basis"), F.element_at(F.array(l("agree"), l("differ"), l("unmatched")), (k % 3 + 1).cast("int")).alias("outcome")))
+
+
+@query("SELECT fact_id FROM (SELECT o_orderkey AS fact_id, row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r <= 30")
+def agreement_sample(read, spark):
+    rows = read("orders").select(F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderstatus") == "F", "agree").otherwise("differ").alias("outcome"))
+    return C.agreement_sample(rows, 30).select("fact_id")
+
+
+@query("""SELECT count(*) FILTER (WHERE NOT p AND n) AS named, count(*) FILTER (WHERE NOT p AND NOT n) AS other, count(*) FILTER (WHERE p) AS two_companies, count(*) FILTER (WHERE y > 1) AS two_years_or_more, count(*) FILTER (WHERE y > 1 AND p) AS paired_years FROM (SELECT l_linenumber % 2 = 0 AS p, l_returnflag = 'R' AS n, l_linenumber AS y FROM lineitem)""")
+def draw_mix(read, spark):
+    return H.draw_mix(read("lineitem").select((F.col("l_linenumber") % 2 == 0).alias("paired"), (F.col("l_returnflag") == "R").alias("named"), F.col("l_linenumber").alias("years")))
+
+
+@query("""WITH x AS (SELECT l_orderkey + l_linenumber AS k, l_linenumber % 3 AS found, l_linenumber % 2 AS missed FROM lineitem)
+SELECT count(*) AS cases, count(*) FILTER (WHERE missed = 0 AND k % 5 <> 0 AND k % 7 <> 0) AS passed, count(*) FILTER (WHERE k % 11 <> 0) AS parsed, round(avg(found / 3.0::DOUBLE), 9) AS recall, count(*) FILTER (WHERE missed = 0) AS all_found, count(*) FILTER (WHERE k % 5 <> 0) AS no_extra, count(*) FILTER (WHERE k % 7 <> 0) AS described,
+ count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS called_when_needed, count(*) FILTER (WHERE k % 2 = 0) AS needed, count(*) FILTER (WHERE k % 2 = 1 AND k % 3 = 0) AS called_when_not, count(*) FILTER (WHERE k % 2 = 1) AS not_needed FROM x""")
+def figure_totals(read, spark):
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    n = F.col("l_linenumber")
+    graded = read("lineitem").select((n % 3).alias("found"), (n % 2).alias("missed"), (k % 5 == 0).cast("int").alias("extra"), (n % 3 / 3).alias("recall"), (k % 7 != 0).alias("described"), (k % 11 != 0).alias("parsed"), (k % 3 == 0).alias("called"), (k % 2 == 0).alias("needed"))
+    return G.totals(graded).withColumn("recall", F.round("recall", 9))
+
+
+@query("""SELECT o_orderpriority AS model, count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS tokens, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1""")
+def usage_totals(read, spark):
+    return Q.usage_totals(read("orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("tokens"), F.col("o_totalprice").alias("cost")), ["model"]).withColumn("cost", F.round("cost", 2))
+
+
+@query("""SELECT label, term, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT l_returnflag AS label, l_linenumber AS term, sum(l_quantity) AS weight, row_number() OVER (PARTITION BY l_returnflag ORDER BY sum(l_quantity) DESC, l_linenumber) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 3""")
+def top_terms(read, spark):
+    weights = read("lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("term")).agg(F.sum("l_quantity").alias("weight"))
+    return H.top_terms(weights, 3)
+
+
+@query("""SELECT conv_id, turn, ['1 + ' || turn] AS calls FROM conversations""")
+def label_calls(read, spark):
+    messages = F.concat(l('[{"role": "user", "content": "q"}, {"role": "assistant", "tool_calls": [{"function": {"name": "calculate", "arguments": {"expression": "1 + '), s("turn"), l('"}}}]}]'))
+    return read("conversations").select("conv_id", "turn", G.label_calls(messages).alias("calls"))

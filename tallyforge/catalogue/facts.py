@@ -199,3 +199,29 @@ def derived_written(read, spark):
     who = q.select("query_id", F.when(nation % 3 == 1, "Margin[*]@anna").alias("who"))
     rows = lib.computed("Margin", found).join(who, "query_id")
     return M.derived_rows(rows, inputs, A.CHECKED, F.col("who")).select("query_id", "refusal", "tier")
+
+
+@query("""WITH w AS (SELECT 'T' || o_custkey % 10 AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice)) AS value FROM orders GROUP BY 1, 2) SELECT ticker, year, CASE WHEN year % 3 = 0 THEN 'not filed' WHEN year % 3 = 1 THEN 'equal' ELSE 'differs' END AS status FROM w""")
+def held_figures(read, spark):
+    w = read("orders").groupBy(F.concat(l("T"), (F.col("o_custkey") % 10).cast("string")).alias("ticker"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice")).alias("value"))
+    end = F.make_date(F.col("year"), l(3), l(31))
+    wanted = w.select("ticker", l("Revenue").alias("concept"), l("consolidated").alias("basis"), "year", "value")
+    facts = w.filter(F.col("year") % 3 != 0).select("ticker", l("Revenue").alias("concept"), l("consolidated").alias("basis"), F.make_date(F.col("year") - 1, l(4), l(1)).alias("period_start"), end.alias("period_end"), end.alias("filed"), (F.col("value") * F.when(F.col("year") % 3 == 1, 1.001).otherwise(1.5)).alias("value"))
+    return K.held_check(wanted, facts).select("ticker", "year", "status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '{"as_at":"' || CAST(o_orderdate AS DATE) || '"}' ELSE '{"from":"1990-01-01","to":"' || CAST(o_orderdate AS DATE) || '"}' END AS period, 'FACT:T:1995:s:year:c' AS cite_as FROM orders""")
+def fact_texts(read, spark):
+    k = F.col("o_orderkey")
+    fact = F.struct(l("FACT:T:1995:s:year:c").alias("cite_as"), l("c").alias("label"), F.col("o_totalprice").alias("value"), l("INR").alias("unit"), F.when(k % 2 == 1, l("1990-01-01").cast("date")).alias("period_start"), F.to_date("o_orderdate").alias("period_end"), l("s").alias("basis"), l(None).cast("string").alias("segment"), l("xbrl").alias("tier"), l("here").alias("source"))
+    answer = F.concat(l('{"facts": ['), citations.fact_json(fact), l("]}"))
+    one = citations.facts_as_evidence(answer)[0]
+    return read("orders").select("o_orderkey", F.get_json_object(one["text"], "$.period").alias("period"), one["id"].alias("cite_as"))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS k, o_orderkey % 7 AS j FROM orders) SELECT k AS fact_id FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k AND l_linenumber = 1 AND l_returnflag = 'R')""")
+def dependants_dropped(read, spark):
+    derived = read("orders").select(F.col("o_orderkey").alias("fact_id"))
+    links = read("lineitem").select(F.col("l_orderkey").alias("fact_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input_id"))
+    changed = read("lineitem").filter("l_linenumber = 1 AND l_returnflag = 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input_id"))
+    return A.without_dependants(derived, links, changed)

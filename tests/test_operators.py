@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import chunks, crosscheck, documents, figures, grading, headlines, lookup, migrations, retrieval, sampling
 from tallyforge.operators.sheets import column_periods, sheets
-from tallyforge.plans import metrics
+from tallyforge.plans import coverage, metrics, searching
 from tallyforge.plans.metrics import Metric, Metrics
+from tallyforge.sinks import files, reports
 from tallyforge.sources import manifests, taxonomy
 
 D = dt.date
@@ -318,3 +319,79 @@ def test_fault_order():
     assert figures.faults_of([f(), f(value=7.0)], [f(value=7.0, year=None), f(value=5e3)], "", False, True) == ["no call when needed", "wrong scale", "year dropped"]
     assert figures.faults_of([f()], [f(value=9.0)], "", False, False) == ["missed", "extra"]
     assert figures.faults_of([f()], [f(key="tonnes", metric="tax", described=False)], "", False, False) == ["metric", "unit not a currency", "description"]
+
+
+def test_statements():
+    rows = [["Profit and loss", ""], ["Particulars", "30.06.2024", "30.06.2023"], ["Sales", "5", "6"], ["", "", ""], ["Balance sheet", ""], ["As at", "31 March 2024", "31 March 2023"], ["Cash", "7", "8"]]
+    assert chunks.statement_starts(rows) == [0, 4]
+    parts = chunks.statements({"rows": rows, "header_rows": 2, "sections": [4, 6]})
+    assert [(len(p["rows"]), p["header_rows"], p["sections"]) for p in parts] == [(4, 2, []), (3, 0, [0, 2])]
+
+
+def test_assembly_strips_what_pages_repeat(spark):
+    rows = []
+    for page in range(1, 11):
+        own = f"Own text of page {'abcdefghij'[page - 1]}."
+        rows += [("d", page, 0, "running", "Annual  report", None, None, None), ("d", page, 1, "heading", f"Heading {page}", None, None, None), ("d", page, 2, "text", f"Page {page}\n{own}\nAll rights", None, None, None)]
+    rows.append(("d", 3, 3, "table", "a 1\nb 2", [["a", "1"], ["b", "2"]], 1, [1]))
+    doc = chunks.assembled(spark.createDataFrame(rows, chunks.ELEMENTS)).first()
+    assert "All rights" not in doc.text and "Page 3" not in doc.text and "Own text of page c." in doc.text
+    assert doc.running[2] == "Annual report · Page 3 · All rights" and len(doc.page_starts) == 10
+    assert [doc.text[h.begin : h.end] for h in doc.headings] == [f"Heading {i}" for i in range(1, 11)]
+    assert doc.text[doc.tables[0].begin : doc.tables[0].end] == "a 1\nb 2" and doc.tables[0].sections == [1]
+    assert all(doc.text[a:].startswith(f"Heading {i}") for i, a in enumerate(doc.page_starts, 1))
+
+
+def test_reports_and_files(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    scores = spark.createDataFrame([("v", 1, "g", True, None, "", 1.0, {"a": True}), ("v", 2, "g", False, None, "why", 0.0, {"a": False}), ("v", 3, None, None, "boom", None, None, None), ("w", 1, "g", True, None, "", None, None)], "variant string, case_id int, grader string, passed boolean, error string, detail string, value double, parts map<string,boolean>")
+    text = reports.evaluation(scores, "set", {"cost": "$0"}, most=1)
+    assert "| v | 1/2 (50%) | 1 |" in text and "| g | 0.500 | — |" in text and "| a | 1/2 (50%) | — |" in text and "- …and more; 1 not shown" in text and "**g**: why" in text
+    rows = scores.select("variant", "case_id")
+    first, second = (reports.saved(rows, text, folder, "set-20260101", ["variant", "case_id"]) for _ in range(2))
+    assert first.endswith("set-20260101.md") and second.endswith("set-20260101-2.md")
+    with pytest.raises(FileExistsError):
+        files.write_text(spark, first, "x", replace=False)
+    assert files.write_text(spark, first, "new") == first and (tmp_path / "set-20260101.md").read_text() == "new"
+    lines = [json.loads(r.value) for r in spark.read.text(f"{folder}/set-20260101.rows.jsonl").collect()]
+    assert sorted((x["variant"], x["case_id"]) for x in lines) == [("v", 1), ("v", 2), ("v", 3), ("w", 1)]
+    vectors = spark.createDataFrame([("k", [1.0, 0.0])], "text_key string, v array<double>")
+    for version in ("a", "b", "c"):
+        files.write_vectors(vectors, f"{folder}/store", version, keep=1)
+    assert files.read_vectors(spark, f"{folder}/store", "c").count() == 1 and files.read_vectors(spark, f"{folder}/store", "a").count() == 0 and files.read_vectors(spark, f"{folder}/store", "z").count() == 0
+    files.append_log(rows, f"{folder}/log")
+    files.append_log(rows, f"{folder}/log")
+    assert spark.read.parquet(f"{folder}/log").count() == 8
+    scored = spark.createDataFrame([("s", "asked", True, 1, True), ("s", "asked", False, None, False)], "source string, phrasing string, held boolean, rank int, exact boolean")
+    left = spark.createDataFrame([("s", "why"), ("s", "why")], "source string, reason string")
+    text = reports.coverage(scored, left, {})
+    assert "| s | asked | 2 | 1/2 (50%) | 1/1 (100%) | 1/1 (100%) | 1/1 (100%) |" in text and "| s | why | 2 |" in text
+    outcomes = spark.createDataFrame([(1, "T", "standalone", "Sales|Net", None, 5.0, "agree", "5", D(2024, 6, 30)), (2, "T", "standalone", "Sales|Net", None, 0.12, "differ", "12", D(2024, 6, 30)), (3, "T", "standalone", "Sales|Net", None, 0.13, "differ", "13", D(2024, 9, 30))], "fact_id int, ticker string, basis string, concept string, segment string, value double, outcome string, printed string, period_end date")
+    text = reports.crosschecked(outcomes, {})
+    assert "| T | standalone | 1 | 2 | 0 |" in text and "| 1 | 2 | T | Sales\\|Net |  | printed x100 | 2024-06-30 to 2024-09-30 | 0.12; 0.13 | 12; 13 |" in text
+
+
+def test_searches(spark):
+    r = spark.createDataFrame([("ITC-FY24", "ITC"), ("ITC-FY25", "ITC"), ("TCS-FY25", "TCS")], "doc_id string, ticker string")
+    ids = lambda *a: sorted(x.doc_id for x in searching.report_scope(r, *a).collect())
+    assert ids() == ["ITC-FY24", "ITC-FY25", "TCS-FY25"] and ids("ITC") == ["ITC-FY24", "ITC-FY25"] and ids("all", "2025") == ["ITC-FY25", "TCS-FY25"] and ids("ITC", "2025") == ["ITC-FY25"]
+    for bad in (("X", "all"), ("all", "1999"), ("all", "soon")):
+        with pytest.raises(ValueError):
+            ids(*bad)
+    tags = lambda *t: spark.range(1).select(searching.single_report(F.array(*map(F.lit, t)), ["ITC-FY25", "TCS-FY25"]).alias("x")).first().x
+    assert tags("a", "ITC-FY25") == "ITC-FY25" and tags("ITC-FY25", "TCS-FY25") is None and tags("a") is None
+    old = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "pos int, key string, answer string")
+    new = spark.createDataFrame([("b", "z")], "key string, answer string")
+    assert [x.answer for x in searching.merged_answers(old, new).orderBy("pos").collect()] == ["x", "z"]
+    q = spark.createDataFrame([("q", "m", 10.0, "2.50", 1e7, "INR", None, "T", 2025), ("r", "m", 1.0, "1", 1.0, "INR", "twice", "T", 2025), ("s", "m", 1.0, "1", 1.0, "INR", None, "U", 2025)], "id string, metric string, x double, printed string, scale double, unit string, excluded string, ticker string, year int")
+    kept, left = coverage.from_tables(spark.createDataFrame([("q", "?"), ("r", "?"), ("s", "?")], "id string, question string"), q, ["T"], [2025])
+    got = kept.first()
+    assert (got.figure_id, got.value, got.tolerance) == ("q", 2.5e7, 0.5 * 0.01 * 1e7) and {(x.id, x.reason) for x in left.collect()} == {("r", "twice"), ("s", "not a company that is held")}
+    with pytest.raises(ValueError):
+        coverage.from_tables(spark.createDataFrame([("q", "?")], "id string, question string"), q, ["T"], [2025])
+
+
+def test_html_keeps_all_text(spark):
+    html = "<title>T</title>lone<div>in a div <b>bold</b></div><pre>pre</pre><p>open<p>next<ul><li>a<li>b</ul><script>x</script><table><tr><th>h<td>1<td>%<tr><td>c</table>tail &amp; end"
+    got = [(r.kind, r.text) for r in documents.html_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id", "pos").collect()]
+    assert got == [("title", "T"), ("text", "lone"), ("text", "in a div bold"), ("text", "pre"), ("text", "open"), ("text", "next"), ("text", "a"), ("text", "b"), ("row", "h | 1%"), ("row", "c"), ("text", "tail & end")]

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import shared
 
-#: Bounds of what is fitted on the driver and sent to workers.
-SAMPLE, MAX_LISTS = 20_000, 8_192
+#: Bounds of what is fitted on the driver and sent to workers: rows that centroids are fitted on, lists that are fitted there
+#: at once, and lists in all. Beyond ``FLAT`` lists, coarse ones are fitted on the driver and each is parted by a task of its
+#: own, on ``EACH`` rows for each of its lists.
+SAMPLE, FLAT, MAX_LISTS, EACH = 20_000, 8_192, 65_536, 32
 #: Vectors and queries that one task compares at a time.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 DEGREE = 24
@@ -86,43 +88,89 @@ class Centroids:
         return ids, d
 
 
+def assigned(x: np.ndarray, points: np.ndarray, penalty: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the number of the nearest point, penalties added, and the squared distance to it. A few million distances
+    are held at a time."""
+    own, least = np.empty(len(x), np.int64), np.empty(len(x))
+    base, step = (points**2).sum(1), max(1, (4 << 20) // max(len(points), 1))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = base - 2 * part @ points.T
+        own[at : at + step] = mine = (d + penalty).argmin(1)
+        least[at : at + step] = np.take_along_axis(d, mine[:, None], 1)[:, 0] + (part**2).sum(1)
+    return own, least
+
+
 def balanced(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k-means whose distances grow with a cluster's share of the rows."""
     rng = np.random.default_rng(5)
     points = x[rng.choice(len(x), k, replace=False)].copy()
     penalty = np.zeros(k)
     for _ in range(rounds):
-        d = (points**2).sum(1) - 2 * x @ points.T + penalty
-        own = d.argmin(1)
+        own, least = assigned(x, points, penalty)
         counts = np.bincount(own, minlength=k)
-        sums = np.zeros_like(points)
-        np.add.at(sums, own, x)
+        order = np.argsort(own, kind="stable")
         full = counts > 0
-        points[full] = sums[full] / counts[full, None]
+        sums = np.add.reduceat(x[order], (np.cumsum(counts) - counts)[full], axis=0)
+        points[full] = sums / counts[full, None]
         points[~full] = x[rng.choice(len(x), int((~full).sum()))]
-        spread = max(float(np.take_along_axis(d - penalty + (x**2).sum(1)[:, None], own[:, None], 1).mean()), 1e-12)
-        penalty = 0.3 * spread * (counts * k / len(x) - 1)
+        penalty = 0.3 * max(float(least.mean()), 1e-12) * (counts * k / len(x) - 1)
     return points
 
 
-def centroids(sample: np.ndarray, lists: int) -> Centroids:
-    points = balanced(sample, min(lists, len(sample)))
+def linked(points: np.ndarray, exhaustive: int = EXHAUSTIVE) -> Centroids:
+    """Centroids with their graph."""
     k = len(points)
     links = np.empty((k, min(DEGREE, k)), np.int64)
     rng = np.random.default_rng(6)
-    for at in range(0, k, 1024):
-        d = (points**2).sum(1) - 2 * points[at : at + 1024] @ points.T
-        links[at : at + 1024] = np.argsort(d, 1, kind="stable")[:, : links.shape[1]]
+    step = max(1, min(1024, (8 << 20) // k))  # a few million distances at a time
+    for at in range(0, k, step):
+        d = (points**2).sum(1) - 2 * points[at : at + step] @ points.T
+        links[at : at + step] = np.argsort(d, 1, kind="stable")[:, : links.shape[1]] if k <= 1024 else nearest_columns(d, links.shape[1])
     if k > 64:
         links[:, -4:] = rng.integers(0, k, (k, 4))  # far links keep the graph in one piece
-    return Centroids(points, links)
+    return Centroids(points, links, exhaustive)
+
+
+def nearest_columns(d: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` columns of the least values of each row, in their order."""
+    some = np.argpartition(d, m - 1, 1)[:, :m]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), 1, kind="stable"), 1)
+
+
+def centroids(sample: np.ndarray, lists: int) -> Centroids:
+    return linked(balanced(sample, min(lists, len(sample))))
+
+
+def parted(classes: DataFrame, lifted, coarse: np.ndarray, lists: int, total: int) -> np.ndarray:
+    """About ``lists`` centroids: each coarse one's vectors are parted by a task, on a drawn part of the table."""
+    spark = classes.sparkSession
+    sent = spark.sparkContext.broadcast(coarse)  # FLAT centroids at most
+    drawn = classes.filter(shared.draw("h") < shared.share(EACH * lists / total))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = sent.value
+        for batch in batches:
+            x = lifted(matrix(batch.column("v")))
+            if len(x):
+                near = assigned(x, points)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(list(x), pa.list_(pa.float64()))], names=["coarse", "x"])
+
+    def split(group: pa.Table) -> pa.Table:
+        x = matrix(group.column("x").combine_chunks() if group.num_rows else pa.array([], pa.list_(pa.float64())))
+        points = balanced(x, max(1, min(len(x), round(len(x) / EACH)))) if len(x) else x
+        return pa.table({"x": pa.array(list(points), pa.list_(pa.float64()))})
+
+    found = drawn.select("v").mapInArrow(own, "coarse long, x array<double>").groupBy("coarse").applyInArrow(split, "x array<double>")
+    points = np.array([r["x"] for r in found.collect()])  # MAX_LISTS rows or so
+    return points[np.lexsort(points.T)]  # tasks end in any order
 
 
 def bundles(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bundle of each list: lists with near centroids together, up to ``BLOCK`` vectors or a single list."""
     groups = balanced(points, max(1, len(points) // 16))
     out, bundle, size = np.zeros(len(points), np.int64), 0, 0
-    for i in np.argsort(((groups**2).sum(1) - 2 * points @ groups.T).argmin(1), kind="stable"):
+    for i in np.argsort(assigned(points, groups)[0], kind="stable"):
         if size and size + counts[i] > BLOCK:
             bundle, size = bundle + 1, 0
         out[i] = bundle
@@ -225,14 +273,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", recall: float = 0.98, closure: float = 0.15, copies: int = 3, least: int = 20, exhaustive: int = EXHAUSTIVE) -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "embedding", key: str = "vec_id", recall: float = 0.98, closure: float = 0.15, copies: int = 3, least: int = 20, exhaustive: int = EXHAUSTIVE, flat: int = FLAT) -> DataFrame:
     """``query_id, rank, key, score``: the ``k`` largest inner products found for every row whose id is divisible by
     ``queries``, among all other rows; equal scores go by the smaller id.
 
     ``closure``, ``copies``: by how much further a list may be than the nearest to hold a copy of a vector, and in how
     many lists at most. ``recall``: the share of neighbours that is found of queries drawn from the table, which sets how
     far queries search. ``least``: lists are searched until they hold so many times the vectors that a result needs.
-    ``exhaustive``: up to so many centroids for each that is asked for, all are compared in place of a walk.
+    ``exhaustive``: up to so many centroids for each that is asked for, all are compared in place of a walk. ``flat``: up to
+    so many lists are fitted at once, more in two levels.
     Vectors that are null, zero or hold a null or non-finite number, or are of another length than most, and null ids take no part. Equal rows count once. An empty table gives no rows."""
     spark = table.sparkSession
     shared.small_batches(spark)
@@ -248,8 +297,12 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
     share = shared.draw("h") < shared.share(SAMPLE / total)
     sample = np.array([r["v"] for r in classes.filter(share).orderBy("h").select("v").limit(SAMPLE).collect()] or [r["v"] for r in classes.orderBy("h").select("v").limit(100).collect()])
     lifted = lambda x: np.concatenate([x, np.sqrt(np.maximum(largest - (x**2).sum(1), 0))[:, None]], 1)
-    book = centroids(lifted(sample), int(min(MAX_LISTS, max(1, 2 * total**0.5))))
-    book.exhaustive = exhaustive
+    lists = int(min(MAX_LISTS, max(1, 2 * total**0.5)))
+    if lists <= flat:
+        points = balanced(lifted(sample), min(lists, len(sample)))
+    else:  # as many coarse ones as each has parts
+        points = parted(classes, lifted, balanced(lifted(sample), min(int(lists**0.5), len(sample))), lists, total)
+    book = linked(points, exhaustive)
     model = spark.sparkContext.broadcast(book)  # MAX_LISTS centroids at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,6 +108,20 @@ def test_nearest_by_walks_alone(spark):
     assert hits >= 0.97 * 20 * 30
 
 
+def test_lists_of_two_levels(spark):
+    """Many lists are fitted in two levels; results are as good."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50, 16))[rng.integers(0, 50, 6000)] * 2 + rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, queries=200, flat=10, exhaustive=0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for q, own in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(own & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 30 and hits >= 0.95 * 20 * 30
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few).collect())

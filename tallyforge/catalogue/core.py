@@ -16,6 +16,7 @@ from tallyforge.operators import documents as D
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import facts as A
 from tallyforge.operators import retrieval as R
+from tallyforge.operators.classifier import out_of_fold
 from tallyforge.plans.metrics import Metric, Metrics
 from tallyforge.register import query
 from tallyforge.sizes import sized, spread
@@ -421,21 +422,8 @@ def fiscal_periods(read, spark):
 
 @query()
 def tfidf_classifier(read, spark):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
-
-    rows = read("documents").select("doc_id", "text").join(read("labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").filter("text IS NOT NULL AND label IS NOT NULL")
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="one", pattern="[^a-z0-9]+"),
-        NGram(n=2, inputCol="one", outputCol="two"),
-        SQLTransformer(statement="SELECT doc_id, label, concat(one, two) AS terms FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="tf", numFeatures=1 << 12),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=0.01),
-    ]
-    model = Pipeline(stages=steps).fit(rows)
-    return model.transform(rows).select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    rows = read("documents").select(F.col("doc_id").alias("key"), "text").join(read("labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("double").alias("label")), "key").filter("text IS NOT NULL AND label IS NOT NULL")
+    return out_of_fold(rows, (0.1, 0.01))[0].select(F.col("key").alias("doc_id"), "label", "prediction")
 
 
 @query("""WITH p AS (SELECT doc_id, list(s ORDER BY s) AS starts FROM (SELECT doc_id, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS s FROM (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) GROUP BY 1),

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import answers as W
 from tallyforge.operators import crosscheck as C
 from tallyforge.operators import figures as G
 from tallyforge.operators import grading as Q
@@ -197,3 +198,45 @@ def top_terms(read, spark):
 def label_calls(read, spark):
     messages = F.concat(l('[{"role": "user", "content": "q"}, {"role": "assistant", "tool_calls": [{"function": {"name": "calculate", "arguments": {"expression": "1 + '), s("turn"), l('"}}}]}]'))
     return read("conversations").select("conv_id", "turn", G.label_calls(messages).alias("calls"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS input, l_suppkey AS output, 2 * l_linenumber AS written, l_linenumber AS hour, 7 AS read_, CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 0 END AS searches, greatest(l_partkey - 5, 0) AS input_2, CASE WHEN l_linenumber % 2 = 0 THEN ['search', 'calc'] ELSE ['search'] END AS called, CASE WHEN l_linenumber % 2 = 0 THEN ['u' || l_suppkey] ELSE [] END AS pages FROM lineitem WHERE l_partkey >= 5""")
+def usage_read(read, spark):
+    k = F.col("l_linenumber")
+    even = k % 2 == 0
+    one = F.to_json(F.struct(F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens"), (2 * k).alias("cache_creation_input_tokens"), l(7).alias("cache_read_input_tokens"), F.struct(k.alias("ephemeral_1h_input_tokens")).alias("cache_creation"), F.when(even, F.struct(l(3).alias("web_search_requests"))).alias("server_tool_use")))
+    two = F.to_json(F.struct(F.col("l_partkey").alias("prompt_tokens"), l(1).alias("completion_tokens"), F.struct(l(5).alias("cached_tokens")).alias("prompt_tokens_details")))
+    block = lambda kind, name, url=None: F.struct(l(kind).alias("type"), l(name).alias("name"), (F.array(F.struct(url.alias("url")), F.struct(url.alias("url"))) if url is not None else l(None).cast("array<struct<url:string>>")).alias("content"))
+    blocks = F.to_json(F.when(even, F.array(block("text", None), block("tool_use", "search"), block("server_tool_use", "calc"), block("web_search_tool_result", None, F.concat(l("u"), s("l_suppkey"))))).otherwise(F.array(block("tool_use", "search"))))
+    u, v = W.usage_of_blocks(one), W.usage_of_completion(two)
+    rows = read("lineitem").filter("l_partkey >= 5").select(F.col("l_orderkey").alias("k"), k.alias("n"), u.alias("u"), v.alias("v"), W.tools_called(blocks).alias("called"), W.pages_returned(blocks).alias("pages"))
+    return rows.select("k", "n", "u.input", "u.output", "u.written", F.col("u.written_hour").alias("hour"), F.col("u.read").alias("read_"), "u.searches", F.col("v.input").alias("input_2"), "called", "pages")
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'tax' WHEN 1 THEN 'other' WHEN 2 THEN 'assets' WHEN 3 THEN 'other' ELSE 'profit' END AS metric, CASE p_size % 5 WHEN 1 THEN 'total assets' WHEN 3 THEN 'branches' WHEN 4 THEN 'net worth' END AS description FROM part""")
+def labels_renamed(read, spark):
+    k = F.col("p_size") % 5
+    pick = lambda *v: F.element_at(F.array(*[l(x).cast("string") for x in v]), (k + 1).cast("int"))
+    label = F.struct(pick("other", "other", "other", "other", "profit").alias("metric"), pick(None, None, "INR", None, "INR").alias("unit"), pick("Effective tax rate", "total assets", "Segment assets", "branches", "net worth").alias("description"))
+    return read("part").select("p_partkey", W.relabelled(label).alias("x")).select("p_partkey", "x.metric", "x.description")
+
+
+@query("""SELECT p_partkey AS answer_id, CASE p_partkey % 5 WHEN 1 THEN 'X#0002 is not a passage its searches returned' WHEN 2 THEN 'X#0001 does not name the segment' WHEN 3 THEN 'X#0001 does not back a value' END AS refusal, p_partkey % 5 NOT IN (3) AS backed, p_partkey % 5 = 4 AS by_call FROM part""")
+def answers_checked(read, spark):
+    k, z = F.col("p_partkey") % 5, F.col("p_size") + 20
+    passages = read("part").select(F.col("p_partkey").alias("answer_id"), l("X#0001").alias("chunk_id"), F.concat(l("Hotels made "), z.cast("string"), l(" in all")).alias("text"))
+    value = F.when(k == 3, z + 0.5).when(k == 4, z * 1e7).otherwise(z).cast("double")
+    figures = read("part").select(F.col("p_partkey").alias("answer_id"), l(0).alias("pos"), F.when(k == 1, "X#0002").otherwise("X#0001").alias("chunk_id"), value.alias("value"), F.when(k == 2, "Paper").when(k == 0, "hotels").alias("basis"), F.when(k == 4, F.array(F.concat(z.cast("string"), l(" * 10000000")))).alias("calls"))
+    seen = passages.join(read("part"), F.col("answer_id") == F.col("p_partkey")).select("answer_id", W.backed(value, F.col("text")).alias("backed"), W.called_value(F.concat(z.cast("string"), l("*1e7")), F.col("text"), value).alias("by_call"))
+    return W.figures_refused(figures, passages).join(seen, "answer_id")
+
+
+@query("""SELECT conv_id, turn, turn % 4 <> 1 AND turn % 4 <> 3 AS passed, CASE turn % 4 WHEN 0 THEN 'no answer to check' WHEN 1 THEN 'withheld: it carried a credential' WHEN 2 THEN '' ELSE 'cites passages it never retrieved: B#0002' END AS detail, CASE WHEN turn % 2 = 0 THEN 'seen' ELSE '{"cite_as":"A#0001"}' END AS fact FROM conversations""")
+def answers_guarded(read, spark):
+    k = F.col("turn") % 4
+    answer = F.when(k == 1, "[answer withheld: it contained something shaped like a credential]").when(k == 2, "It is [A#0001].").when(k == 3, "It is [B#0002].")
+    rows = read("conversations").select("conv_id", "turn", W.guarded(answer, F.array(l("A#0001"))).alias("g"))
+    cited = read("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), l(0).alias("pos"), l("A#0001").alias("id"), "conv_id", "turn")
+    even = W.evidence(cited.filter("turn % 2 = 0"), spark.createDataFrame([("A#0001", "seen")], "id string, text string"))
+    odd = W.evidence(cited.filter("turn % 2 = 1"), spark.createDataFrame([], "id string, text string"))
+    return rows.select("conv_id", "turn", "g.*").join(even.unionByName(odd).select("conv_id", "turn", "fact"), ["conv_id", "turn"])

@@ -34,3 +34,34 @@ def once(events: DataFrame, *, key: str = "event_id", late: str = "10 minutes")
 def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands every micro-batch to ``write(batch, number)``; a number comes again only after a failure."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def revisions(stream: DataFrame, table: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the latest row of each key (by ``order``) of a stream in a Parquet table of versions, one for each micro-batch; an
+    earlier row that comes late changes nothing. ``current`` reads the newest."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = current(spark, table)
+        both = batch if held is None else held.unionByName(batch)
+        latest = both.groupBy(*key).agg(F.max_by(F.struct(*[c for c in both.columns if c not in key]), F.col(order)).alias("r")).select(*key, "r.*")
+        # a repeated number, after a failure, writes the same version again
+        latest.select(*both.columns).write.mode("overwrite").parquet(f"{table}/version={number:09d}")
+
+    return to_batches(stream, write, checkpoint)
+
+
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The newest complete version of a table of versions; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path))
+    done = [n for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{table}/{done[-1]}") if done else None
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Adds a stream's rows to a log that is never rewritten, each once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -131,6 +131,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sum(seen) == e.count()
 
 
+def test_revisions_and_logs(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "ticker string, sent int, url string")
+    folder, table, log = (f"{tmp_path}/{n}" for n in ("in", "table", "log"))
+    schema = rows(("a", 1, "u")).schema
+    for batch in (rows(("a", 2, "new"), ("b", 1, "x")), rows(("a", 1, "late"), ("b", 3, "y")), rows(("c", 1, "z"))):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        events.revisions(stream, table, ["ticker"], "sent", f"{tmp_path}/at").awaitTermination()
+        events.appended(spark.readStream.schema(schema).parquet(folder), log, f"{tmp_path}/at2").awaitTermination()
+    assert sorted(tuple(r) for r in events.current(spark, table).collect()) == [("a", 2, "new"), ("b", 3, "y"), ("c", 1, "z")]
+    assert spark.read.parquet(log).count() == 5 and events.current(spark, f"{tmp_path}/none") is None
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_queries_equal_their_sql(spark, name):
     import glob

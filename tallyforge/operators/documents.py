@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import is_heading, skeleton
+from tallyforge.sizes import joined_by_size
 
 #: Abbreviations after which no sentence ends, and what ends one.
 ABBREVIATIONS = frozenset(("approx", "co", "cr", "dr", "e.g", "etc", "fig", "i.e", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "pvt", "rs", "sr", "vs", "viz"))
@@ -212,4 +213,4 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, first_id`` of documents whose text an earlier one has, by SHA-256."""
     hashed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("h"))
     first = hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    return hashed.join(first, "h").filter("doc_id <> first_id").select("doc_id", "first_id")
+    return joined_by_size(hashed, first.persist(), ["h"], "n").filter("doc_id <> first_id").select("doc_id", "first_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sizes import placed, sized
+
 
 def report(scores: DataFrame) -> DataFrame:
     """``variant, grader, cases, passed, rate, mean_value`` of ``scores(variant, grader, case_id, passed, value, error)``.
@@ -63,14 +65,15 @@ def stratified(rows: DataFrame, strata: list[str], key: str, quota: int, seed: i
 
 def evenly(rows: DataFrame, by: str, key: str, m: int) -> DataFrame:
     """``m`` rows of each group at even places ``round(i * (n - 1) / (m - 1))``, half to even."""
-    w = Window.partitionBy(by)
-    placed = rows.withColumn("place", F.row_number().over(w.orderBy(key)) - 1).withColumn("n", F.count("*").over(w))
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n"))
+    numbered = placed(rows, [key], [by]).withColumn("place", F.col("place").cast("int"))
+    of = numbered.join(sized(sizes), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     places = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.bround(i * (F.col("n") - 1) / max(m - 1, 1)).cast("int"))
-    return placed.filter((F.col("n") <= m) | F.array_contains(places, F.col("place"))).drop("n")
+    return of.filter((F.col("n") <= m) | F.array_contains(places, F.col("place"))).drop("n")
 
 
 def ledger(usage: DataFrame, prices: DataFrame, limit: float, *, by: str, order: str) -> DataFrame:
     """Cost of each call from token counts and prices per million, the running sum, and whether it trips the limit."""
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6 * F.when(F.col("batched"), 0.5).otherwise(1.0)
     priced = usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0)))  # a price list
-    return priced.withColumn("spent", F.sum("cost").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("tripped", F.col("spent") > limit)
+    return placed(priced, [order], [by], "cost").withColumnRenamed("total", "spent").drop("place").withColumn("tripped", F.col("spent") > limit)

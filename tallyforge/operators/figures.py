@@ -18,6 +18,7 @@ from tallyforge.functions.citations import first_object
 from tallyforge.functions.labels import unit_key
 from tallyforge.functions.periods import near
 from tallyforge.functions.text import squeeze
+from tallyforge.sizes import placed
 
 #: Powers of named scales, the description of a change, patterns that make "other" a metric.
 POWERS = (3, 5, 6, 7, 9)
@@ -195,13 +196,10 @@ def totals(graded: DataFrame) -> DataFrame:
 def conversation_rows(turns: DataFrame, prefix: str = "va") -> DataFrame:
     """``id, conv_id, passage, wanted, prompt, reply``: conversations (``conv_id, turn, role, text``) as rows to evaluate: what the
     first user turn holds as passage and question, and the last assistant turn. Rows are numbered by conversation."""
-    from tallyforge.operators.sampling import numbered
-
     order = lambda role, last: F.expr(f"{'max_by' if last else 'min_by'}(CASE WHEN role = '{role}' THEN text END, CASE WHEN role = '{role}' THEN turn END)")
     g = turns.groupBy("conv_id").agg(order("user", False).alias("prompt"), order("assistant", True).alias("reply"))
     inner = lambda tag: F.nullif(F.regexp_extract("prompt", rf"(?s)<{tag}>(.*)</{tag}>", 1), F.lit(""))
-    placed = numbered(g, ["conv_id"])
-    return placed.select(F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("id"), "conv_id", F.coalesce(inner("passage"), "prompt").alias("passage"), inner("wanted").alias("wanted"), "prompt", "reply")
+    return placed(g, ["conv_id"]).select(F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("id"), "conv_id", F.coalesce(inner("passage"), "prompt").alias("passage"), inner("wanted").alias("wanted"), "prompt", "reply")
 
 
 def label_calls(messages: Column) -> Column:

@@ -6,27 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sizes import placed
+
 
 def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
-    """Rows with their place from 0 in an order: ranges are dealt out, counted, and each numbers its own rows from its
-    beginning, so that no task needs them all."""
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inner = ranges.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    starts = inner.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
-    return inner.join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
-
-
 def strided(rows: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows at equal steps in the order of the key; all if there are no more."""
     total = rows.count()
     if n >= total:
         return rows
     step = max(1, total // n)
-    return numbered(rows, [key]).filter((F.col("place") % step == 0) & (F.col("place") < step * n)).drop("place")
+    return placed(rows, [key]).filter((F.col("place") % step == 0) & (F.col("place") < step * n)).drop("place")
 
 
 def round_robin(rows: DataFrame, by: str, key: str, n: int, seed: int = 7) -> DataFrame:
@@ -72,10 +65,11 @@ def paired(rows: DataFrame, key: str, company: str, n: int, seed: int = 7) -> Da
     Rows are placed by falling size of their company; a row's partner stands half of all rows further. As no company but
     one can hold more than half, partners differ in company wherever that is possible; what meets its own is left out."""
     sizes = rows.groupBy(company).agg(F.count("*").alias("_size"))
-    placed = numbered(rows.join(sizes, company).select(key, company, "_size", seeded(seed, key).alias("_draw")), [F.desc("_size"), company, "_draw", key])
-    half = placed.count() // 2
-    a = placed.filter(F.col("place") < half).select(F.col(key).alias("first"), F.col(company).alias("_a"), "place", "_draw")
-    b = placed.filter(F.col("place") >= placed.count() - half).select(F.col(key).alias("second"), F.col(company).alias("_b"), (F.col("place") - (placed.count() - half)).alias("place"))
+    order = placed(rows.join(sizes, company).select(key, company, "_size", seeded(seed, key).alias("_draw")), [F.desc("_size"), company, "_draw", key])
+    total = rows.count()
+    half = total // 2
+    a = order.filter(F.col("place") < half).select(F.col(key).alias("first"), F.col(company).alias("_a"), "place", "_draw")
+    b = order.filter(F.col("place") >= total - half).select(F.col(key).alias("second"), F.col(company).alias("_b"), (F.col("place") - (total - half)).alias("place"))
     return a.join(b, "place").filter("_a <> _b").orderBy("_draw", "first").limit(n).select("first", "second")
 
 
@@ -83,7 +77,7 @@ def train_valid(rows: DataFrame, key: str, fraction: float, seed: int = 7) -> Da
     """Rows with ``part``: the last ``fraction``, one row at least, in a seeded order is valid, the rest train."""
     total = rows.count()
     cut = total - max(1, round(total * fraction))
-    order = numbered(rows.withColumn("_draw", seeded(seed, key)), ["_draw", key])
+    order = placed(rows.withColumn("_draw", seeded(seed, key)), ["_draw", key])
     return order.withColumn("part", F.when(F.col("place") >= cut, "valid").otherwise("train")).drop("_draw", "place")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +59,30 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
+def placed(rows: DataFrame, order: list, by: list[str] | None = None, value: str | None = None, name: str = "place") -> DataFrame:
+    """Rows with their place from 0 in an order, within each group of ``by`` if given, and with ``value`` the sum of it up to
+    the row as ``total``.
+
+    Rows are dealt to ranges of the order; each range numbers its own, and the counts and sums of ranges before it, a row a
+    range and group, are added. So no task needs a whole group, however few there are. Ranges are kept, as another deal might
+    part them elsewhere."""
+    by = by or []
+    ranges = rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).persist()
+    own = Window.partitionBy("_p", *by).orderBy(*order)
+    inner = ranges.withColumn("_i", F.row_number().over(own) - 1)
+    sums = [F.count("*").alias("_n")] + ([F.sum(value).alias("_s")] if value else [])
+    of = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("_p", *by).agg(*sums).withColumn("_before", F.coalesce(F.sum("_n").over(of), F.lit(0)))
+    if value:
+        inner = inner.withColumn("_v", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        before = before.withColumn("_sum", F.coalesce(F.sum("_s").over(of), F.lit(0.0)))
+    keys = F.col("_p") == F.col("_q")
+    for c in by:
+        keys = keys & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    side = before.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], "_before", *(["_sum"] if value else []))
+    out = inner.join(F.broadcast(side), keys).withColumn(name, F.col("_before") + F.col("_i"))  # a row a range and group
+    if value:
+        out = out.withColumn("total", F.col("_sum") + F.col("_v"))
+    return out.select(*rows.columns, name, *(["total"] if value else []))

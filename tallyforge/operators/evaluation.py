@@ -75,5 +75,5 @@ def evenly(rows: DataFrame, by: str, key: str, m: int) -> DataFrame:
 def ledger(usage: DataFrame, prices: DataFrame, limit: float, *, by: str, order: str) -> DataFrame:
     """Cost of each call from token counts and prices per million, the running sum, and whether it trips the limit."""
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6 * F.when(F.col("batched"), 0.5).otherwise(1.0)
-    priced = usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0)))  # a price list
+    priced = usage.join(sized(prices), "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0)))
     return placed(priced, [order], [by], "cost").withColumnRenamed("total", "spent").drop("place").withColumn("tripped", F.col("spent") > limit)

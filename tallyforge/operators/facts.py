@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sizes import sized
+
 KEY = ("concept", "period_start", "period_end", "segment", "unit")
 CHECKED = ("xbrl", "xbrl-filed", "row", "read", "derived")
 UNCHECKED = "xbrl-ai"
@@ -52,7 +54,7 @@ def lookup(facts: DataFrame, wanted: DataFrame, *, k: int = 5) -> DataFrame:
     """One fact a concept, ``wanted(concept, place)``: checked before unchecked, then the earliest filing (null first);
     concepts in the order asked, at most ``k``."""
     order = F.row_number().over(Window.partitionBy("concept").orderBy((~F.col("tier").isin(*CHECKED)).cast("int"), F.col("filed").asc_nulls_first(), "fact_id"))
-    best = facts.join(F.broadcast(wanted), "concept").withColumn("o", order).filter("o = 1").drop("o")  # the concepts of one question
+    best = facts.join(sized(wanted), "concept").withColumn("o", order).filter("o = 1").drop("o")
     return best.orderBy("place").limit(k)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import shared
-from tallyforge.llm.bpe import PART, Encoder, Words, flattened, in_parts
+from tallyforge.llm.bpe import Encoder, Words, flattened, in_parts
 
 MAGIC = b"TFTOKEN1"
 STEP = 256
@@ -34,8 +34,8 @@ STEP = 256
 WINDOW = 4_000_000
 #: Bytes of ids after which a writer begins a new file, with the next part of texts.
 FILE_BYTES = 64 << 20
-#: Words that a worker remembers.
-ENTRIES = 600_000
+#: Words that a worker remembers, and letters of text that are encoded together.
+ENTRIES, PART = 600_000, 4_000_000
 
 
 @dataclass

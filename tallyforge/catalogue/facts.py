@@ -225,3 +225,26 @@ def dependants_dropped(read, spark):
     links = read("lineitem").select(F.col("l_orderkey").alias("fact_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input_id"))
     changed = read("lineitem").filter("l_linenumber = 1 AND l_returnflag = 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("input_id"))
     return A.without_dependants(derived, links, changed)
+
+
+@query("""SELECT 'T' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, CASE WHEN o_orderkey % 2 = 0 THEN 'consolidated' ELSE 'standalone' END AS basis, 'http://x/' || o_orderkey || '.xml' AS url FROM orders WHERE o_orderkey % 3 <> 0""")
+def filings_nested(read, spark):
+    """The new list: pages of JSON, dates in capitals."""
+    k = F.col("o_orderkey")
+    entry = F.struct(F.when(k % 2 == 0, "Consolidated").otherwise("Standalone").alias("consolidated"), F.concat(l("http://x/"), s("o_orderkey"), F.when(k % 3 == 0, ".pdf").otherwise(".xml")).alias("xbrl"), F.upper(F.date_format(F.to_date("o_orderdate"), "dd-MMM-yyyy")).alias("qe_Date"), F.date_format(F.to_date("o_orderdate"), "dd-MMM-yyyy 09:30:00").alias("broadcast_Date"))
+    pages = read("orders").select(F.concat(l("T"), s("o_custkey")).alias("ticker"), entry.alias("e")).groupBy("ticker").agg(F.to_json(F.struct(F.collect_list("e").alias("data"), F.count("*").alias("totalCount"))).alias("body"))
+    return L.rows_of(L.nested(pages), L.NEW, 1).select("ticker", "period_end", "basis", "url")
+
+
+@query("""WITH x AS (SELECT s_suppkey AS k, 'S' || s_suppkey || '-1995-03-31-C' AS name FROM supplier) SELECT name, k % 3 <> 0 AS fetched, CASE WHEN k % 4 = 1 THEN 'absent' WHEN k % 4 = 2 THEN 'its digest differs' END AS why FROM x""")
+def filings_to_fetch(read, spark):
+    """What the manifest has under its name with its address isn't fetched again; a revision is. Files are held against their digest."""
+    k = F.col("s_suppkey")
+    ticker = F.concat(l("S"), s("s_suppkey"))
+    listing = read("supplier").select("s_suppkey", ticker.alias("ticker"), l("1995-03-31").cast("date").alias("period_end"), l("consolidated").alias("basis"), F.concat(l("http://x/"), s("s_suppkey")).alias("url"))
+    name = F.concat(ticker, l("-1995-03-31-C"))
+    manifest = read("supplier").select(name.alias("name"), F.concat(l("http://x/"), s("s_suppkey"), F.when(k % 3 == 0, "").otherwise("/old")).alias("url"), F.sha2(F.concat(l("body "), s("s_suppkey")), 256).alias("sha256"))
+    fetched = L.to_fetch(listing, manifest).select("name", l(True).alias("fetched"))
+    files = read("supplier").filter(k % 4 != 1).select(name.alias("name"), F.concat(l("body "), s("s_suppkey"), F.when(k % 4 == 2, "!").otherwise("")).cast("binary").alias("content"))
+    bad = L.verified(files, manifest)[1]
+    return manifest.select("name").join(fetched, "name", "left").join(bad, "name", "left").select("name", F.coalesce("fetched", l(False)).alias("fetched"), "why")

@@ -23,6 +23,19 @@ def rows_of(listing: DataFrame, kind: dict[str, str], order: int) -> DataFrame:
     return listing.select("ticker", date.alias("period_end"), basis(F.col("consolidated")).alias("basis"), F.col("xbrl").alias("url"), sent.alias("broadcast"), F.lit(order).alias("listed")).filter("lower(url) LIKE '%.xml' AND basis IS NOT NULL AND period_end IS NOT NULL")
 
 
+def nested(pages: DataFrame) -> DataFrame:
+    """Rows of pages of the new list (``ticker, body``; body: JSON with the field ``data``) with the fields that ``rows_of`` reads."""
+    kind = "array<struct<consolidated:string,xbrl:string,qe_Date:string,broadcast_Date:string>>"
+    return pages.select("ticker", F.explode(F.from_json(F.get_json_object("body", "$.data"), kind)).alias("r")).select("ticker", "r.*")
+
+
+def pages_needed(total: int, size: int) -> list[int]:
+    """Numbers of the pages that a list of so many rows has, from 1; an empty one has a page."""
+    if size < 1:
+        raise ValueError(f"a page of {size} rows")
+    return list(range(1, max(1, -(-total // size)) + 1))
+
+
 def latest(listings: DataFrame, years: list[int]) -> DataFrame:
     """The last broadcast of each company, day and basis; of equal ones the first listed."""
     w = Window.partitionBy("ticker", "period_end", "basis").orderBy(F.col("broadcast").desc_nulls_last(), "listed", "url")

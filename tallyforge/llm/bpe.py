@@ -18,7 +18,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -76,6 +76,7 @@ class Vocabulary:
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         plain = {r"\s": SPACE, r"\p{L}": PLAIN_LETTERS, r"\p{N}": PLAIN_NUMBERS}
         self.plain_words = re.compile(re.sub(r"\\s|\\p\{[LN]\}", lambda m: plain[m[0]], pattern))
+        self.usual = pattern == WORDS
         #: What every special token begins with; a text that has it isn't plain.
         self.mark = os.path.commonprefix(list(self.specials)) if self.specials else None
         self.words_or_break = regex.compile(rf"\n|{self.words.pattern}")
@@ -116,6 +117,10 @@ class Vocabulary:
         for whole, ok in zip(made.tolist(), fine.tolist(), strict=True):
             self.stable[whole] = ok and self.stable[left[whole]] and self.stable[right[whole]]
 
+    def is_plain(self, text: str) -> bool:
+        """Whether a text has plain characters alone, nothing that may be a special token, and words as ``word_spans`` cuts."""
+        return self.usual and (self.mark is None or self.mark not in text) and (text.isascii() or not NOT_PLAIN.search(text))
+
     def pre_tokenize(self, part: str) -> list[tuple[str, tuple[int, int]]]:
         from tokenizers import Tokenizer
 
@@ -289,45 +294,107 @@ class Ids(NamedTuple):
     borders: np.ndarray
 
 
-class Places(dict):
-    """Places of words in the order in which they were first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        return place
+#: Kinds of plain characters.
+GAP, LETTER, NUMBER, OTHER = range(4)
+_SEGMENT = 4_000_000
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _kinds() -> np.ndarray:
+    top = 0x20C0
+    chars = "".join(map(chr, range(top)))
+    out = np.full(top, OTHER, np.uint8)
+    for kind, members in ((LETTER, PLAIN_LETTERS), (NUMBER, PLAIN_NUMBERS), (GAP, SPACE)):
+        for m in re.finditer(f"[{members}]", chars):
+            out[m.start()] = kind
+    return out
+
+
+_KIND = _kinds()
+#: For two hashes of 64 bits, a number for each plain character.
+_MIX = np.random.default_rng(77).integers(0, 1 << 64, (2, len(_KIND)), dtype=np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, up to ``n`` of each, which are kept."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the words of a plain text in lower case, as ``plain_words`` finds them: runs of letters, single
+    numbers, runs of other characters, and a few endings after an apostrophe that nothing of the last kind precedes."""
+    kind = _KIND[codes]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    start = (kind != GAP) & ((kind != before) | (kind == NUMBER))
+    marks = np.flatnonzero((codes == 39) & start)
+    if len(marks):
+        padded = np.concatenate([codes, np.zeros(3, codes.dtype)])
+        one, two = padded[marks + 1], padded[marks + 2]
+        is_ = lambda x, c: x == ord(c)
+        double = (is_(two, "e") & (is_(one, "r") | is_(one, "v"))) | (is_(one, "l") & is_(two, "l"))
+        single = is_(one, "s") | is_(one, "t") | is_(one, "m") | is_(one, "d")
+        for found, size in ((marks[single], 2), (marks[double], 3)):
+            start[found + 1] = False
+            rest = found + size
+            rest = rest[rest < len(codes)]
+            start[rest[kind[rest] == LETTER]] = True
+    edge = start | ((kind == GAP) & (before != GAP))
+    at = np.flatnonzero(edge)
+    first = start[at]
+    return at[first], np.concatenate([at[1:], [len(codes)]])[first]
+
+
+def word_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each word, from sums over the text before its ends."""
+    up, down = powers(len(codes) + 1)
+    back, size, out = down[starts], (stops - starts).astype(np.uint64), []
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    for table in _MIX:
+        np.cumsum(table[codes] * up[: len(codes)], out=sums[1:])
+        h = (sums[stops] - sums[starts]) * back + size * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+        out.append(h)
+    return out
+
+
+def segments(text: str, most: int) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text in parts of about ``most`` letters that end at white space."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most))
+        if cut <= at:
+            gap = SPACES.search(text, at + most)
+            cut = gap.start() if gap else len(text)
+        yield at, text[at:cut]
+        at = cut
+    yield at, text[at:]
 
 
 class Words:
     """Ids of the words that were met, in one array, so that those of whole texts are gathered with numpy.
 
-    ``end_id``: an id that follows every text. When there are more than ``entries`` words, the half that the most calls
-    have had stays."""
+    Plain texts are cut with numpy as well. Their words are known by two hashes, 128 bits in all, and none is made a string
+    but when it is new; words of other texts are known by name. ``end_id``: an id that follows every text. When there are
+    more than ``entries`` words, the half that the most calls have had stays."""
 
     def __init__(self, encoder: Encoder, entries: int = CACHE_ENTRIES, end_id: int | None = None) -> None:
         self.encoder, self.entries, self.ends = encoder, entries, end_id is not None
         # a line break is in no word, so names of special tokens begin with it
         fixed = {f"\n{i}": i for i in encoder.vocabulary.specials.values()} | ({"\n": end_id} if self.ends else {})
-        self.index = Places({name: i for i, name in enumerate(fixed)})
+        self.index = {name: i for i, name in enumerate(fixed)}
+        self.hashed: dict[int, int] = {}
         self.fixed = len(fixed)
         self.flat = np.array(list(fixed.values()), np.int32)
         self.size, self.calls = np.ones(self.fixed, np.int32), np.zeros(self.fixed, np.int32)
-
-    def cut(self, texts: list[str | None]) -> list[list[str]]:
-        """Words of each text. Plain texts are searched whole; others by their distinct chunks."""
-        v = self.encoder.vocabulary
-        out: list[list[str]] = []
-        odd: dict[int, list[str]] = {}
-        for at, t in enumerate(texts):
-            if not t or ((v.mark is None or v.mark not in t) and (t.isascii() or not NOT_PLAIN.search(t))):
-                out.append(v.plain_words.findall((t or "").lower()))
-            else:
-                odd[at] = chunks_of(t)
-                out.append([])
-        chunks = list(set().union(*odd.values()))
-        cut = {c: [w if isinstance(w, str) else f"\n{w}" for w in ws] for c, ws in zip(chunks, self.encoder.words_of(chunks), strict=True)} if chunks else {}
-        for at, own in odd.items():
-            out[at] = list(chain.from_iterable(map(cut.__getitem__, own)))
-        return out
+        self.first, self.second = np.zeros(self.fixed, np.uint64), np.zeros(self.fixed, np.uint64)
 
     def forget(self) -> None:
         keep = np.zeros(len(self.size), bool)
@@ -335,31 +402,93 @@ class Words:
         keep &= self.calls > 1
         keep[: self.fixed] = True
         self.flat = self.flat[np.repeat(keep, self.size)]
-        place = (np.cumsum(keep) - 1).tolist()
-        self.index = Places({w: place[i] for w, i in self.index.items() if keep[i]})
-        self.size, self.calls = self.size[keep], self.calls[keep] // 2
+        place = np.cumsum(keep) - 1
+        self.index = {w: int(place[i]) for w, i in self.index.items() if keep[i]}
+        self.hashed = {h: int(place[i]) for h, i in self.hashed.items() if keep[i]}
+        self.size, self.calls, self.first, self.second = self.size[keep], self.calls[keep] // 2, self.first[keep], self.second[keep]
+
+    def learn(self, words: list[str], first: np.ndarray, second: np.ndarray) -> None:
+        """Adds new words, with their hashes or none."""
+        flat, size = self.encoder.encode_words(words)
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.calls = np.concatenate([self.calls, np.zeros(len(size), np.int32)])
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
+
+    def by_name(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if new:
+            self.index.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.learn(new, np.zeros(len(new), np.uint64), np.zeros(len(new), np.uint64))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def of_plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a plain text's words in the store, and where they begin in the text."""
+        found, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, part in segments(text, _SEGMENT):
+            codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+            starts, stops = word_spans(codes)
+            if not len(starts):
+                continue
+            one, two = word_hashes(codes, starts, stops)
+            order = np.argsort(one)
+            one, two = one[order], two[order]
+            fresh = np.concatenate([[True], one[1:] != one[:-1]])
+            if (~fresh[1:] & (two[1:] != two[:-1])).any():  # different words of one hash: by name
+                found.append(self.by_name([part[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]))
+                begins.append(starts + at)
+                continue
+            mine = np.flatnonzero(fresh)
+            keys, some = one[mine].tolist(), order[mine]
+            get = self.hashed.get
+            place = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                place[new] = np.arange(len(self.size), len(self.size) + len(new))
+                self.hashed.update(zip([keys[i] for i in new.tolist()], place[new].tolist(), strict=True))
+                a, b = starts[some[new]].tolist(), stops[some[new]].tolist()
+                self.learn([part[i:j] for i, j in zip(a, b, strict=True)], one[mine][new], two[mine][new])
+            for i in np.flatnonzero(self.second[place] != two[mine]).tolist():  # the hash of another word: by name
+                place[i] = self.by_name([part[starts[some[i]] : stops[some[i]]]])[0]
+            at_ = np.empty(len(order), np.int64)
+            at_[order] = place[np.cumsum(fresh) - 1]
+            found.append(at_)
+            begins.append(starts + at)
+        return np.concatenate(found), np.concatenate(begins)
+
+    def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all texts' words, and how many each text has."""
+        v = self.encoder.vocabulary
+        plain: list[int] = []
+        odd: dict[int, list[str]] = {}
+        for at, t in enumerate(texts):
+            if v.is_plain(t or ""):
+                plain.append(at)
+            else:
+                odd[at] = chunks_of(t)
+        counts = np.zeros(len(texts), np.int64)
+        lengths = np.array([len(texts[i] or "") + 1 for i in plain], np.int64)
+        # a line break between texts; lower case has as many letters as before
+        found, begins = self.of_plain("\n".join([texts[i] or "" for i in plain]).lower()) if plain else (np.zeros(0, np.int64),) * 2
+        borders = np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)]))
+        counts[plain] = np.diff(borders) if plain else 0
+        if odd:
+            chunks = list(set().union(*odd.values()))
+            cut = {c: [w if isinstance(w, str) else f"\n{w}" for w in ws] for c, ws in zip(chunks, self.encoder.words_of(chunks), strict=True)} if chunks else {}
+            parts = dict(zip(plain, np.split(found, borders[1:-1]), strict=True)) if plain else {}
+            for i, own in odd.items():
+                parts[i] = self.by_name(list(chain.from_iterable(map(cut.__getitem__, own))))
+                counts[i] = len(parts[i])
+            found = np.concatenate([parts[i] for i in range(len(texts))])
+        return found, counts
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """Places of words, after which all are known."""
+    def of(self, texts: list[str | None]) -> Ids:
         if len(self.size) > self.entries:
             self.forget()
-        held = len(self.size)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if len(self.index) > held:
-            flat, size = self.encoder.encode_words(list(islice(self.index, held, None)))
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            self.size = np.concatenate([self.size, size.astype(np.int32)])
-            self.calls = np.concatenate([self.calls, np.zeros(len(size), np.int32)])
+        at, counts = self.places(texts)
         self.calls += np.bincount(at, minlength=len(self.calls)) > 0
-        return at
-
-    def of(self, texts: list[str | None]) -> Ids:
-        cut = self.cut(texts)
         if self.ends:
-            for words in cut:
-                words.append("\n")
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = self.places(list(chain.from_iterable(cut)))
+            at, counts = np.insert(at, np.cumsum(counts), self.index["\n"]), counts + 1
         starts, size = np.cumsum(self.size, dtype=np.int64) - self.size, self.size[at]
         stops = np.cumsum(size, dtype=np.int64)
         total = int(stops[-1]) if len(stops) else 0

@@ -29,6 +29,36 @@ def test_encoder_equals_the_library(library):
     assert 0 < encoder.failed < encoder.proposed
 
 
+def test_word_spans_equal_the_pattern():
+    v = bpe.Vocabulary(PATH)
+    rng = random.Random(5)
+    for _ in range(5000):
+        text = "".join(rng.choice("abstrvemld'’!. \n\t0129²½éßœ×÷€–\x1c\x85\xa0ªº'") for _ in range(rng.randint(1, 30)))
+        assert v.is_plain(text)
+        starts, stops = bpe.word_spans(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        assert [text[a:b] for a, b in zip(starts, stops, strict=True)] == v.plain_words.findall(text)
+    assert not any(v.is_plain(t) for t in ("İ", "e\u0301", "дом", "<|endoftext|>"))
+
+
+@pytest.mark.parametrize(("one", "two"), [(7, 2**64 - 1), (2**64 - 1, 2**64 - 1), (0, 0xFFFF)])
+def test_colliding_hashes_change_nothing(library, monkeypatch, one, two):
+    """Words of one hash are told apart by the other, within a text and from call to call."""
+    real = bpe.word_hashes
+    monkeypatch.setattr(bpe, "word_hashes", lambda *a: [h & np.uint64(m) for h, m in zip(real(*a), (one, two), strict=True)])
+    encoder = bpe.Encoder(PATH)
+    for text in ("one word", "another", "a third of many words, and more of them", "", "one word again"):
+        assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_are_cut_at_white_space(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_SEGMENT", 50)
+    encoder = bpe.Encoder(PATH)
+    rng = random.Random(2)
+    text = " ".join("x" * rng.choice([1, 5, 120]) + rng.choice(["'s", "7,", "\n"]) for _ in range(200))
+    assert "".join(p for _, p in bpe.segments(text, 50)) == text
+    assert encoder.memo.of([text, None, "é", "дом", text]).ids.tolist() == [i for t in (text, "é", "дом", text) for i in library.encode(t, add_special_tokens=False).ids]
+
+
 def test_a_full_memo_changes_nothing(library):
     encoder = bpe.Encoder(PATH, entries=50)
     for i in range(5):

@@ -131,6 +131,17 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sum(seen) == e.count()
 
 
+@pytest.mark.parametrize(("make", "keys"), [(events.windowed, ("start", "event_type")), (events.sessions, ("user_id", "start"))], ids=["windows", "sessions"])
+def test_windows_of_a_stream_are_those_of_its_rows(spark, tmp_path, make, keys):
+    e = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = make(events.event_stream(spark, str(tmp_path / "in"), e.schema, files_per_trigger=1))
+    name = f"stream_{make.__name__}"
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    rows = lambda df: sorted((str([r[k] for k in keys]), r["n"], round(r["total"], 6)) for r in df.collect())
+    assert rows(spark.table(name)) == rows(make(e))
+
+
 def test_revisions_and_logs(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "ticker string, sent int, url string")
     folder, table, log = (f"{tmp_path}/{n}" for n in ("in", "table", "log"))

@@ -296,7 +296,8 @@ class Ids(NamedTuple):
 
 #: Kinds of plain characters.
 GAP, LETTER, NUMBER, OTHER = range(4)
-_SEGMENT = 4_000_000
+#: Letters of text that are cut and hashed at once.
+SEGMENT = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -385,8 +386,8 @@ class Words:
     but when it is new; words of other texts are known by name. ``end_id``: an id that follows every text. When there are
     more than ``entries`` words, the half that the most calls have had stays."""
 
-    def __init__(self, encoder: Encoder, entries: int = CACHE_ENTRIES, end_id: int | None = None) -> None:
-        self.encoder, self.entries, self.ends = encoder, entries, end_id is not None
+    def __init__(self, encoder: Encoder, entries: int = CACHE_ENTRIES, end_id: int | None = None, segment: int | None = None) -> None:
+        self.encoder, self.entries, self.ends, self.segment = encoder, entries, end_id is not None, segment or SEGMENT
         # a line break is in no word, so names of special tokens begin with it
         fixed = {f"\n{i}": i for i in encoder.vocabulary.specials.values()} | ({"\n": end_id} if self.ends else {})
         self.index = {name: i for i, name in enumerate(fixed)}
@@ -425,7 +426,7 @@ class Words:
     def of_plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of a plain text's words in the store, and where they begin in the text."""
         found, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, part in segments(text, _SEGMENT):
+        for at, part in segments(text, self.segment):
             codes = np.frombuffer(part.encode("utf-32-le"), np.uint32)
             starts, stops = word_spans(codes)
             if not len(starts):

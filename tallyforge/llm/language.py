@@ -137,7 +137,9 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
             data = []
             for t in batch.column(2).to_pylist():
                 _, bucket = grams([words_of(t)], ORDERS, BUCKETS)
-                data.append(np.bincount(bucket, minlength=BUCKETS).astype("<u4").tobytes())
+                counts = np.bincount(bucket, minlength=BUCKETS)
+                there = np.flatnonzero(counts)
+                data.append(there.astype("<u4").tobytes() + counts[there].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["draw", "lang", "counts"])
 
     drawn = some.mapInArrow(run, "draw long, lang string, counts binary").orderBy("draw").limit(sample).collect()
@@ -146,9 +148,10 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
     drawn = [drawn[i] for i in np.random.default_rng(1).permutation(len(drawn))]
     languages = sorted({r["lang"] for r in drawn})
     label = np.array([languages.index(r["lang"]) for r in drawn])
-    x = np.empty((len(drawn), BUCKETS), np.float32)
+    x = np.zeros((len(drawn), BUCKETS), np.float32)
     for i in range(len(drawn)):
-        x[i] = np.frombuffer(drawn[i]["counts"], "<u4")
+        there, counts = np.frombuffer(drawn[i]["counts"], "<u4").reshape(2, -1)
+        x[i, there] = counts
         drawn[i] = None
     model = fit(x, label, languages)
     del x, drawn

@@ -38,6 +38,8 @@ SMALL = 64
 #: A larger node in which this share of the classes looks like a leader is compared on full sets, by blocks of this
 #: many; others branch.
 CROWDED, BLOCK = 0.3, 512
+#: The most bytes of sets in a block, but for a single larger one.
+BLOCK_BYTES = 8 << 20
 LEVELS = 6
 PART = 1_000_000
 _ODD = np.random.default_rng(99).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,12 +147,12 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def crowded_links(crowded: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links of crowded nodes (``node, vid, comp, size``) on full sets: classes outside the node's largest component
+    """Links of crowded nodes (``node, vid, comp, size, mass``: shingles in all) on full sets: classes outside the node's largest component
     against all of the node, block by block. A task gives at most one link for each merge of components, never
     all pairs."""
     counts = crowded.groupBy("node", "comp").agg(F.count("*").alias("n"))
     giant = counts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("g"), F.sum("n").alias("weight")).select("node", F.col("g.comp").alias("giant"), "weight")
-    rows = shared.joined_by_size(crowded, shared.materialised(giant, "giants"), ["node"], "weight").join(held, "vid").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("vid", "node"), "nb"))
+    rows = shared.joined_by_size(crowded, shared.materialised(giant, "giants"), ["node"], "weight").join(held, "vid").withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("mass") * 8 / BLOCK_BYTES))).withColumn("own", F.pmod(F.xxhash64("vid", "node"), "nb"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     columns = ("vid", "comp", "shingles")
     left = rows.filter("comp <> giant").select("node", F.col("own").alias("bl"), every.alias("br"), *columns)
@@ -229,15 +231,15 @@ def near_groups(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "
     for level in range(LEVELS):
         last = level == LEVELS - 1
         placed = members.select("node", "m", near.alias("near")).join(merged.withColumnRenamed("id", "vid"), F.col("m.vid") == F.col("vid"), "left").select("node", "m", "near", F.coalesce("root", "m.vid").alias("comp"))
-        kinds = placed.groupBy("node").agg(F.count("*").alias("size"), F.count_if("near").alias("close"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        kinds = placed.groupBy("node").agg(F.count("*").alias("size"), F.count_if("near").alias("close"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("m.n_shingles").alias("mass")).filter("low <> high")
         kind = F.when(F.col("size") <= SMALL, "small").when(F.lit(last) | (F.col("close") >= CROWDED * F.col("size")), "crowded").otherwise("open")
-        kinds = shared.materialised(kinds.select("node", "size", kind.alias("kind"), F.col("size").alias("weight")), "kinds")
+        kinds = shared.materialised(kinds.select("node", "size", "mass", kind.alias("kind"), F.col("size").alias("weight")), "kinds")
         live = shared.materialised(shared.joined_by_size(placed.drop("near"), kinds, ["node"], "weight"), "open")
         small = live.filter("kind = 'small'")
         p, q = small.select("node", F.col("m").alias("p"), F.col("comp").alias("c")), small.select(F.col("node").alias("node2"), F.col("m").alias("q"), F.col("comp").alias("d"))
         close = p.join(q, (F.col("node") == F.col("node2")) & (F.col("c") < F.col("d")) & plausible("p", "q", percent)).select(F.least("p.vid", "q.vid").alias("a"), F.greatest("p.vid", "q.vid").alias("b"))
         pairs = close if pairs is None else pairs.union(close)
-        full = live.filter("kind = 'crowded'").select("node", F.col("m.vid").alias("vid"), "comp", "size")
+        full = live.filter("kind = 'crowded'").select("node", F.col("m.vid").alias("vid"), "comp", "size", "mass")
         crowded = full if crowded is None else crowded.union(full)
         large = live.filter("kind = 'open'").select("node", F.col("m.vid").alias("vid"))
         if last or large.isEmpty():

@@ -165,7 +165,7 @@ class LibraryEncoder(Encoder):
         v = self.vocabulary
         self.width = 2 if v.size <= 1 << 16 else 4
         self.last = np.array([p.endswith(v.end) for p in v.pieces]) if v.end else None
-        self.memo = Words(self, entries, end_id)
+        self.memo = Words(self, entries, end_id, PART)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         group = 100 if self.last is not None else 1

@@ -51,7 +51,7 @@ def test_colliding_hashes_change_nothing(library, monkeypatch, one, two):
 
 
 def test_long_texts_are_cut_at_white_space(library, monkeypatch):
-    monkeypatch.setattr(bpe, "_SEGMENT", 50)
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
     encoder = bpe.Encoder(PATH)
     rng = random.Random(2)
     text = " ".join("x" * rng.choice([1, 5, 120]) + rng.choice(["'s", "7,", "\n"]) for _ in range(200))

@@ -148,14 +148,17 @@ GRAMS = "SELECT DISTINCT {1} AS id, list_aggregate(w[i:i + 3], 'string_agg', ' '
 
 @query(f"WITH a AS ({GRAMS.format('documents', 'doc_id')}), b AS ({GRAMS.format('benchmark', 'item_id')}) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY 1, 2")
 def contamination_4gram(read, spark):
+    """Runs of four words are two 64-bit hashes. Those of documents meet the benchmark's first, and only what both have is
+    told apart: a document's repeats are not looked for before."""
+
     def grams(name: str, key: str) -> DataFrame:
-        """Runs of four words as two 64-bit hashes, each once a text."""
         w = spread(read(name).select(key, "text")).select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w")).filter(F.size("w") >= 4)
-        run = lambda i: F.slice("w", i, 4)
-        hashes = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.struct(F.xxhash64(run(i)).alias("g"), F.xxhash64(F.lit(1), run(i)).alias("h")))
-        return w.select(key, F.explode(F.array_distinct(hashes)).alias("x")).select(key, "x.g", "x.h")
+        run = lambda i: [F.get("w", i + k) for k in range(4)]
+        hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.struct(F.xxhash64(*run(i)).alias("g"), F.xxhash64(F.lit(1), *run(i)).alias("h")))
+        return w.select(key, F.inline(hashes))
 
-    return grams("documents", "doc_id").join(sized(grams("benchmark", "item_id")), ["g", "h"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    held = grams("benchmark", "item_id").distinct()
+    return grams("documents", "doc_id").join(sized(held), ["g", "h"]).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS ordinal, CAST(i * 1000 AS INTEGER) AS start, md5(substr(text, i * 1000 + 1, 1200)) AS piece

@@ -42,14 +42,13 @@ SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 3) THEN d WHEN k = 4 THEN make_date(
  CASE k WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 9 WHEN 3 THEN 6 WHEN 5 THEN 12 END AS months FROM o""")
 def stated_dates(read, spark):
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 8
-    far = F.add_months(d, 1200)
     text = cases(
         k,
         F.concat(l("As at "), F.date_format(d, "dd.MM.yyyy")),
         F.concat(l("Quarter ended "), F.date_format(d, "MMMM d, yyyy")),
         F.concat(l("Nine months to "), F.date_format(d, "d'th' MMMM yyyy")),
         F.concat(l("Half-year to "), F.date_format(d, "dd/MM/yyyy")),
-        F.concat(F.date_format(far, "d MMM"), l("'"), F.date_format(far, "yy")),
+        F.concat(F.date_format(d, "d MMM"), l("'"), F.date_format(d, "yy")),
         F.concat(l("FY"), F.date_format(d, "yy")),
         F.concat((2000 + F.year(d) % 30).cast("string"), l("-"), two((2001 + F.year(d) % 30) % 100)),
         l("no date"),

@@ -40,14 +40,18 @@ def test_heading_chunks():
 
 
 def test_section_paths():
-    path = chunks.opened([], "5 Investments")
-    path = chunks.opened(path, "(h) Quoted")
-    assert [d for d, _ in path] == [1, 2]
-    path = chunks.opened(path, "i. Shares")  # the letter after h
-    assert [h for _, h in path] == ["5 Investments", "i. Shares"] and path[1][0] == 2
-    path = chunks.opened(chunks.opened([(1, "5 Investments"), (2, "a) Debt")], "i. Bonds"), "ii. Notes")
-    assert [(d, h) for d, h in path] == [(1, "5 Investments"), (2, "a) Debt"), (3, "ii. Notes")]
-    assert chunks.opened(path, "Directors") == [(1, "Directors")] and chunks.opened([(1, "Board")], "a) Debt") == [(1, "a) Debt")]
+    paths = chunks.outline(["5 Investments", "(h) Quoted", "i. Shares"])  # i is the letter after h
+    assert paths == [["5 Investments"], ["5 Investments", "(h) Quoted"], ["5 Investments", "i. Shares"]]
+    paths = chunks.outline(["5 Investments", "a) Debt", "i. Bonds", "ii. Notes", "b) Equity", "Directors", "a) Debt", "6. Loans", "(IV) Term"])
+    assert paths[2:] == [
+        ["5 Investments", "a) Debt", "i. Bonds"],
+        ["5 Investments", "a) Debt", "ii. Notes"],
+        ["5 Investments", "b) Equity"],
+        ["Directors"],
+        ["a) Debt"],
+        ["6. Loans"],
+        ["6. Loans", "(IV) Term"],
+    ]
 
 
 def table_doc():

@@ -10,6 +10,7 @@ from tallyforge.functions import printed as N
 from tallyforge.functions.labels import FILLER, casefold
 from tallyforge.functions.text import label_of, name_words
 from tallyforge.operators import retrieval as R
+from tallyforge.operators.postings import Postings
 from tallyforge.operators.facts import CHECKED
 
 #: Facts that a look-up returns, concepts that it considers, and how far a held figure may be off.
@@ -60,9 +61,19 @@ def concept_texts(concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     return concepts.join(listed, "concept", "left").select("concept", F.array_join(F.concat(F.array("label"), F.coalesce("more", F.array().cast("array<string>"))), "; ").alias("text"))
 
 
-def matched(questions: DataFrame, texts: DataFrame, k: int = DEPTH) -> DataFrame:
-    """``query_id, concept, place`` of the concepts closest to each question's words by BM25, an exact name first."""
-    ranked = R.bm25(texts.select(F.col("concept").alias("doc_id"), "text"), questions.select("query_id", F.col("what").alias("text")), k=k)
+def concept_index(texts: DataFrame, folder: str) -> Postings:
+    """A stored index of ``texts(concept, text)`` for any number of ``matched``, built where the folder has none."""
+    index = Postings(texts.sparkSession, folder, kind="string")
+    if not index.tables.manifest().version:
+        index.add(texts.select(F.col("concept").alias("doc_id"), "text"))
+    return index
+
+
+def matched(questions: DataFrame, texts: DataFrame, k: int = DEPTH, *, index: Postings | None = None) -> DataFrame:
+    """``query_id, concept, place`` of the concepts closest to each question's words by BM25, an exact name first. With an
+    ``index`` of the texts none of them is read."""
+    asked = questions.select("query_id", F.col("what").alias("text"))
+    ranked = index.bm25(asked, k=k) if index else R.bm25(texts.select(F.col("concept").alias("doc_id"), "text"), asked, k=k)
     rows = ranked.select("query_id", F.col("doc_id").alias("concept"), "rank").unionByName(questions.join(texts, F.col("what") == F.col("concept")).select("query_id", "concept", F.lit(0).alias("rank")))
     best = rows.groupBy("query_id", "concept").agg(F.min("rank").alias("rank"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("place") <= k).drop("rank")

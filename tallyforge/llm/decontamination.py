@@ -32,8 +32,8 @@ def folded(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(item: str) -> int:
-    return 0 if len(item) < SHORT else len(item) // CHARS_PER_EDIT
+def budget(item: str, per: int = CHARS_PER_EDIT, short: int = SHORT) -> int:
+    return 0 if len(item) < short else len(item) // per
 
 
 def in_word(char: str) -> bool:
@@ -81,8 +81,11 @@ class Pattern:
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, f, budget(f)) for i, t in items if (f := folded(t))]
+    def __init__(self, items: list[tuple[int, str]], per: int = CHARS_PER_EDIT, short: int = SHORT) -> None:
+        if per < 2:
+            raise ValueError(f"an edit in {per} characters leaves no piece of an item")
+        self.short = short
+        self.items = [(i, f, budget(f, per, short)) for i, t in items if (f := folded(t))]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, f, k) in enumerate(self.items):
             for offset, piece in pieces(f, k):
@@ -105,7 +108,7 @@ class Matcher:
             start = end - size  # in t, as the padding adds 1 and end is inclusive
             for n, offset in own:
                 f = self.items[n][1]
-                if len(f) < SHORT:
+                if len(f) < self.short:
                     if n not in best and not (in_word(t[start - 1 : start] or " ") or in_word(t[end : end + 1] or " ")):
                         best[n] = 0, end
                 else:
@@ -140,11 +143,11 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 _matchers: dict[str, Matcher] = {}
 
 
-def matcher_for(name: str, items: list[tuple[int, str]]) -> Matcher:
+def matcher_for(name: str, items: list[tuple[int, str]], per: int, short: int) -> Matcher:
     """The matcher of a block, made once for each Python worker; one is kept."""
     if name not in _matchers:
         _matchers.clear()
-        _matchers[name] = Matcher(items)
+        _matchers[name] = Matcher(items, per, short)
     return _matchers[name]
 
 
@@ -158,8 +161,9 @@ def blocks(benchmark: DataFrame, *, text: str = "text", key: str = "item_id") ->
         yield [(r[0], r[1]) for r in part.orderBy(key, text).collect()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each document and item that it holds: ``key, item_id, distance, end``.
+def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", per: int = CHARS_PER_EDIT, short: int = SHORT) -> DataFrame:
+    """A row for each document and item that it holds within one edit in ``per`` characters, items under ``short`` characters
+    unchanged: ``key, item_id, distance, end``.
 
     ``end``: characters of the folded text up to the end of the best place (the first of several as good). Null and
     empty texts hold nothing; an item of several texts has the best of them; repeated document rows give their rows
@@ -173,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
         sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # BLOCK_BYTES of texts
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_for(name, sent.value)
+            matcher = matcher_for(name, sent.value, per, short)
             for batch in batches:
                 found = []
                 for at, t in enumerate(batch.column(1).to_pylist()):
@@ -189,8 +193,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text holds no item. A pass without a shuffle for each block."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", per: int = CHARS_PER_EDIT, short: int = SHORT) -> DataFrame:
+    """The rows, with all their columns, whose text holds no item (as ``leaks`` finds them). A pass without a shuffle for each block."""
     shared.small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     for items in blocks(benchmark):
@@ -198,7 +202,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text")
         sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # BLOCK_BYTES of texts
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_for(name, sent.value)
+            matcher = matcher_for(name, sent.value, per, short)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -26,6 +26,8 @@ from tallyforge.llm.chunk_scores import ChunkScores, grams
 ORDERS, BUCKETS = (1, 2, 3), 4096
 #: The most labelled texts that are fitted.
 SAMPLE = 2400
+#: Languages that are learned at most, the commonest first: a row each goes to the driver.
+LANGUAGES = 256
 #: A text is ambiguous if the runner-up's loss is at most this share of all weight above the winner's.
 MARGIN = 0.25
 #: An ambiguous text with at least this score is still kept.
@@ -118,19 +120,19 @@ def fit(x: np.ndarray, label: np.ndarray, languages: list[str], rounds: int = 15
     return LanguageModel(languages, code, (w * scale[:, None]).astype(np.float32), bias, trust / trust.sum())
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
-    """Fits on at most ``sample`` different texts with a label; None if there are none. A hash of the text draws them,
-    about as many of each language, and their order; of several labels of a text the first in the alphabet counts."""
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> LanguageModel | None:
+    """Fits on at most ``sample`` different texts with a label, of the ``most`` commonest languages; None if there are none. A
+    hash of the text draws them, about as many of each language, and their order in units of the language's share, so that
+    a cut takes as much of each; of several labels of a text the first in the alphabet counts."""
     shared.small_batches(labelled.sparkSession)
     rows = shared.cased(labelled, text, lang).toDF("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not held:
         return None
     each = max(sample // len(held), 1)
-    wanted = F.lit(False)
-    for name, n in held.items():
-        wanted = wanted | ((F.col("lang") == name) & (shared.draw("text") < shared.share(each / n)))
-    some = rows.filter(wanted).groupBy(shared.draw("text").alias("draw")).agg(F.min("lang").alias("lang"), F.first("text").alias("text"))
+    parts = shared.chosen_map({name: min(1.0, each / n) for name, n in held.items()})
+    drawn = rows.withColumn("draw", shared.draw("text") / float(1 << 62) / F.try_element_at(parts, F.col("lang"))).filter("draw < 1")
+    some = drawn.groupBy(shared.draw("text").alias("hash")).agg(F.min(F.struct("lang", "draw")).alias("l"), F.first("text").alias("text")).select("l.draw", "l.lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +144,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
                 data.append(there.astype("<u4").tobytes() + counts[there].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["draw", "lang", "counts"])
 
-    drawn = some.mapInArrow(run, "draw long, lang string, counts binary").orderBy("draw").limit(sample).collect()
+    drawn = some.mapInArrow(run, "draw double, lang string, counts binary").orderBy("draw", "lang").limit(sample).collect()
     if not drawn:
         return None
     drawn = [drawn[i] for i in np.random.default_rng(1).permutation(len(drawn))]

@@ -85,6 +85,11 @@ def share(part: float) -> int:
     return int(min(part, 1.0) * (1 << 62))
 
 
+def chosen_map(parts: dict) -> Column:
+    """A map column of a few keys, one at least."""
+    return F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+
+
 def cased(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, by exact name, so that further or clashing columns (``Text``, ``text ``)
     of the input never reach the operator. Of equal names, the first counts."""

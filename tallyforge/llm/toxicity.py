@@ -199,7 +199,8 @@ def calibrated(rows: Rows, changes: list[tuple[list[int], list[int], int]]) -> T
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """Fits on at most ``sample`` rows of ``labels`` that aren't null and have a text, and on at most ``sample_bytes`` of
-    their features, taken in the order of the keys' hash; the first row always counts. Of several labels of a key the
+    their features, taken in the order of the keys' hash within the label, so that both labels keep their parts; the first row
+    always counts. Of several labels of a key the
     highest counts, and of several texts that with the least hash. Equal swaps of the drawn rows are one with their
     number, so that all count. Without labels the model calls nothing toxic."""
     shared.small_batches(docs.sparkSession)
@@ -207,12 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
     held = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     half = sample // 2
     room = {y: max(half, sample - held.get(not y, 0)) for y in held}
-    wanted = F.lit(False)
-    for y, n in held.items():
-        wanted = wanted | ((F.col("y") == y) & (shared.draw(key) < shared.share(room[y] / n)))
-    chosen = rows.filter(wanted).orderBy(shared.draw(key), key).limit(sample)
+    # draws in units of the label's share, so that a cut takes as much of either label
+    parts = shared.chosen_map({True: 1.0, False: 1.0} | {y: min(1.0, room[y] / n) for y, n in held.items()})
+    rows = rows.withColumn("draw", shared.draw(key) / float(1 << 62) / parts[F.col("y")])
+    chosen = rows.filter("draw < 1").orderBy("draw", key).limit(sample)
     found = shared.cased(docs, key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key)  # ``sample`` rows at most
-    whole = found.groupBy(key, "y").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text")).select("y", shared.draw(key).alias("draw"), "text")
+    whole = found.groupBy(key, "y", "draw").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text")).select("y", "draw", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
             changed = [[[*p, -1, *m] for p, m in swaps(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(changed, pa.list_(pa.list_(pa.int64())))], names=["y", "draw", "features", "changes"])
 
-    drawn = shared.materialised(whole.mapInArrow(run, "y boolean, draw long, features binary, changes array<array<bigint>>"), "toxicity-sample")
+    drawn = shared.materialised(whole.mapInArrow(run, "y boolean, draw double, features binary, changes array<array<bigint>>"), "toxicity-sample")
     sizes = sorted(tuple(r) for r in drawn.select("draw", F.length("features")).collect())
     last, total = None, 0
     for at, size in sizes:
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
         if last is not None and total > sample_bytes:
             break
         last = at
-    drawn = drawn.filter(F.col("draw") <= F.lit(last).cast("long")) if sizes else drawn
+    drawn = drawn.filter(F.col("draw") <= F.lit(last).cast("double")) if sizes else drawn
     got = sorted(drawn.select("draw", "y", "features").collect(), key=lambda r: (r["draw"], r["features"]))
     swapped = drawn.select(F.explode("changes").alias("c")).groupBy("c").count().orderBy("c").collect()  # pairs of terms
     changes = [(r["c"][: r["c"].index(-1)], r["c"][r["c"].index(-1) + 1 :], r["count"]) for r in swapped]

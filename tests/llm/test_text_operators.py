@@ -220,3 +220,41 @@ def test_rebalancing_moves_few_bytes(spark, tmp_path):
     assert all(two[i].shard == 4 for i in moved)  # the new shard alone receives
     assert abs(share - total / 5) <= 0.011 * total / 5
     assert sharding.load_map(spark, folder, 1) != sharding.load_map(spark, folder, 2)
+
+
+def test_budgets_are_parameters(spark):
+    """One edit in five letters, from ten letters on."""
+    docs = spark.createDataFrame([(1, "we saw the quack brawn fix run"), (2, "a quick brown fox"), (3, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
+    assert {(r.doc_id, r.distance) for r in decontamination.leaks(docs, items, per=5, short=10).collect()} == {(1, 3), (2, 0)}
+    assert [r.doc_id for r in decontamination.leaks(docs, items).collect()] == [2]
+    assert {r.doc_id for r in decontamination.decontaminated(docs, items, per=5, short=10).collect()} == {3}
+    with pytest.raises(ValueError):
+        decontamination.Matcher([(1, "x")], per=1)
+
+
+def test_cuts_keep_both_labels(spark, monkeypatch):
+    """A tenth of the rows are toxic; whatever the bounds cut, they take about as much of either label as of all drawn."""
+    text = "some words that say nothing " * 20
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(2000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda rows, changes: seen.append(rows.label))
+    toxicity.train(docs, labels, sample=400)
+    size = len(seen[0])
+    assert 0.4 < seen[0].mean() < 0.6 and 330 < size <= 400
+    per_row = 8 * len(toxicity.text_features(f"{text} 1")[0])
+    toxicity.train(docs, labels, sample=400, sample_bytes=per_row * size // 4)
+    assert 0.35 < seen[1].mean() < 0.65 and 0.2 * size < len(seen[1]) < 0.3 * size
+
+
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    rows = [(f"word number {'a' * (i % 7)} of text {i}", "aa" if i % 20 else "bb") for i in range(2000)] + [("one odd text", "cc")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, label, languages: seen.append((label, languages)))
+    language.train(df, sample=150)
+    language.train(df, sample=150, most=2)
+    (label, languages), (_, two) = seen
+    assert languages == ["aa", "bb", "cc"] and two == ["aa", "bb"] and len(label) <= 150
+    assert 30 <= (label == 0).sum() <= 75 and 30 <= (label == 1).sum() <= 75

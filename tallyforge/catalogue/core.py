@@ -15,6 +15,7 @@ from tallyforge.operators import crosscheck as C
 from tallyforge.operators import documents as D
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import facts as A
+from tallyforge.operators import ranges as G
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.classifier import out_of_fold
 from tallyforge.plans.metrics import Metric, Metrics
@@ -408,8 +409,23 @@ def windows(read, spark):
 
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
 def forward_fill(read, spark):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read("events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("last_purchase"))
+    """As-of look-up of each event in its user's purchases, itself included."""
+    e = read("events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("last_purchase"))
+    bought = e.filter("last_purchase IS NOT NULL").select("user_id", "at", "last_purchase")
+    return G.asof(e.drop("last_purchase"), bought, ["user_id"], "at", ["last_purchase"]).select("event_id", "user_id", "last_purchase")
+
+
+WINDOWS = """w AS (SELECT event_id AS opened_by, user_id, epoch_us(ts) AS low, epoch_us(ts) + 1000000 * CAST(CASE event_type WHEN 'signup' THEN 86400 * (1 + event_id % 5) ELSE 60 * (1 + event_id % 90) END AS BIGINT) AS high FROM events WHERE event_type IN ('signup', 'error'))"""
+
+
+@query(f"""WITH {WINDOWS} SELECT opened_by, count(*) AS n, round(sum(value), 6) AS total FROM w JOIN events e ON e.user_id = w.user_id AND epoch_us(e.ts) BETWEEN low AND high GROUP BY 1""")
+def events_within(read, spark):
+    """What a user does within some minutes of an error and within some days of signing up."""
+    e = read("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "user_id", "event_type", "at", "value")
+    seconds = F.when(F.col("event_type") == "signup", 86400 * (1 + F.col("event_id") % 5)).otherwise(60 * (1 + F.col("event_id") % 90)).cast("long")
+    windows = e.filter("event_type IN ('signup', 'error')").select(F.col("event_id").alias("opened_by"), "user_id", F.col("at").alias("low"), (F.col("at") + 1_000_000 * seconds).alias("high"))
+    found = G.within(e.select("user_id", "at", "value"), windows, ["user_id"], "at", "low", "high")
+    return found.groupBy("opened_by").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query("""WITH y AS (SELECT unnest(range(1993, 2000)) AS fy), p(period, first, last) AS (VALUES ('year', 1, 12), ('Q1', 1, 3), ('Q2', 4, 6), ('Q3', 7, 9), ('Q4', 10, 12), ('H1', 1, 6), ('9M', 1, 9)),
@@ -438,8 +454,8 @@ def offset_pages(read, spark):
     docs = read("documents").filter("text IS NOT NULL")
     chunks = D.fixed_chunks(docs).select("doc_id", F.col("start").cast("long").alias("begins"))
     pages = docs.select("doc_id", F.posexplode(lines).alias("pos", "line")).withColumn("s", F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - F.length("line") - 1)
-    listed = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("starts"))
-    return chunks.join(listed, "doc_id").select("doc_id", "begins", F.size(F.filter("starts", lambda x: x <= F.col("begins"))).alias("page"))
+    starts = pages.select("doc_id", F.col("s").cast("long").alias("begins"), (F.col("pos") + 1).alias("page"))
+    return G.asof(chunks, starts, ["doc_id"], "begins", ["page"]).select("doc_id", "begins", "page")
 
 
 @query("""WITH s AS (SELECT source, lang AS phrasing, toxic IS NOT NULL AS held, CASE WHEN toxic IS NOT NULL THEN 1 + (n_chars > 500)::INT + 5 * (n_chars > 5000)::INT END AS rank, CASE WHEN quality = 1 THEN toxic = 0 END AS exact FROM documents LEFT JOIN labels USING (doc_id))

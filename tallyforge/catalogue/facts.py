@@ -72,12 +72,23 @@ def filed_candidates(read, spark):
     return K.candidates(asked, b, A.mostly_instants(b), 2)
 
 
-@query("""WITH m AS (SELECT * FROM (VALUES ('NetProfitMargin', 'Net profit over revenue'), ('RevenueGrowth', 'Growth of revenue'), ('DebtToEquity', 'Debt to equity')) t(name, label)), q AS (SELECT * FROM (VALUES (1, 'revenue growth'), (2, 'DebtToEquity'), (3, 'profit'), (4, 'cash flow'), (5, 'what was the net margin')) t(query_id, what))
-SELECT * FROM (VALUES (1, 'RevenueGrowth', 1, TRUE), (1, 'NetProfitMargin', 2, FALSE), (2, 'DebtToEquity', 1, TRUE), (3, 'NetProfitMargin', 1, TRUE), (5, 'NetProfitMargin', 1, TRUE)) t(query_id, name, rank, holds)""")
+@query(
+    """WITH p AS (SELECT p_partkey AS query_id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_partkey % 4 AS k FROM part),
+    m AS (SELECT DISTINCT upper(a[1]) || a[2:] || upper(b[1]) || b[2:] AS name, list_distinct([a, b, a || b, 'the']) AS own FROM p),
+    q AS (SELECT query_id, CASE WHEN k = 0 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] END AS exactly,
+            list_distinct(CASE k WHEN 0 THEN [a, b, a || b] WHEN 1 THEN [a, b] WHEN 2 THEN [a, 'zz'] ELSE ['unheard'] END) AS asked FROM p),
+    s AS (SELECT query_id, name, len(list_intersect(asked, own)) AS shared, len(asked) AS n, coalesce(exactly = name, FALSE) AS exact FROM q, m WHERE list_has_any(asked, own))
+    SELECT query_id, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, shared DESC, name) AS INTEGER) AS rank, exact OR shared = n AS holds FROM s"""
+)
 def metrics_named(read, spark):
-    metrics = spark.createDataFrame([("NetProfitMargin", "Net profit over revenue"), ("RevenueGrowth", "Growth of revenue"), ("DebtToEquity", "Debt to equity")], "name string, label string")
-    questions = spark.createDataFrame([(1, "revenue growth"), (2, "DebtToEquity"), (3, "profit"), (4, "cash flow"), (5, "what was the net margin")], "query_id int, what string")
-    return K.metrics_ranked(questions, metrics).select("query_id", "name", "rank", "holds")
+    """Parts' names are metrics; parts ask for theirs by name, in words, by one of its words, or for what no metric has."""
+    part, k = read("part"), F.col("p_partkey") % 4
+    a, b = F.split_part("p_name", l(" "), l(1)), F.split_part("p_name", l(" "), l(2))
+    camel = F.concat(F.initcap(a), F.initcap(b))
+    metrics = part.select(camel.alias("name"), F.concat(l("the "), F.col("p_name")).alias("label")).distinct()
+    what = F.when(k == 0, camel).when(k == 1, F.concat(l("what was the "), F.col("p_name"))).when(k == 2, F.concat(a, l(" zz"))).otherwise("unheard of")
+    found = K.metrics_ranked(part.select(F.col("p_partkey").alias("query_id"), what.alias("what")), metrics)
+    return found.select("query_id", "name", "rank", "holds")
 
 
 def library() -> Metrics:
@@ -116,10 +127,24 @@ def metrics_computed(read, spark):
     return out
 
 
-@query("""SELECT * FROM (VALUES ('Margin', 'flow', TRUE, FALSE), ('RevenueGrowth', 'flow', FALSE, FALSE), ('Both', 'flow', TRUE, FALSE), ('AverageAssets', 'mixed', FALSE, TRUE), ('Turnover', 'mixed', FALSE, TRUE)) t(name, kind, one_time, opening)""")
+@query(
+    """SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'flow' WHEN 1 THEN 'flow' WHEN 2 THEN 'snapshot' ELSE 'mixed' END AS kind, n_nationkey % 5 IN (0, 2, 4) AS one_time, n_nationkey % 5 = 3 AS opening FROM nation
+    UNION ALL SELECT 'share of ' || n_name, CASE n_nationkey % 5 WHEN 0 THEN 'flow' ELSE 'mixed' END, n_nationkey % 5 IN (0, 2, 4), n_nationkey % 5 = 3 FROM nation WHERE n_nationkey % 5 <> 1"""
+)
 def metric_kinds(read, spark):
-    lib = library()
-    return spark.createDataFrame([(n, lib.kind(n, {"assets"}), lib.one_time(n), lib.reads_opening(n)) for n in lib.by_name], "name string, kind string, one_time boolean, opening boolean")
+    """A metric a nation, by its key a ratio or growth of flows, a ratio or average of balances, or a ratio of both; and one on top
+    of each that compares no times, over a flow."""
+    shapes = (
+        ("ratio", {"numerator": ("profit", "current"), "denominator": ("revenue", "current")}),
+        ("growth", {"current": ("revenue", "current"), "previous": ("revenue", "previous")}),
+        ("ratio", {"numerator": ("cash", "current"), "denominator": ("assets", "current")}),
+        ("average", {"first": ("assets", "current"), "second": ("assets", "opening")}),
+        ("ratio", {"numerator": ("profit", "current"), "denominator": ("assets", "current")}),
+    )
+    rows = read("nation").select("n_name", "n_nationkey").orderBy("n_nationkey").collect()  # definitions are few
+    named = [Metric.of(r.n_name, *shapes[r.n_nationkey % 5]) for r in rows]
+    lib = Metrics(named + [Metric.of(f"share of {m.name}", "ratio", {"numerator": (m.name, "current"), "denominator": ("revenue", "current")}) for r, m in zip(rows, named, strict=True) if r.n_nationkey % 5 != 1])
+    return spark.createDataFrame([(n, lib.kind(n, {"assets", "cash"}), lib.one_time(n), lib.reads_opening(n)) for n in lib.by_name], "name string, kind string, one_time boolean, opening boolean")
 
 
 @query("""WITH c AS (SELECT 'T' || o_custkey % 20 AS ticker, CAST(date_trunc('month', o_orderdate) AS DATE) AS e, o_orderkey AS filing, o_totalprice AS p, 1 + o_orderkey % 3 AS v FROM orders) SELECT ticker, e AS period_end, round(max(p / v), 6) AS count FROM c GROUP BY 1, 2""")

@@ -84,11 +84,14 @@ def unresolved(mentions: DataFrame) -> DataFrame:
 
 
 def majority(rows: DataFrame, label: str) -> DataFrame:
-    """The commonest label of all other rows (ties: the first in the alphabet), for each row. Labels are few: their counts are
-    one array."""
-    counted = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("n", F.col(label).alias("l"))).alias("all"))
-    mine = F.transform("all", lambda x: F.struct((-(x["n"] - (x["l"] == F.col(label)).cast("long"))).alias("n"), x["l"].alias("l")))
-    return rows.join(F.broadcast(counted), F.lit(True)).withColumn("majority", F.array_min(mine)["l"]).drop("all")
+    """The commonest label of all other rows (ties: the first in the alphabet), for each row. Two labels decide: a row takes one
+    from its own label's count, so that the second can be the commonest for rows of the first alone."""
+    best = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(2).collect()
+    if not best:
+        return rows.withColumn("majority", F.lit(None).cast(rows.schema[label].dataType))
+    (first, n), (second, m) = best[0], best[-1]
+    less = F.lit(second if len(best) > 1 and (n - 1 < m or (n - 1 == m and second < first)) else first)
+    return rows.withColumn("majority", F.when(F.col(label) == first, less).otherwise(F.lit(first)))
 
 
 def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -73,9 +73,11 @@ LETTERS = "etaoinshrdlucmfwyp"
 
 def letter_vector(text):
     """A stand-in for a model: how often each of some letters stands in a text, as a vector of unit length."""
-    low = F.lower(text)
-    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS], F.lit(1.0))
-    return let(counts, lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))))
+    # within lambdas nothing is shared, so what is used often is named
+    count = lambda low, c: (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
+    counts = let(F.lower(text), lambda low: F.array(*[count(low, c) for c in LETTERS], F.lit(1.0)))
+    scaled = lambda v, length: F.transform(v, lambda x: x / length)
+    return let(counts, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), lambda length: scaled(v, length)))
 
 
 def letter_sql(text: str) -> str:
@@ -102,8 +104,9 @@ def hybrid_rrf(read, spark):
 @query(f"""WITH {bm25_sql(5)}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM ranked WHERE doc_id % 3 = query_id % 3) SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS rank FROM c WHERE place <= 3""")
 def scoped_topk(read, spark):
     docs, asked = read("documents").filter("text IS NOT NULL").select("doc_id", "text"), bench(read)
-    scope = asked.select("query_id", (F.col("query_id") % 3).alias("r")).join(docs.select("doc_id", (F.col("doc_id") % 3).alias("r")), "r")
-    return R.scoped(R.Terms(docs, asked).scored(1.5, 0.75), scope, 3).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    scores = R.Terms(docs, asked).scored(1.5, 0.75)
+    found = R.scoped_by(scores, asked.select("query_id", (F.col("query_id") % 3).alias("r")), docs.select("doc_id", (F.col("doc_id") % 3).alias("r")), 3)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.catalogue.core import bench, bm25_sql
-from tallyforge.operators import lineage
+from tallyforge.operators import identity, lineage
 from tallyforge.operators.journal import Journal
 from tallyforge.operators.postings import Postings
 from tallyforge.plans import build
@@ -171,3 +171,17 @@ def proposals_judged(read, spark):
     held = proposals.filter(F.col("fact_id").cast("long") % 11 == 0).select("name", "ticker", "period_end")
     good, _, bad = lineage.written_back(proposals, plan, facts, held)
     return good.select("fact_id", l(None).cast("string").alias("reason")).unionByName(bad.select("fact_id", "reason"))
+
+
+CANON = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 's' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "text", "lang", "n_chars"))
+
+
+@query(
+    f"""WITH h AS (SELECT source, sha256({CANON}) AS h, count(*) AS n FROM documents GROUP BY ALL),
+    a AS (SELECT source, h[1:6] AS p, sha256(string_agg(h || ':' || n, '' ORDER BY h)) AS h, sum(n) AS n FROM h GROUP BY ALL),
+    b AS (SELECT source, p[1:3] AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM (SELECT source, p AS q, h, n, p FROM a) GROUP BY source, p[1:3])
+    SELECT source, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM b GROUP BY source"""
+)
+def source_digests(read, spark):
+    """What each source's documents are, whatever their order."""
+    return identity.digests(read("documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])

@@ -9,6 +9,7 @@ from tallyforge.functions import printed as N
 from tallyforge.functions.binding import let
 from tallyforge.functions.labels import label_share, per_share_row, table_cell
 from tallyforge.functions.periods import months_of
+from tallyforge.sizes import placed
 
 #: Least label share, digits that make a figure distinctive, facts that a person ticks of a group.
 LABEL_SHARE, DISTINCT_DIGITS, SPOTS = 0.6, 5, 3
@@ -93,12 +94,8 @@ def issue_of(value: Column, outcome: Column, printed: Column) -> Column:
 
 
 def numbered(groups_: DataFrame, size: str, by: list[str], name: str = "number") -> DataFrame:
-    """Rows numbered from 1 by falling ``size``, then ``by``. Rows of a size are numbered within it, and sizes, of which there
-    are few, take their beginnings from a running sum; so no task needs all rows."""
-    within = groups_.withColumn("within", F.row_number().over(Window.partitionBy(size).orderBy(*by)))
-    sizes = groups_.groupBy(size).agg(F.count("*").alias("rows"))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("rows")
-    return within.join(starts, size).withColumn(name, (F.col("before") + F.col("within")).cast("int")).drop("before", "within")
+    """Rows numbered from 1 by falling ``size``, then ``by``; no task needs all rows, nor all of a size."""
+    return placed(groups_, [F.desc(size), *by]).withColumn(name, (F.col("place") + 1).cast("int")).drop("place")
 
 
 def groups(outcomes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import printed as N
+from tallyforge.sinks.snapshots import written
 
 #: A line that opens a block by its number, a year alone, and how far back a scale is looked for.
 MAIN_LINE = r"^\s*(?:[IVX]{1,5}|[A-H])[.)]?\s"
@@ -65,7 +66,7 @@ def sheets(tables: DataFrame, texts: DataFrame) -> DataFrame:
     next page, goes on under that one's columns and heading. Rows without figures and numbered main lines open blocks; a
     block's first figure row without a label takes its heading. Figures stand under the dated columns in order if there
     is one for each, else under their own column. ``alone``: no other column of the table ends that day."""
-    cells = exploded(tables)
+    cells = written(exploded(tables), "cells")  # numbers are read once
     counted = cells.groupBy(*TABLE, "r").agg(F.count("number").alias("n"), F.max("c").alias("widest"))
     shape = counted.groupBy(*TABLE).agg(F.min(F.when(F.col("n") >= 2, F.col("r"))).alias("first"), (F.max("widest") + 1).alias("width"))
     order = Window.partitionBy("document").orderBy("sheet")
@@ -91,7 +92,7 @@ def sheets(tables: DataFrame, texts: DataFrame) -> DataFrame:
     start = Window.partitionBy("document", "run").orderBy("sheet")
     # a run whose first table has no dates has nothing to hand on: each of its tables is a run of its own
     t = t.withColumn("columns", F.first("columns").over(start)).withColumn("run", F.when(F.col("columns").isNull(), -1 - F.col("sheet")).otherwise(F.col("run")))
-    t = t.withColumn("line", F.first("line").over(start)).drop("opens", "usual", "width")
+    t = written(t.withColumn("line", F.first("line").over(start)).drop("opens", "usual", "width"), "tables")
 
     figure = F.col("number").isNotNull() & (F.trim("text") != "") & ~N.is_serial(F.col("c"), F.col("text"))
     words = F.when(~figure & ~N.is_serial(F.col("c"), F.col("text")), F.nullif(F.col("text"), F.lit("")))

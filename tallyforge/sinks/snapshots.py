@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, worked out once and read again from the shared folder: for what several branches of a plan need, and where a
+    plan grows too long. A lost executor loses nothing of it."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Conflict(RuntimeError):
     """Another commit came first."""
 

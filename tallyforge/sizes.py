@@ -82,7 +82,7 @@ def placed(rows: DataFrame, order: list, by: list[str] | None = None, value: str
     for c in by:
         keys = keys & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     side = before.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], "_before", *(["_sum"] if value else []))
-    out = inner.join(F.broadcast(side), keys).withColumn(name, F.col("_before") + F.col("_i"))  # a row a range and group
+    out = inner.join(sized(side), keys).withColumn(name, F.col("_before") + F.col("_i"))
     if value:
         out = out.withColumn("total", F.col("_sum") + F.col("_v"))
     return out.select(*rows.columns, name, *(["total"] if value else []))

@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import lineage, lookup, ranges, retrieval
+from tallyforge.operators import identity, lineage, lookup, ranges, retrieval
 from tallyforge.operators import postings as P
 from tallyforge.operators.journal import Journal
 from tallyforge.plans import build
@@ -242,3 +242,31 @@ def test_sessions_as_state(spark, tmp_path):
     over = {s for s in whole if s[1] < newest - dt.timedelta(days=3)}
     assert len(got) == len(set(got)) and set(got) <= whole and over <= set(got)
     assert sum(p.numInputRows for p in run.recentProgress) == 1000
+
+
+def test_digests_of_rows(spark):
+    """Order doesn't count; numbers of equal rows, nulls and the borders of columns do."""
+    rows = [(i, f"text {i}", None) for i in range(300)] + [(1, "a", "b")] * 50
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    d = lambda x: identity.digest(spark.createDataFrame(x, df.schema), ["id", "a", "b"])
+    whole = d(rows)
+    assert d(rows[::-1]) == whole and len(whole) == 64
+    others = [rows[:-1], [*rows, rows[0]], [(1, "ab", "")], [(1, "a", "b")], [(1, "", "ab")], [(1, None, "b")], [(1, "n", "b")], []]
+    assert len({whole, *map(d, others)}) == len(others) + 1
+    by = {r.a: (r.rows, r.digest) for r in identity.digests(df.filter("id < 5"), ["id", "b"], ["a"]).collect()}
+    assert by["a"][0] == 50 and len(by) == 6 and len({x for _, x in by.values()}) == 6
+    assert identity.joined([("x", "1")]) == ("x", "1") and identity.joined([("x", "1"), ("y", "2")])[0] == "x+y"
+    assert identity.joined([("x", "1"), ("y", "2")])[1] != identity.joined([("y", "2"), ("x", "1")])[1]
+
+
+def test_runs_are_united_if_they_are_of_the_same(spark):
+    rows = lambda v: spark.createDataFrame([(v, 1, True), (v, 2, False)], "variant string, case_id int, passed boolean")
+    run = lambda v, cases="d1", began="2026-01-01", **graders: identity.Run(rows(v), cases, {"exact": "1"} | graders, began)
+    assert identity.united([run("a"), run("b"), run("c")]).count() == 6
+    for other, why in ((run("b", "d2"), "cases"), (run("b", exact="2"), "exact"), (run("b", more="1"), "more"), (run("a"), "several runs: a")):
+        with pytest.raises(ValueError, match=why):
+            identity.united([run("a"), other])
+    assert identity.newest([run("a"), run("b", began="2026-02-01"), run("c", began="2026-02-01")]).rows.first().variant == "c"
+    log = spark.createDataFrame([("r1", 1, "x", 1), ("r2", 2, "x", 2), ("r2", 2, "x", 3), ("r1", 1, None, 4)], "run string, at int, g string, n int")
+    assert sorted(r.n for r in identity.newest_rows(log, "run", "at").collect()) == [2, 3]
+    assert sorted(r.n for r in identity.newest_rows(log, "run", "at", ["g"]).collect()) == [2, 3, 4]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.catalogue.core import bench, bm25_sql
-from tallyforge.operators import identity, lineage
+from tallyforge.operators import crossval, identity, lineage
+from tallyforge.operators.classifier import folded
 from tallyforge.operators.journal import Journal
 from tallyforge.operators.postings import Postings
 from tallyforge.plans import build
@@ -185,3 +186,16 @@ CANON = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 's' || strlen(CAST({c}
 def source_digests(read, spark):
     """What each source's documents are, whatever their order."""
     return identity.digests(read("documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])
+
+
+@query(
+    """WITH r AS (SELECT doc_id, ('0x' || md5('7:' || doc_id)[1:8])::BIGINT % 5 AS fold, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    t AS (SELECT fold, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM r WHERE w IS NOT NULL),
+    c AS (SELECT fold, doc_id, term, count(*) AS n FROM t GROUP BY ALL)
+    SELECT CAST(fold AS INTEGER) AS fold, count(DISTINCT doc_id) AS rows, count(DISTINCT term) AS terms, count(*) AS entries, CAST(sum(n) AS BIGINT) AS counted FROM c GROUP BY fold"""
+)
+def fold_terms(read, spark):
+    """The folds of all documents, and the words and pairs that a fold's rows count."""
+    rows = folded(read("documents").select(F.col("doc_id").alias("key"), "text"))
+    counts = crossval.term_counts(rows).join(rows.select("key", "fold"), "key")
+    return counts.groupBy("fold").agg(F.count_distinct("key").alias("rows"), F.count_distinct("term").alias("terms"), F.count("*").alias("entries"), F.sum("n").alias("counted"))

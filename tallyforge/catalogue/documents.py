@@ -127,3 +127,35 @@ def table_columns(read, spark):
     t = reports(read).select("doc_id", F.col("tables")[0].alias("t"))
     joined = labels.percent_joined(F.array(l("12"), l("5"), l("%"), l("x")))
     return t.select("doc_id", H.column_headers(F.col("t.rows"), F.col("t.header_rows")).alias("headers"), F.transform(joined, lambda x: F.replace(x, l("5%"), l("s_suppkey%"))).alias("joined"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT l_orderkey || '/' || l_linenumber AS fact_id, (l_orderkey + l_linenumber) % 9 AS k, 1 + l_orderkey % 900 AS p FROM lineitem)
+    SELECT fact_id, CASE WHEN k IN (0, 1, 2, 3, 5, 8) THEN 'agree' WHEN k = 4 THEN 'differ' ELSE 'unmatched' END AS outcome,
+      CASE WHEN k IN (0, 3, 5, 8) THEN 'label' WHEN k = 1 THEN 'distinct' WHEN k = 2 THEN 'per-share' END AS rule, CASE WHEN k IN (6, 7) THEN NULL WHEN k = 8 THEN 2 ELSE 1 END AS "row",
+      CASE WHEN k IN (0, 4, 5, 8) THEN CAST(p AS VARCHAR) WHEN k = 1 THEN CAST(12000 + p AS VARCHAR) WHEN k = 2 THEN p || '.5' WHEN k = 3 THEN p || '.5 %' END AS printed FROM f"""
+)
+def crosscheck_rules(read, spark):
+    """Every line of an order is a fact with a document of its own, and by its number what the document prints: the figure beside its
+    label, a distinctive one beside another, one a share, a percentage, the wrong scale, the same twice, another figure, one of
+    few digits beside another label, and one whose first row names the wrong thing."""
+    k, p = F.col("k"), F.col("p")
+    lines = read("lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("fact_id"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 9).alias("k"), (1 + F.col("l_orderkey") % 900).alias("p")).distinct()
+    pure, share = k == 3, k == 2
+    value = F.when(pure, (p + 0.5) / 100).when(share, p + 0.5).when(k == 4, p * 1e5).when(k == 1, (12000 + p) * 1e7).otherwise(p * 1e7)
+    labels = F.when(share, F.array(l("Basic earnings per equity share from continuing operations, restated"))).otherwise(F.array(l("Sales of services")))
+    facts = lines.select("fact_id", F.col("fact_id").alias("document"), l("standalone").alias("basis"), l(None).cast("date").alias("period_start"), l("1995-03-31").cast("date").alias("period_end"), value.alias("value"), F.when(pure, "pure").when(share, "INRPerShare").otherwise("INR").alias("unit"), labels.alias("labels"), l(None).cast("string").alias("segment"))
+
+    def cell(at, label, printed, value, places=l(0)):
+        return F.struct(l(at).alias("row"), label.alias("label"), printed.alias("printed"), value.cast("double").alias("value"), places.alias("places"), F.endswith(printed, l("%")).alias("percent"))
+
+    own, other = l("Sales of services"), l("Cost of materials")
+    half = F.when(pure | share, 1).otherwise(0)
+    name = F.when(share, "Basic EPS (Rs)").when(k.isin(1, 6, 7, 8), other).otherwise(own)
+    printed = F.when(pure, F.concat(s("p"), l(".5 %"))).when(share, F.concat(s("p"), l(".5"))).when(k == 1, (12000 + p).cast("string")).when(k == 6, (p + 1).cast("string")).otherwise(s("p"))
+    number = F.when(pure | share, p + 0.5).when(k == 1, 12000 + p).when(k == 6, p + 1).otherwise(p)
+    cells = F.array(cell(0, l("Other income"), l("5000"), l(5000)), cell(1, name, printed, number, half), cell(2, own, F.when(k.isin(5, 8), s("p")).otherwise("4000"), F.when(k.isin(5, 8), p).otherwise(4000)))
+    # a second row with the label is there for some alone
+    cells = lines.select(F.col("fact_id").alias("document"), F.inline(F.when(k.isin(5, 8), cells).otherwise(F.slice(cells, 1, 2))))
+    cells = cells.select("*", l(0).alias("sheet"), l(1).alias("column"), l(1).alias("page"), l("").alias("heading"), l("1995-03-31").cast("date").alias("period_end"), l(12).alias("months"), l(True).alias("alone"), l("standalone").alias("basis"), l(1e7).alias("scale"))
+    return C.checked(facts, cells).select("fact_id", "outcome", "rule", "row", "printed")

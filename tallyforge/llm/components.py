@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least root among the neighbours and then follows the root's own root, so that chains
     halve; rounds end when nothing changes. Every round is checkpointed in the shared folder. Links and roots
-    never leave the executors. Loops and repeated edges are harmless."""
+    never leave the executors. Loops and repeated edges are harmless; ends must not
+    be null. Without edges there are no rows."""
     shared.shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     roots = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")).checkpoint()

@@ -97,7 +97,8 @@ def sharded(docs: DataFrame, *, shards: int = 8, folder: str | None = None, vers
     from 0 without gaps: the rows of the shard's virtual slots before its own, and then its place in that
     slot by key, checksum and size (rows alike in all three stand in any order). With ``version`` above 1,
     the map of the version before is edited, else one is planned. A null text has size 1 and checksum 0;
-    a null key has a slot like any other; an empty table gives no rows; equal keys share a slot."""
+    a null key has a slot like any other; an empty table gives no rows; equal keys share a slot. Equal texts of different keys
+    may part: a text that a third of all rows have would fill one shard."""
     spark = docs.sparkSession
     folder = folder or shared.fresh(spark, "slot-map")
     records = shared.materialised(measured(docs, text=text, key=key, slots=slots), "measured")

@@ -36,6 +36,23 @@ def graders(read, spark):
     return rows.select("id", scores.alias("scores")).select("id", F.explode("scores").alias("x")).select("id", "x.grader", "x.s.passed", "x.s.value")
 
 
+@query(
+    """WITH g AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k FROM orders)
+    SELECT id, 'answered' AS grader, k <> 0 AS passed, CASE WHEN k <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM g
+    UNION ALL SELECT id, 'cites_relevant', k IN (1, 2), CASE WHEN k IN (1, 2) THEN 1.0 WHEN k <> 4 THEN 0.0 END::DOUBLE FROM g
+    UNION ALL SELECT id, 'correct', k IN (1, 2, 3), NULL FROM g"""
+)
+def rag_grades(read, spark):
+    """Answers from passages: an abstention, citing what is relevant, citing it second, other things, without a label, it too late."""
+    k, own = F.col("o_orderkey") % 6, F.concat(l("p"), s("o_orderkey"))
+    cited = F.when(k == 1, F.array(own, own)).when(k == 2, F.array(l("x"), own)).when(k == 3, F.array(l("x"))).when(k == 4, F.array(own)).when(k == 5, F.array(l("x"), l("y"), own)).otherwise(F.array().cast("array<string>"))
+    got = F.struct((k != 0).alias("answered"), F.when(k == 0, l(None)).when(k <= 3, "right").otherwise("wrong").cast("string").alias("answer"), cited.alias("cited"))
+    label = F.struct(l("right").alias("answer"), F.when(k == 4, F.array().cast("array<string>")).otherwise(F.array(own, l("other"))).alias("relevant"))
+    rows = read("orders").select(F.col("o_orderkey").alias("id"), F.to_json(label).alias("expected"), F.to_json(got).alias("output"))
+    scores = F.array(*[F.struct(l(n).alias("grader"), g(F.col("expected"), F.col("output")).alias("s")) for n, g in Q.rag_graders(Q.exact_match(), 2).items()])
+    return rows.select("id", F.explode(scores).alias("x")).select("id", "x.grader", "x.s.passed", "x.s.value")
+
+
 def echo(text: str) -> str:
     given = json.loads(text)
     if given["n"] % 7 == 0:

@@ -168,6 +168,12 @@ def ranking(k: int, metric: str = "recall", retrieved: str = "retrieved", releva
     return grade
 
 
+def rag_graders(correct: Grader, k: int = 5) -> dict[str, Grader]:
+    """What an answer from found passages is judged by: whether the task says that it answered, which tells an abstention from a
+    wrong answer; whether a relevant passage is among the first ``k`` that it cites, not among those found; whether it is right."""
+    return {"answered": flag("answered"), "cites_relevant": ranking(k, "hit", retrieved="cited"), "correct": correct}
+
+
 def run(cases: DataFrame, variants: dict[str, Callable[[str], str]], graders: dict[str, Grader], *, limit: float | None = None) -> DataFrame:
     """``variant, case_id, output, error, cost, grader, passed, detail, value, parts`` of every case by every variant.
 

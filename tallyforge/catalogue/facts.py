@@ -173,10 +173,11 @@ def document_entries(read, spark):
     name = F.concat(l("results/S"), s("s_suppkey"), l("-2025-09-30."), F.when(k % 2 == 0, "pdf").otherwise("html"))
     manifest = read("supplier").select("s_suppkey", name.alias("name"), l("nse").alias("source"))
     pages = manifest.select("name", "s_suppkey", F.explode(F.sequence(l(1), l(20))).alias("page")).select("name", "page", F.when(F.col("page") <= F.col("s_suppkey") % 5, 10).otherwise(900).alias("letters"), ((F.col("page") > 10) & (F.col("page") <= 10 + F.col("s_suppkey") % 3)).alias("invisible"))
-    m = S.flagged(manifest, pages)
-    names = [f"S{i}" for i in range(2000) if i % 10 < 4]  # companies whose OCR text may be used
-    readings = S.readings(m, names).groupBy("name").agg(F.count("*").cast("int").alias("readings"))
-    one = m.select("name", S.origin(F.col("name")).alias("origin"), S.refusal(names).isNotNull().alias("refused"))
+    companies = read("supplier").filter(k % 10 < 4).select(F.concat(l("S"), s("s_suppkey")).alias("ticker"))  # whose OCR text may be used
+    m = S.with_ocr_companies(S.flagged(manifest, pages), companies)
+    usable = F.col("ocr_usable")
+    readings = S.readings(m, usable).groupBy("name").agg(F.count("*").cast("int").alias("readings"))
+    one = m.select("name", S.origin(F.col("name")).alias("origin"), S.refusal(usable).isNotNull().alias("refused"))
     return one.join(readings, "name").withColumn("kind", C.copy_kind(F.col("name"), F.col("origin")))
 
 

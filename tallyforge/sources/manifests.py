@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.binding import required
 from tallyforge.functions.labels import document_stem, ticker_of
+from tallyforge.sizes import sized
 
 #: The mark and engine of a second reading, shares and letters that make a page or a document a scan, verdicts.
 MARK, ENGINE = "#rapidocr", "rapidocr"
@@ -51,18 +52,30 @@ def origin(name: Column, version: str = "3") -> Column:
     return F.when(name.endswith(MARK), F.concat_ws("-", form, F.lit(ENGINE), F.lit(version))).when(_scans()[1], F.concat(form, F.lit("-ocr"))).otherwise(form)
 
 
-def refusal(ocr_tickers: list[str]) -> Column:
+def _usable(ocr: list[str] | Column) -> Column:
+    """Whether an entry's company is one whose OCR text may be used: of a list, or by a condition."""
+    return F.coalesce(ocr if isinstance(ocr, Column) else ticker_of(F.col("name")).isin(ocr), F.lit(False))
+
+
+def with_ocr_companies(manifest: DataFrame, companies: DataFrame) -> DataFrame:
+    """Entries with ``ocr_usable``: whether their company is one of a table of any length (``ticker``)."""
+    listed = companies.select(F.col("ticker").alias("_ticker"), F.lit(True).alias("_listed")).distinct()
+    rows = manifest.withColumn("_ticker", ticker_of(F.col("name"))).join(sized(listed), "_ticker", "left")
+    return rows.withColumn("ocr_usable", F.coalesce("_listed", F.lit(False))).drop("_ticker", "_listed")
+
+
+def refusal(ocr: list[str] | Column) -> Column:
     """Why an entry can't be read; null if it can: it isn't flagged, or a scan, unless it has OCR text and a company whose text
-    may be used."""
+    may be used (a list of companies, or a condition)."""
     flagged = F.col("format").isNotNull() & F.col("pages").isNotNull() & F.col("text_less_pages").isNotNull() & F.col("ocr_pages").isNotNull()
-    scan, ocr = _scans()
-    allowed = ocr & ticker_of(F.col("name")).isin(ocr_tickers)
+    scan, own = _scans()
+    allowed = own & _usable(ocr)
     return F.when(~flagged, "not flagged yet").when((F.col("format") != "html") & scan & ~allowed, F.concat(F.lit("a scan: no text on pages "), F.array_join(F.col("text_less_pages").cast("array<string>"), ", "), F.when(F.size("ocr_pages") > 0, F.concat(F.lit("; OCR text on pages "), F.array_join(F.col("ocr_pages").cast("array<string>"), ", "))).otherwise("")))
 
 
-def readings(manifest: DataFrame, ocr_tickers: list[str]) -> DataFrame:
+def readings(manifest: DataFrame, ocr: list[str] | Column) -> DataFrame:
     """Entries with each ``reading`` of theirs: the document itself, and a second one of a company's scan."""
-    second = (F.col("format") == "pdf") & _scans()[0] & F.coalesce(ticker_of(F.col("name")).isin(ocr_tickers), F.lit(False))
+    second = (F.col("format") == "pdf") & _scans()[0] & _usable(ocr)
     return manifest.select("*", F.explode(F.when(F.coalesce(second, F.lit(False)), F.array("name", F.concat("name", F.lit(MARK)))).otherwise(F.array("name"))).alias("reading"))
 
 

@@ -30,9 +30,15 @@ def worst_case(price: Column, tokens: Column, most: Column, *, cached: bool = Fa
     return cost(price, F.lit(0), most, written=tokens, written_hour=tokens if hour else None, searches=searches, batched=batched)
 
 
-def affordable_output(price: Column, tokens: Column, limit: Column, **how) -> Column:
-    """The most output tokens whose worst case stays within a limit, less one for rounding."""
-    spare = limit - worst_case(price, tokens, F.lit(0), **how)
+def affordable_output(price: Column, tokens: Column, limit: Column, *, cached: bool = False, hour: bool = False, searches: Column | None = None, batched: Column | None = None) -> Column:
+    """The most output tokens whose worst case stays within a limit, less one for rounding. Tokens are brought to millions
+    before they meet the price, as the order of the factors decides the last bits and so whole tokens."""
+    share = F.lit(1e-6) if batched is None else F.when(batched, 1e-6 * BATCHED).otherwise(1e-6)
+    tokens = tokens if searches is None else tokens + searches * SEARCH_TOKENS
+    spent = share * tokens * price["input"]
+    if cached:
+        spent = spent * (WRITE_HOUR if hour else WRITE)
+    spare = limit - (spent if searches is None else searches * SEARCH + spent)
     return F.when(price.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(spare / (price["output"] * 1e-6)) - 1)).cast("long")
 
 

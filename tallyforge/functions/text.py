@@ -23,6 +23,11 @@ def squeeze(text: Column) -> Column:
     return casefold(F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+([,.;:!?%)\]])", "$1"), r"(?U)\s+", " ")))
 
 
+def spaced(text: Column) -> Column:
+    """The bare form for comparing quotes: lower case and single spaces for runs of blanks, tabs and line ends; marks stay."""
+    return F.lower(F.regexp_replace(F.trim(text), r"[\t\n\f\r ]+", " "))
+
+
 def skeleton(line: Column) -> Column:
     """A line with its digits masked."""
     return F.regexp_replace(F.trim(line), r"\d+", "#")

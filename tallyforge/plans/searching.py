@@ -85,11 +85,11 @@ def chunkings_compared(cases: DataFrame, inventories: dict[str, DataFrame], rank
     return E.report(E.combined(runs))
 
 
-def questions_verified(questions: DataFrame, docs: DataFrame, least: int = 25) -> DataFrame:
+def questions_verified(questions: DataFrame, docs: DataFrame, least: int = 25, fold: Callable[[Column], Column] = squeeze) -> DataFrame:
     """``question_id, refusal`` of written questions (``question_id, doc_id, usable, question, quote``): the first reason why one can't be
-    used. Its quote must be long enough, stand in its document word for word, in no other one, and not in the question."""
-    q = questions.withColumn("folded", squeeze(F.col("quote")))
-    hits = R.resolve_quotes(q.filter(F.length("folded") >= least).select(F.col("question_id").alias("quote_id"), "quote"), docs)
+    used. Its quote must be long enough, stand in its document word for word, in no other one, and not in the question, all compared as ``fold`` has them."""
+    q = questions.withColumn("folded", fold(F.col("quote")))
+    hits = R.resolve_quotes(q.filter(F.length("folded") >= least).select(F.col("question_id").alias("quote_id"), "quote"), docs, fold)
     where = hits.groupBy(F.col("quote_id").alias("question_id")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("held"))
     rows = q.join(where, "question_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
     others = F.array_sort(F.array_except("held", F.array(F.col("doc_id").cast("string"))))
@@ -99,7 +99,7 @@ def questions_verified(questions: DataFrame, docs: DataFrame, least: int = 25) -
         .when(blank("question") | blank("quote"), "question or quote is empty")
         .when(F.length("folded") < least, "the quote is too short")
         .when(~F.array_contains("held", F.col("doc_id").cast("string")), "the quote is not in the document")
-        .when(F.contains(squeeze(F.col("question")), F.col("folded")), "the question contains its own answer")
+        .when(F.contains(fold(F.col("question")), F.col("folded")), "the question contains its own answer")
         .when(F.size(others) > 0, F.concat(F.lit("the quote also appears in "), F.array_join(others, ", ")))
     )
     return rows.select("question_id", why.alias("refusal"))

@@ -44,3 +44,11 @@ def test_affordable_output_where_the_last_bits_decide(spark):
     got = many.select("id", costs.affordable_output(price, F.col("id"), F.lit(0.05)).alias("n"))
     wrong = [r.id for r in got.collect() if r.n != max(0, math.floor((0.05 - 1e-6 * r.id * 5.0) / (25.0 * 1e-6)) - 1)]
     assert not wrong
+
+
+def test_questions_are_verified_with_marks_as_they_are(spark, tmp_path):
+    """A document that holds an item but for a curly mark, a space before a comma or one that isn't ASCII holds it not."""
+    item = "SELECT item_id + 3 - item_id % 5 AS item_id, 'one two, three \"four\" five six seven eight' AS text FROM '{old}' LIMIT 1"
+    texts = ["x one two, three “four” five six seven eight y", "x one two , three \"four\" five six seven eight y", "x one two, three \"four\" five six seven eight y", "x One  two,\nthree \"four\" five six seven eight y"]
+    rows = " UNION ALL ".join(f"SELECT {2 * i} AS doc_id, '{t}' AS text, 'en' AS lang, 's' AS source, 1 AS n_chars" for i, t in enumerate(texts, 1))
+    same_as_sql(spark, "questions_verified", folder(tmp_path, benchmark=item, documents=rows))

@@ -13,6 +13,7 @@ from tallyforge.operators import grading as Q
 from tallyforge.operators import headlines as H
 from tallyforge.operators import sampling as S
 from tallyforge.register import query
+from tallyforge.sizes import dealt
 
 l = F.lit  # noqa: E741
 s = lambda c: F.col(c).cast("string")
@@ -30,7 +31,7 @@ def graders(read, spark):
     answer = F.when(k == 0, p).when(k == 1, F.concat(l("  "), F.upper(p))).when(k == 2, F.concat(p, l(" it is"))).when(k == 3, "planted")
     got = F.struct(answer.alias("answer"), F.when(k == 0, F.col("o_orderkey")).when(k < 4, l(-1)).alias("n"), (F.when(k < 4, F.col("o_orderstatus") == "F")).alias("done"), F.when(k < 4, F.array(l("search"), F.when(k < 2, "calculate").otherwise("write"))).alias("tools"), F.when(k < 4, F.array(l("a"), l("a"), l("b"), F.when(k < 2, "c").otherwise("d"))).alias("retrieved"))
     label = F.struct(p.alias("answer"), F.col("o_orderkey").alias("n"), F.array(F.lower(p)).alias("includes"), F.array(l("Planted")).alias("excludes"), F.array(l("search"), l("calculate")).alias("tools"), F.array(l("write")).alias("forbid"), F.when(k == 2, F.array().cast("array<string>")).otherwise(F.array(l("a"), l("c"))).alias("relevant"))
-    rows = read("orders").select(F.col("o_orderkey").alias("id"), F.to_json(label).alias("expected"), F.to_json(got).alias("output"))
+    rows = dealt(read("orders")).select(F.col("o_orderkey").alias("id"), F.to_json(label).alias("expected"), F.to_json(got).alias("output"))
     made = {"exact": Q.exact_match(), "contains": Q.contains(), "includes": Q.includes(), "excludes": Q.excludes(), "regex": Q.regex(pattern=r"^\d-[A-Z ]*[A-Z]( it is)?$"), "valid": Q.valid("answer string, n bigint"), "fields": Q.field_match(["answer", "n"]), "flag": Q.flag("done"), "tools": Q.right_tools(), "resolvable": Q.resolvable(), "recall": Q.ranking(3)}
     scores = F.array(*[F.struct(l(n).alias("grader"), g(F.col("expected"), F.col("output")).alias("s")) for n, g in made.items()])
     return rows.select("id", scores.alias("scores")).select("id", F.explode("scores").alias("x")).select("id", "x.grader", "x.s.passed", "x.s.value")
@@ -48,7 +49,7 @@ def rag_grades(read, spark):
     cited = F.when(k == 1, F.array(own, own)).when(k == 2, F.array(l("x"), own)).when(k == 3, F.array(l("x"))).when(k == 4, F.array(own)).when(k == 5, F.array(l("x"), l("y"), own)).otherwise(F.array().cast("array<string>"))
     got = F.struct((k != 0).alias("answered"), F.when(k == 0, l(None)).when(k <= 3, "right").otherwise("wrong").cast("string").alias("answer"), cited.alias("cited"))
     label = F.struct(l("right").alias("answer"), F.when(k == 4, F.array().cast("array<string>")).otherwise(F.array(own, l("other"))).alias("relevant"))
-    rows = read("orders").select(F.col("o_orderkey").alias("id"), F.to_json(label).alias("expected"), F.to_json(got).alias("output"))
+    rows = dealt(read("orders")).select(F.col("o_orderkey").alias("id"), F.to_json(label).alias("expected"), F.to_json(got).alias("output"))
     scores = F.array(*[F.struct(l(n).alias("grader"), g(F.col("expected"), F.col("output")).alias("s")) for n, g in Q.rag_graders(Q.exact_match(), 2).items()])
     return rows.select("id", F.explode(scores).alias("x")).select("id", "x.grader", "x.s.passed", "x.s.value")
 

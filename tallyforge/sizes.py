@@ -61,6 +61,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores, for work that takes far longer than a shuffle of what it reads: splits of a file can
+    be as many as the cores and yet hold all rows in one."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def placed(rows: DataFrame, order: list, by: list[str] | None = None, value: str | None = None, name: str = "place") -> DataFrame:
     """Rows with their place from 0 in an order, within each group of ``by`` if given, and with ``value`` the sum of it up to
     the row as ``total``.

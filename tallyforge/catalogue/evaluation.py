@@ -227,7 +227,7 @@ def usage_read(read, spark):
     block = lambda kind, name, url=None: F.struct(l(kind).alias("type"), l(name).alias("name"), (F.array(F.struct(url.alias("url")), F.struct(url.alias("url"))) if url is not None else l(None).cast("array<struct<url:string>>")).alias("content"))
     blocks = F.to_json(F.when(even, F.array(block("text", None), block("tool_use", "search"), block("server_tool_use", "calc"), block("web_search_tool_result", None, F.concat(l("u"), s("l_suppkey"))))).otherwise(F.array(block("tool_use", "search"))))
     u, v = W.usage_of_blocks(one), W.usage_of_completion(two)
-    rows = read("lineitem").filter("l_partkey >= 5").select(F.col("l_orderkey").alias("k"), k.alias("n"), u.alias("u"), v.alias("v"), W.tools_called(blocks).alias("called"), W.pages_returned(blocks).alias("pages"))
+    rows = dealt(read("lineitem").filter("l_partkey >= 5").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select(F.col("l_orderkey").alias("k"), k.alias("n"), u.alias("u"), v.alias("v"), W.tools_called(blocks).alias("called"), W.pages_returned(blocks).alias("pages"))
     return rows.select("k", "n", "u.input", "u.output", "u.written", F.col("u.written_hour").alias("hour"), F.col("u.read").alias("read_"), "u.searches", F.col("v.input").alias("input_2"), "called", "pages")
 
 

@@ -10,6 +10,7 @@ from tallyforge.functions import citations, costs, labels, python, scopes, times
 from tallyforge.functions import printed as N
 from tallyforge.operators import lookup as K
 from tallyforge.register import query
+from tallyforge.sizes import dealt
 
 s = lambda c: F.col(c).cast("string")
 l = F.lit  # noqa: E741
@@ -184,4 +185,4 @@ def period_texts(read, spark):
 @query("""SELECT p_partkey, CAST(p_size * 2 + 1 AS DOUBLE) AS calculated, CAST(p_size AS DOUBLE) * 1000 AS factor, 0.5 * 1e7 AS allowed, len(rtrim(CAST(p_size AS VARCHAR), '0')) AS digits FROM part""")
 def arithmetic_texts(read, spark):
     z = F.col("p_size").cast("string")
-    return read("part").select("p_partkey", python.calculated(F.concat(l("("), z, l(" * 4 + 2) / 2"))).alias("calculated"), python.multiplier(F.concat(z, l(" * 10 ** 3"))).alias("factor"), python.tolerance_of(F.concat(z, l(" * 10**7")), l(1.0)).alias("allowed"), python.significant(F.col("p_size").cast("double")).cast("bigint").alias("digits"))
+    return dealt(read("part").select("p_partkey", "p_size")).select("p_partkey", python.calculated(F.concat(l("("), z, l(" * 4 + 2) / 2"))).alias("calculated"), python.multiplier(F.concat(z, l(" * 10 ** 3"))).alias("factor"), python.tolerance_of(F.concat(z, l(" * 10**7")), l(1.0)).alias("allowed"), python.significant(F.col("p_size").cast("double")).cast("bigint").alias("digits"))

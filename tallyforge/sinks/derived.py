@@ -8,11 +8,13 @@ from __future__ import annotations
 import hashlib
 import inspect
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sinks.files import _paths
 from tallyforge.sinks.snapshots import Tables
 
 #: Bytes of content that a batch derives from, which is what a killed run loses at most.
@@ -45,22 +47,28 @@ class Derived:
     def update(self, rows: DataFrame, content: str, batch_bytes: int = BATCH_BYTES) -> int:
         """Derives what is new among the rows, a commit a batch. Returns how many contents were new."""
         keyed = self.keyed(rows, content)
-        found = keyed.filter("content_key IS NOT NULL").select("content_key", F.octet_length(F.col(content).cast("binary")).cast("long").alias("size"))
-        new = found.dropDuplicates(["content_key"]).join(self.seen().select("content_key"), "content_key", "left_anti")
-        many, size = new.agg(F.count("*"), F.sum("size")).first()
+        found = keyed.filter("content_key IS NOT NULL").select("content_key", F.col(content).alias("content"))
+        fresh = found.dropDuplicates(["content_key"]).join(self.seen().select("content_key"), "content_key", "left_anti")
+        many, size = fresh.agg(F.count("*"), F.sum(F.octet_length(F.col("content").cast("binary")).cast("long"))).first()
         if not many:
             return 0
         batches = math.ceil(size / batch_bytes) or 1
-        part = F.pmod(F.conv(F.substring("content_key", 1, 8), 16, 10).cast("long"), F.lit(batches))
-        for batch in range(batches):
-            held = self.seen().select("content_key")
-            own = keyed.filter("content_key IS NOT NULL").filter(part == batch).select("content_key", F.col(content).alias("content"))
-            own = own.dropDuplicates(["content_key"]).join(held, "content_key", "left_anti")
-            at = self.tables.manifest()
-            made = self.tables.stage(self._table("rows"), self.derive(own))
-            marks = self.tables.stage(self._table("seen"), own.select("content_key", F.lit(at.version + 1).cast("long").alias("batch")))
-            old = at.tables
-            self.tables.commit({self._table(n): [*old.get(self._table(n), []), p] for n, p in (("rows", made), ("seen", marks))}, over=at)
+        part = F.pmod(F.conv(F.substring("content_key", 1, 8), 16, 10).cast("long"), F.lit(batches)).cast("int")
+        # new contents are laid out by batch once, so that a batch reads its own alone, however many there are
+        path = f"{self.tables.folder}/new-{uuid.uuid4().hex[:12]}"
+        try:
+            fresh.withColumn("batch", part).hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
+            laid = self.tables.spark.read.schema(fresh.withColumn("batch", part).schema).parquet(path)
+            for batch in range(batches):
+                own = laid.filter(F.col("batch") == batch).select("content_key", "content")
+                at = self.tables.manifest()
+                made = self.tables.stage(self._table("rows"), self.derive(own))
+                marks = self.tables.stage(self._table("seen"), own.select("content_key", F.lit(at.version + 1).cast("long").alias("batch")))
+                old = at.tables
+                self.tables.commit({self._table(n): [*old.get(self._table(n), []), p] for n, p in (("rows", made), ("seen", marks))}, over=at)
+        finally:
+            fs, p = _paths(self.tables.spark, path)
+            fs.delete(p, True)
         return many
 
     def read(self, rows: DataFrame, content: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import catalogue
 from tallyforge.functions import costs, python
+from tallyforge.sinks.derived import Derived
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -72,3 +73,21 @@ def test_expressions_are_worked_out_once():
 def test_lines_are_dealt_where_work_is_long(spark):
     for name in ("usage_read", "arithmetic_texts"):
         assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_read_the_table_once(spark, tmp_path):
+    """However many batches there are, the rows are read to find what is new and to lay it out, and not once a batch."""
+    rows = spark.range(40).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("content"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    asked = rows.mapInPandas(counted, rows.schema)
+    store = Derived(spark, f"file://{tmp_path}/store", lambda own: own.select("content_key", F.length("content").alias("n")), "content_key string, n int", code="1")
+    assert store.update(asked, "content", batch_bytes=40) == 40 and store.tables.manifest().version > 5
+    assert reads.value <= 2 * 40
+    assert store.read(rows, "content").count() == 40 and store.update(rows, "content", batch_bytes=40) == 0
+    assert not list(tmp_path.glob("store/new-*"))

@@ -73,7 +73,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, leasts = np.empty(len(fps), np.int32), np.empty(len(fps), object)
         numbers[: at[0] if len(at) else len(fps)] = nth
         leasts[: at[0] if len(at) else len(fps)] = least
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(fps)], strict=True):
+        ends = [*at[1:].tolist(), len(fps)] if len(at) else []  # a batch may hold nothing but the text before
+        for a, z in zip(at.tolist(), ends, strict=True):
             now, least = int(fps[a]), ids[a].as_py()
             if now != fp:
                 if first is None and fp is not None:

@@ -91,3 +91,11 @@ def test_batches_read_the_table_once(spark, tmp_path):
     assert reads.value <= 2 * 40
     assert store.read(rows, "content").count() == 40 and store.update(rows, "content", batch_bytes=40) == 0
     assert not list(tmp_path.glob("store/new-*"))
+
+
+def test_batches_of_nothing_but_one_text_are_audited(spark):
+    from tallyforge.llm.filter_audit import masks
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 999, F.concat(F.lit("own "), F.col("id").cast("string"))).otherwise("the same").alias("text"), F.lit("en").alias("lang"))
+    got = {r["mask"]: r["count"] for r in masks(docs).groupBy("mask").count().collect()}
+    assert got == {1: 1 + 20, 1 + 16: 20_000 - 21}

@@ -12,6 +12,11 @@ from tallyforge.functions.text import label_of, name_words
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.postings import Postings
 from tallyforge.operators.facts import CHECKED
+from tallyforge.sinks.snapshots import written
+from tallyforge.sizes import sized
+
+#: Pairs of questions and metrics that a task holds, about.
+PAIRS = 1_000_000
 
 #: Facts that a look-up returns, concepts that it considers, and how far a held figure may be off.
 MOST, DEPTH, AGREES = 5, 20, 0.005
@@ -107,10 +112,15 @@ def metrics_ranked(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     little = F.array(*map(F.lit, FILLER))
     words = metrics.select("name", F.array_distinct(F.concat(name_words(F.col("name")), name_words(F.col("label")))).alias("own"))
     q = questions.select("query_id", "what", F.array_except(name_words(F.col("what")), little).alias("asked"))
-    pairs = q.select("query_id", F.explode("asked").alias("w")).join(words.select("name", F.explode("own").alias("w")), "w").groupBy("query_id", "name").agg(F.count("*").alias("shared"))
-    exact = q.join(words, F.col("what") == F.col("name")).select("query_id", "name", F.lit(True).alias("exact"))
-    rows = pairs.join(exact, ["query_id", "name"], "full_outer").join(q.select("query_id", F.size("asked").alias("of")), "query_id")
-    rows = rows.select("query_id", "name", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("exact", F.lit(False)).alias("exact"), "of")
+    # the whole name is one more key, so that one join gives both; questions are dealt, their pairs stay where they are made
+    key = lambda kind, w: F.struct(F.lit(kind).alias("exact"), w.alias("w"))
+    keys = lambda words, whole: F.explode(F.concat(F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: key(False, w)), F.array(key(True, F.col(whole))))).alias("key")
+    held = written(words.select("name", keys(F.col("own"), "name")).select("name", "key.*").filter("w IS NOT NULL"), "names")
+    asked = q.select("query_id", F.size("asked").alias("of"), keys(F.col("asked"), "what")).select("query_id", "of", "key.*").filter("w IS NOT NULL")
+    pairs = asked.groupBy("exact", "w").count().join(held.groupBy("exact", "w").agg(F.count("*").alias("m")), ["exact", "w"]).agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0
+    parts = max(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    asked = q.repartition(parts, "query_id").select("query_id", F.size("asked").alias("of"), keys(F.col("asked"), "what")).select("query_id", "of", "key.*")
+    rows = asked.join(sized(held), ["exact", "w"]).groupBy("query_id", "name").agg(F.count_if(~F.col("exact")).alias("shared"), F.max("exact").alias("exact"), F.max("of").alias("of"))
     holds = F.col("exact") | ((F.col("of") > 0) & (F.col("shared") == F.col("of")))
     w = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("shared"), "name")
     return rows.select("query_id", "name", "shared", F.row_number().over(w).alias("rank"), holds.alias("holds"))

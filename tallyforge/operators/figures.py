@@ -161,17 +161,16 @@ def census(faulty: DataFrame) -> DataFrame:
 def matched(rows: DataFrame) -> DataFrame:
     """``id, found, missed, extra, recall, described`` of cases with ``expected`` and ``got`` figures.
 
-    Each wanted figure uses up one equal one; equality is by class, so classes are counted and nothing is paired. Values
-    count to ten digits, which parts classes as the tolerance does but at its very edge."""
-    digits = lambda v: F.format_string("%.9e", v)
-    one = lambda side, p: rows.select("id", F.explode(side).alias("f")).groupBy(F.col("id").alias(f"{p}id"), F.col("f.metric").alias(f"{p}m"), digits(F.col("f.value")).alias(f"{p}v"), unit_key(F.col("f.unit")).alias(f"{p}u"), F.col("f.year").alias(f"{p}y")).agg(F.count("*").alias(f"{p}n"))
-    on = F.col("a_id") == F.col("b_id")
-    for c in "mvuy":
-        on = on & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    both = one("expected", "a_").join(one("got", "b_"), on, "full_outer").select(F.coalesce("a_id", "b_id").alias("id"), F.coalesce("a_n", F.lit(0)).alias("w"), F.coalesce("b_n", F.lit(0)).alias("g"))
-    summed = both.groupBy("id").agg(F.sum(F.least("w", "g")).alias("found"), F.sum(F.greatest(F.col("w") - F.col("g"), F.lit(0))).alias("missed"), F.sum(F.greatest(F.col("g") - F.col("w"), F.lit(0))).alias("extra"))
+    Each wanted figure uses up one equal one; equality is by class, so classes are counted within the case and nothing is paired
+    or shuffled. Values count to ten digits, which parts classes as the tolerance does but at its very edge."""
+    kind = lambda f: F.struct(f["metric"].alias("m"), F.format_string("%.9e", f["value"]).alias("v"), unit_key(f["unit"]).alias("u"), f["year"].alias("y"))
+    n = lambda side: F.greatest(F.size(side), F.lit(0)).cast("long")
+    times = lambda side, c: n(F.filter(side, lambda x: x.eqNullSafe(c)))
     fine = F.size(undescribed(F.col("got"), F.col("passage"))) <= 0
-    out = rows.select("id", fine.alias("described")).join(summed, "id", "left").na.fill(0, ["found", "missed", "extra"])
+    classed = rows.select("id", fine.alias("described"), F.transform("expected", kind).alias("w"), F.transform("got", kind).alias("g"))
+    found = F.aggregate(F.array_distinct("w"), F.lit(0).cast("long"), lambda s, c: s + F.least(times(F.col("w"), c), times(F.col("g"), c)))
+    out = classed.select("id", "described", F.coalesce(found, F.lit(0).cast("long")).alias("found"), *[n(c).alias(c) for c in "wg"])
+    out = out.select("id", "described", "found", (F.col("w") - F.col("found")).alias("missed"), (F.col("g") - F.col("found")).alias("extra"))
     return out.withColumn("recall", F.when(F.col("found") + F.col("missed") > 0, F.col("found") / (F.col("found") + F.col("missed"))).otherwise(1.0))
 
 

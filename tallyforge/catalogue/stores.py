@@ -197,5 +197,8 @@ def source_digests(read, spark):
 def fold_terms(read, spark):
     """The folds of all documents, and the words and pairs that a fold's rows count."""
     rows = folded(read("documents").select(F.col("doc_id").alias("key"), "text"))
-    counts = crossval.term_counts(rows).join(rows.select("key", "fold"), "key")
-    return counts.groupBy("fold").agg(F.count_distinct("key").alias("rows"), F.count_distinct("term").alias("terms"), F.count("*").alias("entries"), F.sum("n").alias("counted"))
+    # one row a fold and term is dealt, however many rows count the term
+    by_term = crossval.term_counts(rows, "fold").groupBy("fold", "term").agg(F.count("*").alias("entries"), F.sum("n").alias("counted"))
+    sums = by_term.groupBy("fold").agg(F.count("*").alias("terms"), F.sum("entries").alias("entries"), F.sum("counted").alias("counted"))
+    there = rows.filter(F.lower("text").rlike("[a-z0-9]")).groupBy(F.col("fold").alias("f")).agg(F.count_distinct("key").alias("rows"))
+    return sums.join(F.broadcast(there), F.col("fold").eqNullSafe(F.col("f"))).select("fold", "rows", "terms", "entries", "counted")  # a row a fold

@@ -12,16 +12,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.classifier import FOLDS, folded
+from tallyforge.sinks.snapshots import written
+from tallyforge.sizes import sized
 
 ROWS, ENTRIES = 4_000, 2_000_000
 #: Strengths that are tried, as the weight of the rows against the penalty.
 GRID = (0.1, 1.0, 10.0, 100.0)
 #: Terms that are multiplied at a time.
 BLOCK = 2_048
+#: Arrow batches hold this many bytes of words at most.
+BATCH_BYTES = 16 << 20
 
 
 def word_terms(text: Column) -> Column:
@@ -31,9 +37,30 @@ def word_terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """``key, term, n`` of rows (``key, text``)."""
-    return rows.select("key", F.explode(word_terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+def term_counts(rows: DataFrame, *kept: str) -> DataFrame:
+    """``key, term, n`` of rows (``key, text``), and the columns ``kept``, which go by the key. A row's words are counted where it
+    is read, without a shuffle; only rows whose key is there more than once are dealt by it and counted together."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", *kept))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy().astype(np.int64)
+            coded = batch.column(0).flatten().dictionary_encode()
+            size = max(len(coded.dictionary), 1)
+            pairs, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(), return_counts=True)
+            row = pa.array(pairs // size)
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[1:]), coded.dictionary.take(pa.array(pairs % size)), pa.array(n, pa.int64())], names=["key", *kept, "term", "n"])
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    terms = word_terms(F.col("text")).alias("terms")
+    own = lambda rows: rows.select(terms, "key", *kept).mapInArrow(count, f"{kinds}, term string, n long").select("key", "term", "n", *kept)
+    twice = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
+    if twice.isEmpty():
+        return own(rows)
+    twice = written(twice, "twice")
+    met = rows["key"].eqNullSafe(twice["k"])
+    again = rows.join(sized(twice), met, "left_semi").select(F.explode(terms).alias("term"), "key", *kept).groupBy("key", "term", *kept).agg(F.count("*").alias("n"))
+    return own(rows.join(sized(twice), met, "left_anti")).unionByName(again)
 
 
 @dataclass

@@ -126,3 +126,40 @@ def test_rankings_of_many_queries_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "ENTRIES", 300)
     monkeypatch.setattr(R, "PROFILES", 16)
     assert rows(terms.best(5, 1.5, 0.75)) == whole
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_are_counted_where_rows_are_read(spark, tmp_path):
+    from tallyforge.operators import crossval
+
+    same_as_sql(spark, "fold_terms", folder(tmp_path, documents="SELECT * REPLACE (CASE WHEN doc_id % 90 = 1 THEN 1 ELSE doc_id END AS doc_id) FROM '{old}'"))
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "key long, text string")
+    counts = crossval.term_counts(rows)
+    assert {(r["key"], r["term"]): r["n"] for r in counts.collect()} == {(1, "a"): 2, (1, "b"): 1, (1, "a b"): 1, (1, "b a"): 1}
+    assert not shuffles(counts)
+
+
+def test_figures_are_matched_within_their_case(spark):
+    from tallyforge.operators import figures
+
+    f = "array<struct<metric:string,value:double,unit:string,year:int,description:string>>"
+    one, other, none = ("profit", 1.5, "INR", None, None), ("profit", 1.5, "Rs. crore", None, None), (None, None, None, None, None)
+    rows = spark.createDataFrame([(1, [one, one, other, none], [other, one, none, none], "p"), (2, None, [one], "p"), (3, [one], None, "p"), (4, [], [], "p")], f"id long, expected {f}, got {f}, passage string")
+    found = figures.matched(rows)
+    assert {r["id"]: (r["found"], r["missed"], r["extra"]) for r in found.collect()} == {1: (3, 1, 1), 2: (0, 0, 1), 3: (0, 1, 0), 4: (0, 0, 0)}
+    assert not shuffles(found)
+
+
+def test_questions_are_dealt_by_the_pairs_that_they_make(spark, monkeypatch):
+    from tallyforge.operators import lookup
+
+    metrics = spark.createDataFrame([("NetProfit", "the net profit"), ("NetSales", "net sales"), ("Margin", None)], "name string, label string")
+    asked = spark.createDataFrame([(i, "NetProfit" if i % 2 else "what was net sales") for i in range(200)] + [(900, "Margin"), (901, None)], "query_id long, what string")
+    monkeypatch.setattr(lookup, "PAIRS", 20)
+    ranked = lookup.metrics_ranked(asked, metrics)
+    assert shuffles(ranked) == 1 and ranked.rdd.getNumPartitions() == 41
+    rows = {(r["query_id"], r["rank"]): (r["name"], r["shared"], r["holds"]) for r in ranked.collect()}
+    assert len(rows) == 401 and rows[1, 1] == ("NetProfit", 3, True) and rows[1, 2] == ("NetSales", 1, False) and rows[0, 1] == ("NetSales", 2, True) and rows[900, 1] == ("Margin", 0, True)

@@ -5,9 +5,11 @@ norm. Balanced k-means on a bounded sample gives centroids; their number grows w
 in-memory graph over them is searched with a beam. Every vector goes to its nearest centroid's posting list and, near a
 boundary, to further ones within a ratio of distances, unless one chosen before is closer to that centroid than the
 vector is. Lists that lie near one another share a bundle of up to ``BLOCK`` vectors. A query walks the graph and searches
-the bundles whose nearest centroid is within a ratio of the nearest of all. The ratio has no bound of its own: it is the
-least by which queries drawn from the table find the wanted share of their neighbours, which one exact pass gives, and a
-walk is widened until it has passed that ratio.
+the bundles whose nearest centroid is within a ratio of its ``BEAM``-th nearest one, as the nearest may be the query
+itself. The ratio has no bound of its own: it is the least by which queries drawn from the table find the wanted share of
+their neighbours, together and nearly each of them alone, which one exact pass gives, and a walk is widened until it has
+passed that ratio. Where drawn queries would read more than ``HALF`` of all postings, lists spare too little, and every
+query searches all bundles.
 
 Equal vectors are indexed once, with their smallest ids, as many as a result can hold. Long lists and many queries of
 a list are split into blocks, so that a task's share is bounded whatever the groups; every row is indexed and no
@@ -34,10 +36,13 @@ SAMPLE, FLAT, MAX_LISTS, EACH = 20_000, 8_192, 65_536, 32
 #: Vectors and queries that one task compares at a time.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 DEGREE = 24
-#: Centroids that a walk begins with, and how many may all be compared in place of a walk of half as many.
-BEAM, EXHAUSTIVE = 16, 2
+#: Centroids that a walk begins with, and for each that is asked for how many may all be compared in place of a walk, which can
+#: end far from the nearest: up to ``FLAT`` lists are never walked.
+BEAM, EXHAUSTIVE = 16, 512
 #: Queries that the ratio is fitted on, and queries that a worker ranks at a time.
 TRIED, CHUNK = 400, 256
+#: The share of drawn queries that find ``ALONE`` of their neighbours each, and the share of postings beyond which all are read.
+SURE, ALONE, HALF = 0.99, 0.95, 0.5
 
 
 @dataclass
@@ -56,9 +61,14 @@ class Centroids:
         norms = (self.points**2).sum(1)
         far = lambda rows, ids: np.maximum((q[rows] ** 2).sum(1)[:, None] + norms[ids] - 2 * np.einsum("qd,qcd->qc", q[rows], self.points[ids]), 0)
         if k <= self.exhaustive * beam or beam == k:
-            d = np.maximum((q**2).sum(1)[:, None] + norms - 2 * q @ self.points.T, 0)
-            order = np.argsort(d, 1, kind="stable")[:, :beam]
-            return order, np.take_along_axis(d, order, 1)
+            ids, near = np.empty((n, beam), np.int64), np.empty((n, beam))
+            step = max(1, (4 << 20) // k)  # a few million distances at a time
+            for at in range(0, n, step):
+                part = q[at : at + step]
+                d = np.maximum((part**2).sum(1)[:, None] + norms - 2 * part @ self.points.T, 0)
+                ids[at : at + step] = mine = np.argsort(d, 1, kind="stable") if beam == k else nearest_columns(d, beam)
+                near[at : at + step] = np.take_along_axis(d, mine, 1)
+            return ids, near
         starts = np.linspace(0, k - 1, beam).astype(np.int64)
         ids = np.tile(starts, (n, 1))
         d = far(np.arange(n), ids)
@@ -185,10 +195,18 @@ def distances(q: np.ndarray, points: np.ndarray, bundle: np.ndarray) -> np.ndarr
     return np.minimum.reduceat(d, np.searchsorted(bundle[by], np.arange(bundle.max() + 1)), axis=1)
 
 
-def reached(book: Centroids, q: np.ndarray, bundle: np.ndarray, sizes: np.ndarray, ratio: float, soft: float, enough: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, bundle) pairs to search: bundles with a centroid within the ratio of the nearest, and the nearest ones until
+def scale(d: np.ndarray, place: int = BEAM - 1) -> np.ndarray:
+    """What a query's ratio refers to: its distance to a centroid near it, by its place in distances in order."""
+    return d[:, min(place, d.shape[1] - 1)]
+
+
+def reached(book: Centroids, q: np.ndarray, bundle: np.ndarray, sizes: np.ndarray, ratio: float, soft: float, enough: int, beam: int, place: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(query, bundle) pairs to search: bundles with a centroid within the ratio of the nearest (or that at a place), and the nearest ones until
     they hold ``enough`` vectors. ``soft`` is added to both sides of the ratio. Walks keep ``beam``
     centroids; those that end before they have all of that go again four times as wide, and then over all centroids."""
+    if not np.isfinite(ratio):
+        every = len(sizes)
+        return np.repeat(np.arange(len(q)), every), np.tile(np.arange(every), len(q))
     out: list[np.ndarray] = []
     left, k, narrow = np.arange(len(q)), len(book.points), beam
     while len(left):
@@ -201,7 +219,7 @@ def reached(book: Centroids, q: np.ndarray, bundle: np.ndarray, sizes: np.ndarra
         np.put_along_axis(first, order, np.concatenate([np.ones((len(own), 1), bool), ranked[:, 1:] != ranked[:, :-1]], 1), 1)
         held = np.cumsum(np.where(first, sizes[own], 0), 1)
         before = held - np.where(first, sizes[own], 0)
-        near = d + soft <= ratio * (d[:, :1] + soft)
+        near = d + soft <= ratio * (scale(d, place)[:, None] + soft)
         ended = np.full(len(left), beam >= k) | (~near[:, -1] & (held[:, -1] >= enough))
         i, j = np.nonzero(first & (near | (before < enough)) & ended[:, None])
         out.append(np.stack([left[i], own[i, j]]))
@@ -219,10 +237,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def widest(posted: DataFrame, tried: list, far: np.ndarray, soft: float, bundle: np.ndarray, k: int, copies: int, recall: float) -> float:
-    """The least ratio by which the drawn queries find a share of ``recall`` of their ``k`` neighbours, exactly.
+def widest(posted: DataFrame, tried: list, far: np.ndarray, base: np.ndarray, soft: float, bundle: np.ndarray, k: int, copies: int, recall: float) -> float:
+    """The least ratio by which the drawn queries find a share of ``recall`` of their ``k`` neighbours, and a share of ``SURE`` of
+    them ``ALONE`` of their own each, exactly.
 
-    ``far``: as of ``distances``. Of every vector's postings only the nearest to a query counts, and a result needs
+    ``far``: as of ``distances``; ``base``: as of ``scale``. Of every vector's postings only the nearest to a query counts, and a result needs
     ``copies * (k + 1)`` postings at most."""
     room = copies * (k + 1)
     asked = posted.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in tried], float))  # TRIED vectors
@@ -248,14 +267,22 @@ def widest(posted: DataFrame, tried: list, far: np.ndarray, soft: float, bundle:
     lists: list[dict[int, list]] = [{} for _ in tried]
     for r in rows:  # classes come by score
         lists[r["t"]].setdefault(r["first"], [r["n"], []])[1].append(r["list"])
-    needs = []
+    needs, alone = [], []
     for i, classes in enumerate(lists):
-        left = k
+        left, mine = k, []
         for first, (n, own) in classes.items():
             n = min(n - (first == tried[i]["ids"][0]), left)  # the query itself is no neighbour
-            needs += [(far[i, bundle[own]].min() + soft) / (far[i].min() + soft)] * n
+            mine += [(far[i, bundle[own]].min() + soft) / (base[i] + soft)] * n
             left -= n
-    return float(np.sort(needs)[min(len(needs) - 1, int(np.ceil(recall * len(needs))) - 1)]) if needs else 0.0
+        needs += mine
+        if mine:
+            alone.append(least_of(mine, ALONE))
+    return max(least_of(needs, recall), least_of(alone, SURE)) if needs else 0.0
+
+
+def least_of(values: list[float], part: float) -> float:
+    """The least of the values that this part of them doesn't exceed."""
+    return float(np.sort(values)[min(len(values) - 1, int(np.ceil(part * len(values))) - 1)])
 
 
 def vectors(table: DataFrame, vector: str, key: str) -> DataFrame:
@@ -279,7 +306,7 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
 
     ``closure``, ``copies``: by how much further a list may be than the nearest to hold a copy of a vector, and in how
     many lists at most. ``recall``: the share of neighbours that is found of queries drawn from the table, which sets how
-    far queries search. ``least``: lists are searched until they hold so many times the vectors that a result needs.
+    far queries search, beside what nearly each of them must find. ``least``: lists are searched until they hold so many times the vectors that a result needs.
     ``exhaustive``: up to so many centroids for each that is asked for, all are compared in place of a walk. ``flat``: up to
     so many lists are fitted at once, more in two levels.
     Vectors that are null, zero or hold a null or non-finite number, or are of another length than most, and null ids take no part. Equal rows count once. An empty table gives no rows."""
@@ -330,7 +357,7 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
         for whole in batches:
             for at in range(0, len(whole), CHUNK):
                 batch = whole.slice(at, CHUNK)
-                i, j = reached(own, norm(matrix(batch.column("v"))), bundle, sizes, wide, soft, enough, beam)
+                i, j = reached(own, norm(matrix(batch.column("v"))), bundle, sizes, wide, soft, enough, beam, BEAM - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(j), *(batch.column(c).take(pa.array(i)) for c in ("h", "g", "v"))], names=["bundle", "h", "g", "v"])
 
     posted = shared.materialised(classes.mapInArrow(post, "list long, h long, ids array<long>, v array<double>"), "postings")
@@ -346,10 +373,12 @@ def nearest(table: DataFrame, *, k: int = 20, queries: int = 20, vector: str = "
     if tried:
         x = norm(np.array([r["v"] for r in tried]))
         far = distances(x, book.points, bundle)
-        soft = float(np.median(far.min(1))) + 1e-12 * largest  # a query that lies on a centroid has a finite ratio
-        wide = widest(posted, tried, far, soft, bundle, k, copies, recall) * (1 + 1e-9)
         d = np.sort(distances(x, book.points, np.arange(len(book.points))), 1)
-        need = int(np.quantile((d + soft <= wide * (d[:, :1] + soft)).sum(1), 0.9))  # centroids that most queries walk to
+        base, soft = scale(d), 1e-12 * largest  # a query that lies on so many centroids has a finite ratio
+        wide = widest(posted, tried, far, base, soft, bundle, k, copies, recall) * (1 + 1e-9)
+        if ((far + soft <= wide * (base[:, None] + soft)) @ sizes).mean() > HALF * sizes.sum():
+            wide = np.inf
+        need = int(np.quantile((d + soft <= wide * (base[:, None] + soft)).sum(1), 0.9))  # centroids that most queries walk to
         beam = BEAM if 2 * need <= BEAM else min(2 * need, len(book.points))
     wanted = shared.materialised(asking.mapInArrow(ask, "bundle long, h long, g long, v array<double>"), "queries")
     nq = {r["bundle"]: -(-r["count"] // QUERY_BLOCK) for r in wanted.groupBy("bundle").count().collect()}  # a row for each bundle

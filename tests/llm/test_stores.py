@@ -141,3 +141,20 @@ def test_recall_holds_without_structure(spark, tmp_path):
         score[q] = -2
         hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     assert len(got) == 200 and hits / (20 * 200) >= 0.97
+
+
+def test_queries_beside_a_centroid_find_their_neighbours(spark, tmp_path):
+    """Rows without structure, some of them in loose groups: a query that a centroid lies on searches no less than others."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64))
+    x[rng.random(len(x)) < 0.5] += 4 * rng.normal(size=(40, 64))[rng.integers(0, 40)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), f"{tmp_path}/x.parquet")
+    got = ann.nearest(spark.read.parquet(f"{tmp_path}/x.parquet")).toPandas().groupby("query_id")["vec_id"].apply(set)
+    shares = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -2
+        shares.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert len(shares) == len(got) and np.mean(shares) >= 0.98
+    assert np.mean(np.array(shares) < 0.9) <= 0.01 and min(shares) >= 0.5

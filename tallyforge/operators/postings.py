@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import tokens
 from tallyforge.operators.retrieval import refuse, top
 from tallyforge.sinks.snapshots import Manifest, Tables
-from tallyforge.sizes import sized, spread
+from tallyforge.sizes import placed, sized, spread
 
 #: Documents of a range, folders by word, and ranges that a query's threshold is taken from.
 RANGE, BUCKETS, FIRST = 512, 8, 8
@@ -95,6 +95,30 @@ def _ragged(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, np.arange(len(owner)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, each with its range's first new number (``base``) and which documents are left (32 in each of ``bits``), as pieces
+    of blocks of the new ranges, of which an old one meets two at most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.list_value_length(batch.column("gaps")).to_numpy().astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        gaps, counts = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("gaps", "counts"))
+        docs = np.cumsum(gaps)
+        docs -= np.repeat(docs[begins] - gaps[begins], sizes)  # each block begins anew
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        bits = batch.column("bits").flatten().to_numpy().astype(np.int64).reshape(len(sizes), -1)
+        whole, ones = docs // 32, np.bitwise_count(bits).astype(np.int64)
+        word = bits[row, whole]
+        rank = (np.cumsum(ones, 1) - ones)[row, whole] + np.bitwise_count(word & ((np.int64(1) << (docs % 32)) - 1))
+        here = (word >> (docs % 32)) & 1 == 1
+        number, row, counts = (batch.column("base").to_numpy()[row] + rank)[here], row[here], counts[here]
+        new = number // RANGE
+        starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(new, prepend=-1) != 0))
+        borders = np.append(starts, len(row))
+        yield pa.RecordBatch.from_arrays([pa.array(new[starts]), *(batch.column(c).take(pa.array(row[starts])) for c in ("term", "shortest")), _lists(number % RANGE, borders), _lists(counts, borders)], ["range", "term", "shortest", "docs", "counts"])
+
+
 def _scored(asked: tuple, mean: float, k: int, k1: float, b: float):
     """Of a range, given by its row (with the queries that it is scored for) and blocks, each query's first k documents, and those
     with the score of the last."""
@@ -176,23 +200,27 @@ class Postings:
         whole = rows.filter("bucket = -1").select("part", "range", F.explode(F.arrays_zip("ids", "lengths", F.sequence(F.lit(0), F.size("ids") - 1).alias("doc"))).alias("x")).select("part", "range", "x.doc", F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("length"))
         if without is not None:
             whole = whole.join(sized(without.select(F.col("doc_id").cast(kind).alias("doc_id")).distinct()), "doc_id", "left_anti")
-        # new numbers in the order of ids: a range is a run of them within a partition
+        # ranges keep their order and close up: of each, where its first document comes and which are left
         self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        number = F.monotonically_increasing_id()
-        numbered = whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("number", number)
-        named = self.tables.stage("numbers", numbered.select("part", "range", "doc", "doc_id", "length", "number").withColumnRenamed("part", "segment"))
-        numbers = self.tables.read("numbers", f"segment string, range long, doc int, doc_id {kind}, length int, number long", Manifest(tables={"numbers": [named]})).drop("part")
-        docs = F.transform("gaps", lambda _, i: F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-        each = rows.filter("bucket >= 0").select(F.col("part").alias("segment"), "range", "term", F.explode(F.arrays_zip(docs.alias("doc"), "counts")).alias("x")).select("segment", "range", "term", F.col("x.doc").alias("doc"), F.col("x.counts").alias("tf"))
-        new = each.join(numbers, ["segment", "range", "doc"]).select((F.col("number") / RANGE).cast("long").alias("range"), "term", (F.col("number") % RANGE).cast("int").alias("doc"), "tf", "length")
-        listed = F.array_sort(F.collect_list(F.struct("doc", "tf")))
-        blocks = new.groupBy("range", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), listed.alias("x"))
+        listed = whole.groupBy(F.col("part").alias("segment"), "range").agg(F.array_sort(F.collect_list(F.struct("doc", "doc_id", "length"))).alias("x"))
+        kinds = f"segment string, range long, x array<struct<doc: int, doc_id: {kind}, length: int>>"
+        listed = self.tables.read("left", kinds, Manifest(tables={"left": [self.tables.stage("left", listed)]})).drop("part")
+        first = placed(listed.select("segment", "range", F.size("x").alias("n")), ["segment", "range"], value="n").select("segment", "range", (F.col("total") - F.col("n")).cast("long").alias("base"))
+        numbers = listed.join(sized(first), ["segment", "range"])
+        bits = F.transform(F.sequence(F.lit(0), F.lit(RANGE // 32 - 1)), lambda w: F.aggregate(F.filter("x.doc", lambda d: F.floor(d / 32) == w), F.lit(0).cast("long"), lambda b, d: b + F.pow(F.lit(2.0), d % 32).cast("long")))
+        masks = numbers.select("segment", "range", "base", bits.alias("bits"))
+        blocks = rows.filter("bucket >= 0").select(F.col("part").alias("segment"), "range", "term", "shortest", "gaps", "counts").join(sized(masks), ["segment", "range"])
+        pieces = blocks.select("term", "shortest", "gaps", "counts", "base", "bits").mapInArrow(_moved, "range long, term string, shortest int, docs array<int>, counts array<int>")
+        # pieces of a block follow one another; the shortest document bounds what is left of it
+        met = pieces.groupBy("range", "term").agg(F.min("shortest").alias("shortest"), F.array_sort(F.collect_list(F.struct("docs", "counts"))).alias("x"))
+        met = met.select("range", "term", "shortest", F.flatten("x.docs").alias("docs"), F.flatten("x.counts").alias("counts"))
+        before = F.zip_with("docs", F.concat(F.array(F.lit(0)), "docs"), lambda v, last: v - last)
         none = [F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<int>").alias("lengths")]
-        before = F.transform("x", lambda v, i: v["doc"] - F.when(i > 0, F.get("x", i - 1)["doc"]).otherwise(0))
-        blocks = blocks.select("range", "term", "n", "most", "shortest", before.alias("gaps"), F.transform("x", lambda v: v["tf"]).alias("counts"), *none)
-        own = numbers.groupBy((F.col("number") / RANGE).cast("long").alias("range")).agg(F.array_sort(F.collect_list(F.struct("number", "doc_id", "length"))).alias("x"))
+        blocks = met.select("range", "term", F.size("docs").alias("n"), F.array_max("counts").alias("most"), "shortest", F.slice(before, F.lit(1), F.size("docs")).alias("gaps"), "counts", *none)
+        each = numbers.select("base", F.posexplode("x").alias("i", "d")).select((F.col("base") + F.col("i")).alias("number"), "d")
+        own = each.groupBy(F.floor(F.col("number") / RANGE).alias("range")).agg(F.array_sort(F.collect_list(F.struct("number", "d"))).alias("x"))
         gone = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("n", "int"), ("most", "int"), ("shortest", "int"), ("gaps", "array<int>"), ("counts", "array<int>"))]
-        ranges = own.select("range", *gone, F.transform("x", lambda v: v["doc_id"]).alias("ids"), F.transform("x", lambda v: v["length"]).alias("lengths"))
+        ranges = own.select("range", *gone, F.transform("x", lambda v: v["d"]["doc_id"]).alias("ids"), F.transform("x", lambda v: v["d"]["length"]).alias("lengths"))
         part, n, words = self._segment(blocks.unionByName(ranges))
         return self._committed({"postings": [part]}, {"n": n, "words": words}, at)
 

@@ -270,3 +270,18 @@ def test_runs_are_united_if_they_are_of_the_same(spark):
     log = spark.createDataFrame([("r1", 1, "x", 1), ("r2", 2, "x", 2), ("r2", 2, "x", 3), ("r1", 1, None, 4)], "run string, at int, g string, n int")
     assert sorted(r.n for r in identity.newest_rows(log, "run", "at").collect()) == [2, 3]
     assert sorted(r.n for r in identity.newest_rows(log, "run", "at", ["g"]).collect()) == [2, 3, 4]
+
+
+def test_merged_ranges_keep_their_order(spark, folder):
+    """Merging moves blocks, not single postings: an old range's documents stay together, whatever their ids."""
+    docs = spark.createDataFrame([(i, f"all w{i % 7}") for i in range(1400)], "doc_id long, text string")
+    index = P.Postings(spark, folder)
+    for part in (0, 1):
+        index.add(docs.filter(F.col("doc_id") % 2 == part).coalesce(1))
+    index.merged(docs.filter("doc_id % 10 = 3").select("doc_id"))
+    rows = index._rows(index.tables.manifest())
+    ranges = [r.ids for r in rows.filter("bucket = -1").orderBy("range").collect()]
+    assert [len(x) for x in ranges] == [512, 512, 236] and sum(len({i % 2 for i in x}) == 1 for x in ranges) == 2
+    assert rows.filter("term = 'all'").agg(F.sum("n"), F.max(F.size("gaps"))).first()[:] == (1260, 512)
+    asked = spark.createDataFrame([(1, "w3 all")], "query_id long, text string")
+    assert ranked(index.bm25(asked, k=300)) == ranked(retrieval.bm25(docs.filter("doc_id % 10 <> 3"), asked, k=300))

@@ -173,3 +173,35 @@ def test_rankings_without_a_common_word(spark):
     assert [tuple(r) for r in R.bm25(docs, asked, k=3).select("query_id", "rank", "doc_id").orderBy("query_id", "rank").collect()] == [("a", 1, 1), ("a", 2, 2), ("b", 1, 4)]
     assert R.bm25(docs, asked.filter("query_id = 'c'"), k=3).isEmpty()
     assert R.bm25(docs.filter("doc_id > 9"), asked, k=3).isEmpty()
+
+
+def test_words_are_damped_in_columns_and_weighed_once_a_fold(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    from tallyforge.operators import classifier as C
+
+    rows = spark.createDataFrame([(i, ("up up rises " if i % 3 else "down falls ") + f"word{i % 7} up", float(i % 3 > 0 or i % 11 == 0)) for i in range(60)], "key long, text string, label double")
+    vectors = C.features(C.folded(rows, 2))
+    assert "Python" not in vectors._jdf.queryExecution().executedPlan().toString()
+    row = vectors.filter("key = 1").first()  # up three times, once as a pair with itself
+    assert row["tf"].size == C.BUCKETS and sorted(round(x, 12) for x in row["tf"].values) == [1.0] * 6 + [round(1 + math.log(3), 12)]
+    fits = []
+
+    class Counted(C.IDF):
+        def fit(self, *args):
+            fits.append(1)
+            return super().fit(*args)
+
+    monkeypatch.setattr(C, "IDF", Counted)
+    monkeypatch.setattr(C, "ROUNDS", 4)
+    got, accuracy = C.out_of_fold(rows, (0.5, 0.01), 2)
+    assert len(fits) == 2
+    plain = {}
+    for c in accuracy:
+        for fold in range(2):
+            model = Pipeline(stages=[C.IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=C.ROUNDS, regParam=c)]).fit(vectors.filter(F.col("fold") != fold))
+            plain |= {(c, r["key"]): (int(r["label"]), int(r["prediction"])) for r in model.transform(vectors.filter(F.col("fold") == fold)).collect()}
+    right = {c: sum(a == b for (d, _), (a, b) in plain.items() if d == c) / 60 for c in accuracy}
+    best = max(accuracy, key=lambda c: (right[c], -list(accuracy).index(c)))
+    assert accuracy == right and {(best, r["key"]): (r["label"], r["prediction"]) for r in got.collect()} == {k: v for k, v in plain.items() if k[0] == best}

@@ -19,17 +19,21 @@ def fact_key() -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k_{c}") for c in KEY]
 
 
-def sync(held: DataFrame, parsed: DataFrame) -> DataFrame:
+def sync(held: DataFrame, parsed: DataFrame, by: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
     """Makes a filing's facts equal its parse. ``filing_id``, the key, value, decimals of both; tier and verified_by of
     what is held. Returns all rows with ``change``: kept, added, changed or removed; of a changed fact the tier goes back
-    to unchecked and its verification is cleared. One join on the key; only filings that were parsed take part."""
-    ours = held.join(parsed.select("filing_id").distinct(), "filing_id", "left_semi").select("filing_id", *fact_key(), *KEY, "value", "decimals", "tier", "verified_by")
-    new = parsed.select("filing_id", *fact_key(), *[F.col(c).alias(f"n_{c}") for c in (*KEY, "value", "decimals")], F.lit(True).alias("here"))
-    both = ours.withColumn("there", F.lit(True)).join(new, ["filing_id", *[f"k_{c}" for c in KEY]], "full_outer")
+    to unchecked and its verification is cleared. One join on the key; only filings that were parsed take part, or with
+    ``rest`` the facts of others come along as ``other``. ``by`` are columns of both that follow from the filing: sides that
+    are dealt by them aren't dealt again, and they are returned."""
+    asked = parsed.select(*by, "filing_id").distinct().withColumn("asked", F.lit(True))
+    ours = held.join(asked, [*by, "filing_id"], "left" if rest else "inner").select(*by, "filing_id", *fact_key(), *KEY, "value", "decimals", "tier", "verified_by", "asked")
+    new = parsed.select(*by, "filing_id", *fact_key(), *[F.col(c).alias(f"n_{c}") for c in (*KEY, "value", "decimals")], F.lit(True).alias("here"))
+    both = ours.withColumn("there", F.lit(True)).join(new, [*by, "filing_id", *[f"k_{c}" for c in KEY]], "full_outer")
     same = F.col("value").eqNullSafe(F.col("n_value")) & F.col("decimals").eqNullSafe(F.col("n_decimals"))
-    change = F.when(F.col("there").isNull(), "added").when(F.col("here").isNull(), "removed").when(same, "kept").otherwise("changed")
+    change = F.when(F.col("there").isNull(), "added").when(F.col("asked").isNull(), "other").when(F.col("here").isNull(), "removed").when(same, "kept").otherwise("changed")
     fresh = F.col("change").isin("added", "changed")
     return both.withColumn("change", change).select(
+        *by,
         "filing_id",
         *[F.coalesce(F.col(c), F.col(f"n_{c}")).alias(c) for c in KEY],
         *[F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("value", "decimals")],

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +70,18 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+@contextmanager
+def dealt_once(spark: SparkSession) -> Iterator[None]:
+    """For rows written within it: sides of a join that are both dealt by some of its keys aren't dealt again by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def placed(rows: DataFrame, order: list, by: list[str] | None = None, value: str | None = None, name: str = "place") -> DataFrame:
     """Rows with their place from 0 in an order, within each group of ``by`` if given, and with ``value`` the sum of it up to
     the row as ``total``.

@@ -205,3 +205,35 @@ def test_words_are_damped_in_columns_and_weighed_once_a_fold(spark, monkeypatch)
     right = {c: sum(a == b for (d, _), (a, b) in plain.items() if d == c) / 60 for c in accuracy}
     best = max(accuracy, key=lambda c: (right[c], -list(accuracy).index(c)))
     assert accuracy == right and {(best, r["key"]): (r["label"], r["prediction"]) for r in got.collect()} == {k: v for k, v in plain.items() if k[0] == best}
+
+
+def test_facts_of_a_round_are_dealt_once(spark, tmp_path, monkeypatch):
+    from tallyforge.operators import facts
+    from tallyforge.plans import build
+
+    kinds = "filing_id string, concept string, period_start date, period_end date, segment string, unit string, value double, decimals int"
+    parsed = lambda names, add: spark.createDataFrame([(n, c, None, None, None, "INR", i + add, 0) for n in names for i, c in enumerate("abc")], kinds)
+    listed = lambda names: spark.createDataFrame([(n, n, None, None) for n in names], build.FILINGS)
+    plans, stage = {}, build.Tables.stage
+
+    def staged(self, name, rows, by=None):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        return stage(self, name, rows, by)
+
+    monkeypatch.setattr(build.Tables, "stage", staged)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store, names = build.Store(spark, f"file://{tmp_path}/store", buckets=2), [f"f{i}" for i in range(20)]
+        assert store.apply(listed(names), parsed(names, 0.0)) == {"commits": 1, "added": 60}
+        # of the facts, of the parse, and of the filings that were parsed; nothing again for the buckets
+        assert store.apply(listed(names[:5]), parsed(names[:5], 1.0)) == {"commits": 1, "changed": 15} and plans["changes"] == 3 and plans["facts"] == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert {(r["filing_id"], r["concept"]): r["value"] for r in store.facts().collect()} == {(n, c): i + (n in names[:5]) for n in names for i, c in enumerate("abc")}
+    held = parsed(["x", "y"], 0.0).selectExpr("*", "'xbrl' AS tier", "'p' AS verified_by")
+    got = {rest: sorted((r["filing_id"], r["change"], r["tier"]) for r in facts.sync(held, parsed(["x"], 0.0), rest=rest).collect()) for rest in (False, True)}
+    assert got[False] == [("x", "kept", "xbrl")] * 3 and got[True] == got[False] + [("y", "other", "xbrl")] * 3
+    double = held.unionByName(held.limit(1))  # as a join, and not as a set
+    assert facts.sync(double, parsed(["x"], 0.0)).count() == 4

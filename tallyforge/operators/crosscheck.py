@@ -9,13 +9,16 @@ from tallyforge.functions import printed as N
 from tallyforge.functions.binding import let
 from tallyforge.functions.labels import label_share, per_share_row, table_cell
 from tallyforge.functions.periods import months_of
-from tallyforge.sizes import placed
+from tallyforge.sinks.snapshots import written
+from tallyforge.sizes import placed, small
 
 #: Least label share, digits that make a figure distinctive, facts that a person ticks of a group.
 LABEL_SHARE, DISTINCT_DIGITS, SPOTS = 0.6, 5, 3
 #: Kinds of copies, and rows that a trace shows above and below.
 KINDS = ("born-digital PDF", "filed OCR layer", "RapidOCR reading", "SEC copy")
 TRACE_ROWS = 8
+#: The most pairs of different labels whose shares are worked out ahead.
+LABEL_PAIRS = 200_000
 
 
 def distinctive(printed: Column) -> Column:
@@ -37,6 +40,24 @@ def in_period(start: Column, end: Column, column_end: Column, months: Column, al
     return F.coalesce((column_end == end) & fits, F.lit(False))
 
 
+def with_share(near: DataFrame, facts: DataFrame, cells: DataFrame) -> tuple[DataFrame, Column]:
+    """Pairs of facts and cells (``c``) with their labels' ``share``, and whether the row prints a figure a share. Facts and rows have few
+    labels that differ: where these make few pairs, each is worked out once and looked up, else it is worked out where it is met."""
+    share = lambda row: label_share(F.col("labels"), F.col("segment"), row)
+    per = lambda heading, row: per_share_row(F.col("labels"), F.concat_ws(" ", heading, row))
+    own, own_per = share(F.col("c.label")), per("c.heading", "c.label")
+    kinds, rows = written(facts.select("labels", "segment").distinct(), "kinds"), written(cells.select("heading", "label").distinct(), "labels")
+    if kinds.count() * rows.count() > LABEL_PAIRS:
+        return near.withColumn("share", own), own_per
+    pairs = written(kinds.crossJoin(rows).select(*[F.col(x).alias(f"s_{x}") for x in ("labels", "segment", "heading", "label")], share(F.col("label")).alias("s"), per("heading", "label").alias("s_per")), "shares")
+    if not small(pairs):
+        return near.withColumn("share", own), own_per
+    met = F.lit(True)
+    for x in ("labels", "segment", "c.heading", "c.label"):
+        met = met & F.col(x).eqNullSafe(F.col(f"s_{x.removeprefix('c.')}"))
+    return near.join(F.broadcast(pairs), met, "left").withColumn("share", F.coalesce("s", own)), F.coalesce("s_per", own_per)
+
+
 def checked(facts: DataFrame, cells: DataFrame) -> DataFrame:
     """Each fact against each document that prints it: ``fact_id, document, outcome, rule, share, sheet, row, column, page,
     printed, row_label, heading``.
@@ -49,9 +70,9 @@ def checked(facts: DataFrame, cells: DataFrame) -> DataFrame:
     c = cells.filter("period_end IS NOT NULL").select("document", F.col("period_end").alias("c_end"), F.struct(*[x for x in cells.columns if x not in ("document", "period_end")]).alias("c"))
     near = facts.join(c, (facts["document"] == c["document"]) & (F.col("period_end") == F.col("c_end"))).drop(c["document"])
     near = near.filter(F.col("c.basis").isNull() | (F.col("c.basis") == F.col("basis"))).filter(in_period(F.col("period_start"), F.col("period_end"), F.col("c_end"), F.col("c.months"), F.col("c.alone")))
-    near = near.withColumn("share", label_share(F.col("labels"), F.col("segment"), F.col("c.label")))
+    near, per = with_share(near, facts, cells.filter("period_end IS NOT NULL"))
     same = N.figure_agrees(F.col("value"), F.col("unit"), F.col("c"), F.col("c.scale"))
-    per_share = F.col("unit").endswith("PerShare") & per_share_row(F.col("labels"), F.concat_ws(" ", "c.heading", "c.label"))
+    per_share = F.col("unit").endswith("PerShare") & per
     rule = F.when(F.col("share") >= LABEL_SHARE, "label").when(distinctive(F.col("c.printed")), "distinct").when(per_share, "per-share")
     place = [F.col(f"c.{x}").alias(x) for x in ("sheet", "row", "column")]
     rest = [F.col("c.page").alias("page"), F.col("c.printed").alias("printed"), F.col("c.label").alias("row_label"), F.col("c.heading").alias("heading")]

@@ -237,3 +237,21 @@ def test_facts_of_a_round_are_dealt_once(spark, tmp_path, monkeypatch):
     assert got[False] == [("x", "kept", "xbrl")] * 3 and got[True] == got[False] + [("y", "other", "xbrl")] * 3
     double = held.unionByName(held.limit(1))  # as a join, and not as a set
     assert facts.sync(double, parsed(["x"], 0.0)).count() == 4
+
+
+def test_shares_of_labels_are_looked_up(spark, monkeypatch):
+    import datetime as dt
+
+    from tallyforge.operators import crosscheck as C
+
+    day, names = dt.date(2024, 3, 31), [["Net profit"], ["Basic EPS"], None, ["Tax", "Income tax"]]
+    facts = spark.createDataFrame([(f"f{i}", "d", "standalone", None, day, 5.0, "INRPerShare" if i % 4 == 1 else "INR", names[i % 4], None if i % 2 else "Retail") for i in range(8)], "fact_id string, document string, basis string, period_start date, period_end date, value double, unit string, labels array<string>, segment string")
+    rows = [(i, label, heading) for i, (label, heading) in enumerate([("Net profit retail", None), (None, "EPS"), ("Basic", "Earnings per share"), ("Income tax", ""), ("Net profit retail", "EPS")])]
+    cells = spark.createDataFrame([("d", 0, i, 1, 1, heading, label, day, 12, True, None, 1.0, "5", 5.0 if i % 2 == 0 else 4.0, 0, False) for i, label, heading in rows], "document string, sheet int, row int, column int, page int, heading string, label string, period_end date, months int, alone boolean, basis string, scale double, printed string, value double, places int, percent boolean")
+    seen, broadcast = [], C.F.broadcast
+    monkeypatch.setattr(C.F, "broadcast", lambda df: seen.append(df.count()) or broadcast(df))
+    got = [sorted(map(repr, C.checked(facts, cells).collect()))]
+    assert seen == [8 * 5 if facts.select("labels", "segment").distinct().count() == 8 else 4 * 5]
+    monkeypatch.setattr(C, "LABEL_PAIRS", 3)
+    got.append(sorted(map(repr, C.checked(facts, cells).collect())))
+    assert len(seen) == 1 and got[0] == got[1] and len(got[0]) == 8 and "per-share" in str(got[0]) and "rule='label'" in str(got[0])

@@ -12,6 +12,8 @@ from tallyforge.functions.text import squeeze
 from tallyforge.operators import chunks as H
 from tallyforge.operators import evaluation as E
 from tallyforge.operators import retrieval as R
+from tallyforge.sinks.snapshots import written
+from tallyforge.sizes import dealt
 
 KEY_DEPTH = 400
 
@@ -38,12 +40,21 @@ def single_report(tags: Column, reports: list[str]) -> Column:
 
 def keyed_search(documents: DataFrame, questions: DataFrame, ranker: Callable, k: int = 5, *, scope: DataFrame | None = None, rerank: bool = False) -> DataFrame:
     """``query_id, id, score, rank``: chunks by element that the keys of ``ranker`` find, each once, at its best key's place. With
-    ``rerank`` the first ones are read whole. ``scope(doc_id)``: documents that are searched."""
+    ``rerank`` the first ones are read whole. ``scope(doc_id)``: documents that are searched. Of ``ranker(docs, queries, k)``, ``k``
+    only says where a ranking ends, as with all of ``retrieval.rankers``.
+
+    Of the first ``KEY_DEPTH`` keys only those are asked for that can matter: n - 1 chunks have n - 1 times the keys of the chunk
+    that has most, so that one key more names an n-th chunk, or there is none."""
+    R.refuse(k)
     docs = documents if scope is None else documents.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = H.element_chunks(docs)
-    keys = H.search_keys(docs, chunks)
-    ranked = ranker(keys.select(F.col("key_id").alias("doc_id"), "text"), questions, max(KEY_DEPTH, k)).select("query_id", F.col("doc_id").alias("key_id"), "rank", "score")
-    found = H.parents(ranked, keys, max(k, 20) if rerank else k)
+    # chunks and keys are cut once, by all cores, however few splits the documents are read in
+    chunks = written(H.element_chunks(dealt(docs)), "chunks")
+    keys = written(H.search_keys(docs, chunks), "keys")
+    first = max(k, 20) if rerank else k
+    most = 1 if first == 1 else keys.groupBy("parent").count().agg(F.max("count")).first()[0] or 1
+    depth = min(max(KEY_DEPTH, k), (first - 1) * most + 1)
+    ranked = ranker(keys.select(F.col("key_id").alias("doc_id"), "text"), questions, depth).select("query_id", F.col("doc_id").alias("key_id"), "rank", "score")
+    found = H.parents(ranked, keys, first)
     if not rerank:
         return found
     return R.rerank(found, questions, chunks.select(F.col("id").alias("doc_id"), "text"), k=k).select("query_id", "id", "score", "rank")
